@@ -5,9 +5,35 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillon.llm.common import table
+from quillon.llm import mixing
+from quillon.llm.common import fold, table
+from quillon.llm.quality_model import classify
 from quillon.llm.quality_rules import quality_rules
+from quillon.llm.sharding import shard
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt from the folds other than 2 of 4."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = classify(docs, table(spark, sf_dir, "labels"), learn_from=lambda i: fold(i, 4) != 2)
+    return scored.select(
+        "doc_id",
+        (fold(F.col("doc_id"), 4) == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
+def op5_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard, slot and next shard of every document, by the weighted hash tree."""
+    return shard(table(spark, sf_dir, "documents"), shards=8)
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that the mix takes, and its source's target."""
+    return mixing.assign(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,9 +43,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_classifier": op1_quality_classifier,
+        "op5_hash_tree_sharding": op5_hash_tree_sharding,
+        "op9_source_mixing": op9_source_mixing,
         "op10_quality_rules": op10_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_source_mixing": mixing.SQL}
