@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import mixing
+from quillon.llm import mixing, topk
 from quillon.llm.common import fold, table
+from quillon.llm.language_id import identify, learn
+from quillon.llm.packing import pack
+from quillon.llm.pii import BASE_KINDS, find
 from quillon.llm.quality_model import classify
 from quillon.llm.quality_rules import quality_rules
 from quillon.llm.sharding import shard
+from quillon.llm.warc import page_derivatives
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,11 +30,48 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best inner products of every hundredth vector with all others."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0, k=10)
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from the folds other than 1 of 3."""
+    docs = table(spark, sf_dir, "documents")
+    model = learn(docs.select("doc_id", "lang", "text"), learn_from=lambda i: fold(i, 3) != 1)
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op4_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: counts and digest of the base kinds, and all spans."""
+    found = find(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pii")
+
+    def named(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+    def of(*kinds):
+        return F.filter("pii", lambda x: x["kind"].isin(*kinds))
+
+    base = of(*BASE_KINDS)
+    counts = [F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(named(base), 256).alias("base_sha256"), named(F.col("pii")).alias("spans"))
+
+
 def op5_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard, slot and next shard of every document, by the weighted hash tree."""
     return shard(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of the response record of every page."""
+    return page_derivatives(table(spark, sf_dir, "pages"))
+
+
+def op7_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequence and offset of every piece of every document."""
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that the mix takes, and its source's target."""
     return mixing.assign(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -44,11 +85,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
+        "op2_exact_top_k": op2_exact_top_k,
+        "op3_language_id": op3_language_id,
+        "op4_pii_anchors": op4_pii_anchors,
         "op5_hash_tree_sharding": op5_hash_tree_sharding,
+        "op6_warc_derivatives": op6_warc_derivatives,
+        "op7_best_two_fit": op7_best_two_fit,
         "op9_source_mixing": op9_source_mixing,
         "op10_quality_rules": op10_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_source_mixing": mixing.SQL}
+    return {"op2_exact_top_k": topk.SQL, "op9_source_mixing": mixing.SQL}
