@@ -94,7 +94,9 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     dealt = joined.withColumn("__nth", nth)
     whole = (F.col("__passes") / F.col("__rows")).cast("int") + F.when(F.col("__nth") <= F.col("__more"), 1).otherwise(0)
     part = F.when((F.col("__nth") == F.col("__more") + 1) & (F.coalesce(F.col("__part"), F.lit(0)) > 0), F.col("__part"))
-    head = F.regexp_extract("text", F.concat(F.lit(r"^((?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]+){"), part.cast("string"), F.lit("})")), 1)
+    # Split before the white space behind each word, so that a chunk is one word and what stands before it.
+    chunks = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    head = F.array_join(F.slice(chunks, F.lit(1), part.cast("int")), "")
     copies = F.concat(F.array_repeat(F.col("text"), whole), F.when(part.isNotNull(), F.array(head)).otherwise(F.array().cast("array<string>")))
     return dealt.withColumn("__copies", copies).withColumn("__copy", F.explode("__copies")).select(*[F.col("__copy").alias(c) if c == "text" else F.col(c) for c in docs.columns])
 

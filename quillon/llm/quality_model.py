@@ -199,6 +199,6 @@ def score(docs: DataFrame, forest: Forest, column: str = "score") -> DataFrame:
     return docs.mapInArrow(scored, schema)
 
 
-def classify(docs: DataFrame, labels: DataFrame, learn_from=None, sample: int = SAMPLE, **options) -> DataFrame:
-    """Fit on the labelled documents that ``learn_from`` allows and score every document."""
-    return score(docs, fit(*training_rows(docs, labels, learn_from, sample), **options))
+def classify(docs: DataFrame, labels: DataFrame, learn_from=None, sample: int = SAMPLE, column: str = "score", **options) -> DataFrame:
+    """Fit on the labelled documents that ``learn_from`` allows and score every document into ``column``."""
+    return score(docs, fit(*training_rows(docs, labels, learn_from, sample), **options), column)

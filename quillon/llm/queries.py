@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import mixing, topk
+from quillon.llm import jaccard_join, mixing, topk
 from quillon.llm.common import fold, table
 from quillon.llm.language_id import identify, learn
 from quillon.llm.packing import pack
@@ -72,6 +72,12 @@ def op7_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op8_parity_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under links of 3-word shingle sets with Jaccard similarity of at least 0.9."""
+    found = jaccard_join.components(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that the mix takes, and its source's target."""
     return mixing.assign(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -91,6 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_hash_tree_sharding": op5_hash_tree_sharding,
         "op6_warc_derivatives": op6_warc_derivatives,
         "op7_best_two_fit": op7_best_two_fit,
+        "op8_parity_jaccard_join": op8_parity_jaccard_join,
         "op9_source_mixing": op9_source_mixing,
         "op10_quality_rules": op10_quality_rules,
     }
