@@ -15,8 +15,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\u000b\u000c\r"
 
 #: Rows and bytes of one Arrow batch: bounds a Python worker's memory when texts are long.
-BATCH_ROWS = 512
-BATCH_BYTES = 16 << 20
+BATCH_ROWS = 256
+BATCH_BYTES = 4 << 20
 
 _own_root: str | None = None
 

@@ -35,7 +35,7 @@ from quillon.llm.common import Scratch, bounded_batches
 VOCABULARY = "byte_bpe_50k.tiktoken"
 LENGTH = 2048
 #: Space-delimited words whose ids a worker remembers, and the longest word that it does.
-REMEMBERED, LONGEST = 250_000, 48
+REMEMBERED, LONGEST = 120_000, 40
 #: White space on both sides of a space, or before one at the end, is one token there: such texts are encoded whole.
 _MIXED_SPACE = re.compile(r"\s \s|\s \Z")
 
@@ -133,29 +133,22 @@ def best_two_fit(counts: np.ndarray) -> list[tuple[int, list[tuple[int, int]]]]:
         plan.append((repeats, sorted(bin_.items(), reverse=True)))
 
 
-class Places:
-    """Where the document of a given rank among those of its length goes: arrays over the plan's intervals."""
+def places(plan: list[tuple[int, list[tuple[int, int]]]]) -> list[tuple[int, int, int, int, int, int]]:
+    """Where the documents of each length go: (length, first rank, end rank, sequence base, how many a sequence, offset).
 
-    def __init__(self, plan: list[tuple[int, list[tuple[int, int]]]], size: int):
-        rows, used, base = [], np.zeros(size + 1, dtype=np.int64), 0
-        for repeats, bin_ in plan:
-            offset = 0
-            for n, c in bin_:
-                rows.append((n, int(used[n]), base, c, offset))
-                used[n] += repeats * c
-                offset += n * c
-            base += repeats
-        rows.sort()
-        t = np.array(rows, dtype=np.int64).reshape(-1, 5)
-        self.length, self.first, self.base, self.each, self.offset = (np.ascontiguousarray(x) for x in t.T)
-        self.sequences = base
-
-    def __call__(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(sequence, offset) of each document."""
-        key = lambda n, r: n << 48 | r
-        at = np.searchsorted(key(self.length, self.first), key(length, rank), side="right") - 1
-        nth = rank - self.first[at]
-        return self.base[at] + nth // self.each[at], self.offset[at] + nth % self.each[at] * length
+    The document of rank r in an interval goes to sequence base + (r - first) // many, at
+    offset + (r - first) % many * length. Intervals are as many as there are lengths in the plan's patterns.
+    """
+    rows, used, base = [], {}, 0
+    for repeats, bin_ in plan:
+        offset = 0
+        for n, c in bin_:
+            first = used.get(n, 0)
+            used[n] = first + repeats * c
+            rows.append((n, first, used[n], base, c, offset))
+            offset += n * c
+        base += repeats
+    return rows
 
 
 def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY, end_id: int = 0) -> DataFrame:
@@ -192,16 +185,14 @@ def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY, en
     counts = np.zeros(length + 1, dtype=np.int64)
     for n, c in rows.groupBy("length").agg(F.count(F.lit(1))).collect():  # at most ``length`` rows
         counts[n] = c
-    places = Places(best_two_fit(counts), length)
+    intervals = spark.createDataFrame(places(best_two_fit(counts)), "p_length long, first long, end long, base long, many long, at long")
     run = Window.partitionBy("o_length").orderBy("o_task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_task.select("o_length", "o_task", F.coalesce(F.sum("n").over(run), F.lit(0)).alias("before"))
     ranked = rows.join(offsets, (rows["length"] == offsets["o_length"]) & (rows["task"] == offsets["o_task"]))
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("local")).alias("rank"))
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
-            sequence, offset = places(n, rank)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=[*batch.schema.names[:5], "sequence_id", "offset"])
-
-    return ranked.mapInArrow(placed, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    # The plan is bounded by the sequence length, whatever the corpus, so it may be broadcast.
+    placed = ranked.join(F.broadcast(intervals), (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")))
+    nth = F.col("rank") - F.col("first")
+    sequence = F.col("base") + F.floor(nth / F.col("many")).cast("long")
+    offset = F.col("at") + nth % F.col("many") * F.col("length")
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", sequence.alias("sequence_id"), offset.alias("offset"))
