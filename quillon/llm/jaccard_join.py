@@ -11,10 +11,12 @@ falls into a place, so equal tokens of two documents cancel and only their symme
 3. Each key's nodes are paired with its least node only (an aggregate and a join that can be split, never a
    collected group). Pairs are verified on the shingle sets and give components.
 4. A key whose three or more nodes still lie in several components may hide links between nodes other than
-   its least one. Such keys, once per distinct membership, are dealt in square cells of bounded blocks;
-   a cell compares bit sketches, whose Hamming distance never exceeds the symmetric difference, verifies
-   what is left between components, and returns a spanning set of links. Every linked pair agrees in some
-   key, so afterwards linked nodes share a component: no partner or candidate is capped.
+   its least one. Nodes that such keys connect form a cluster. A cluster of bounded size is compared in one
+   task, each of its sets sent once; the keys of larger clusters, once per distinct membership, are dealt in
+   square cells of bounded blocks. Comparing goes by bit sketches, whose Hamming distance never exceeds the
+   symmetric difference, verifies what is left between components, and returns a spanning set of links.
+   Every linked pair agrees in some key, so afterwards linked nodes share a component: no partner or
+   candidate is capped.
 
 Hash values stand for shingles; two different shingles of one comparison fall together with probability
 under 1e-12.
@@ -46,7 +48,9 @@ U64 = np.uint64
 # Odd 64-bit multipliers.
 ODD_A, ODD_B, ODD_C = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 #: Words whose hash a worker remembers; nodes and shingle bytes of one block of a cell.
-REMEMBERED, BLOCK_NODES, BLOCK_BYTES = 300_000, 2_048, 24 << 20
+REMEMBERED, BLOCK_NODES, BLOCK_BYTES = 200_000, 2_048, 16 << 20
+#: Nodes and shingle bytes of a cluster that one task compares.
+CLUSTER_NODES, CLUSTER_BYTES = 6_144, 24 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -209,27 +213,36 @@ def components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, s
             yield pa.RecordBatch.from_arrays(columns, names=["uid", "doc_id", "text_key", "n", "f1", "f2", "keys"])
 
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    rows = scratch.save(keyed.mapInArrow(sketched, f"uid long, doc_id {kind}, text_key long, n int, f1 long, f2 long, keys array<long>"), "rows")
+    sketches = scratch.save(keyed.mapInArrow(sketched, f"uid long, doc_id {kind}, text_key long, n int, f1 long, f2 long, keys array<long>"), "sketches")
+    rows = scratch.save(sketches.drop("keys"), "rows")
     named = rows.where(F.col("n") > 0)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid"))
     nodes = scratch.save(named.groupBy("f1", "f2").agg(first.alias("r")).select("f1", "f2", F.col("r.uid").alias("node"), F.col("r.doc_id").alias("least_id")), "nodes")
-    one_each = rows.join(nodes.select("node"), F.col("uid") == F.col("node"))
+    one_each = sketches.join(nodes.select("node"), F.col("uid") == F.col("node"))
     reps = scratch.save(one_each.select("node", "doc_id", "text_key", "n", "keys"), "reps")
+    scratch.drop("sketches")
+    scratch.sweep()
     keys = reps.select("node", "n", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
     stars = scratch.save(keys.join(shared.withColumnRenamed("key", "s_key"), F.col("key") == F.col("s_key")).select("key", "node", "n", "low", "members"), "stars")
+    scratch.sweep()
     sets = _sets(docs, reps, stars, width, scratch)
+    scratch.drop("reps")
+    scratch.sweep()
     pairs = stars.where(F.col("node") != F.col("low")).select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
     links = scratch.save(_verified(pairs, sets, t), "links")
     tied = scratch.save(roots(links, scratch, "first"), "tied")
-    more = scratch.save(_hidden_links(stars, tied, sets, t), "more")
+    scratch.sweep()
+    more = scratch.save(_hidden_links(stars, tied, sets, t, scratch), "more")
+    scratch.drop("stars", "sets")
+    scratch.sweep()
     if not more.isEmpty():
         stems = tied.select(F.col("root").alias("a"), F.col("node").alias("b"))
         tied = scratch.save(roots(stems.unionByName(more), scratch, "second"), "tied2")
     home = nodes.join(tied.withColumnRenamed("node", "t_node"), F.col("node") == F.col("t_node"), "left").select("f1", "f2", "least_id", F.coalesce("root", "node").alias("root"))
     names = home.groupBy("root").agg(F.min("least_id").alias("component_id")).withColumnRenamed("root", "n_root")
     home = scratch.save(home.join(names, F.col("root") == F.col("n_root")).select(F.col("f1").alias("h1"), F.col("f2").alias("h2"), "root", "component_id"), "home")
-    found = rows.drop("keys").join(home, (F.col("f1") == F.col("h1")) & (F.col("f2") == F.col("h2")) & (F.col("n") > 0), "left")
+    found = rows.join(home, (F.col("f1") == F.col("h1")) & (F.col("f2") == F.col("h2")) & (F.col("n") > 0), "left")
     return found.select("uid", "doc_id", "text_key", F.col("n").cast("long").alias("n_shingles"), "root", F.coalesce("component_id", F.when(F.col("n") == 0, F.col("doc_id"))).alias("component_id"))
 
 
@@ -272,18 +285,29 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
     return both.mapInArrow(checked, "a long, b long")
 
 
-def _hidden_links(stars: DataFrame, tied: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
+def _hidden_links(stars: DataFrame, tied: DataFrame, sets: DataFrame, t: Threshold, scratch: Scratch) -> DataFrame:
     """Links (a, b) that join components and lie in a key, but not with its least node."""
-    many = stars.where(F.col("members") > 2).select("key", "node", "n")
-    held = many.join(tied.withColumnRenamed("node", "t_node"), F.col("node") == F.col("t_node"), "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    split = held.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x2"))
-    split = split.where(F.col("lo") < F.col("hi")).groupBy("members", "x1", "x2").agg(F.min(F.struct("key", "total")).alias("k"))
+    many = stars.where(F.col("members") > 2).select("key", "node", "low", "n")
+    held = many.join(tied.withColumnRenamed("node", "t_node"), F.col("node") == F.col("t_node"), "left").select("key", "node", "low", "n", F.coalesce("root", "node").alias("root"))
+    held = scratch.save(held, "held")
+    split = held.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") < F.col("hi")).select(F.col("key").alias("s_key"))
+    held = scratch.save(held.join(split, F.col("key") == F.col("s_key"), "left_semi"), "split")
+    near = roots(held.select(F.col("low").alias("a"), F.col("node").alias("b")), scratch, "near").withColumnsRenamed({"node": "c_node", "root": "cluster"})
+    inside = held.select("node", "root", "n").distinct().join(near, F.col("node") == F.col("c_node")).drop("c_node")
+    inside = scratch.save(inside, "inside")
+    fits = (F.count(F.lit(1)) <= CLUSTER_NODES) & (F.sum("n") * 8 <= CLUSTER_BYTES)
+    sizes = inside.groupBy("cluster").agg(fits.alias("fits")).withColumnRenamed("cluster", "z_cluster")
+    placed = scratch.save(inside.join(sizes, F.col("cluster") == F.col("z_cluster")).drop("z_cluster"), "placed")
+    small = placed.where("fits").select(F.col("cluster").alias("key"), "node", "root", F.lit(0).alias("block"), F.lit(0).alias("i"), F.lit(0).alias("j"))
+    large = held.join(placed.where("NOT fits").select(F.col("node").alias("l_node")), F.col("node") == F.col("l_node"), "left_semi")
+    whole = large.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x2"))
+    once = whole.groupBy("members", "x1", "x2").agg(F.min(F.struct("key", "total")).alias("k"))
     blocks = F.greatest(F.ceil(F.col("members") / BLOCK_NODES), F.ceil(F.col("k.total") * 8 / BLOCK_BYTES)).cast("int")
-    chosen = split.select(F.col("k.key").alias("c_key"), blocks.alias("blocks"))
-    inside = held.join(chosen, F.col("key") == F.col("c_key")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    cells = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    chosen = once.select(F.col("k.key").alias("c_key"), blocks.alias("blocks"))
+    dealt = large.join(chosen, F.col("key") == F.col("c_key")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("key", "node", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    full = cells.join(sets.select(F.col("node").alias("s_node"), "shingles"), F.col("node") == F.col("s_node")).drop("s_node")
+    full = small.unionByName(cells).join(sets.select(F.col("node").alias("s_node"), "shingles"), F.col("node") == F.col("s_node")).drop("s_node")
 
     def compared(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node")
