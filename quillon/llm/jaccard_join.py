@@ -51,6 +51,8 @@ ODD_A, ODD_B, ODD_C = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94
 REMEMBERED, BLOCK_NODES, BLOCK_BYTES = 200_000, 2_048, 16 << 20
 #: Nodes and shingle bytes of a cluster that one task compares.
 CLUSTER_NODES, CLUSTER_BYTES = 6_144, 24 << 20
+#: Bits of the filter that turns away texts that cannot be needed, and of one part of it.
+FILTER_BITS, PART_BITS = 1 << 22, 1 << 15
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -160,6 +162,11 @@ def parity_sketch(h: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(odd).view(U64)
 
 
+def sketch_bits(n: int) -> int:
+    """Places of the sketch that a set carries into the join: a power of two, at least as many as shingles."""
+    return max(64, 1 << max(n - 1, 0).bit_length())
+
+
 def links_between(sets: list[np.ndarray], roots_: np.ndarray, sides: np.ndarray, t: Threshold) -> list[tuple[int, int]]:
     """Positions of linked pairs that join what ``roots_`` keeps apart: a spanning set, not all of them.
 
@@ -246,34 +253,74 @@ def components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, s
     return found.select("uid", "doc_id", "text_key", F.col("n").cast("long").alias("n_shingles"), "root", F.coalesce("component_id", F.when(F.col("n") == 0, F.col("doc_id"))).alias("component_id"))
 
 
+def _bitmap(keys: DataFrame, key: str) -> np.ndarray:
+    """Bits of the hashed keys, FILTER_BITS whatever their number: OR-ed in Spark, a few hundred KB at the driver."""
+    place = F.pmod(key, F.lit(FILTER_BITS))
+    parts = keys.select((place / PART_BITS).cast("int").alias("part"), (place % PART_BITS).alias("bit")).groupBy("part").agg(F.expr("bitmap_construct_agg(bit)").alias("bits")).collect()
+    out = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    for row in parts:
+        bits = np.frombuffer(row["bits"], dtype=np.uint8)
+        out[row["part"] * PART_BITS // 8 :][: len(bits)] = bits
+    return out
+
+
 def _sets(docs: DataFrame, reps: DataFrame, stars: DataFrame, width: int, scratch: Scratch) -> DataFrame:
-    """(node, s, shingles as bytes) of the nodes that share a key, from their whole texts."""
+    """(node, s, sketch, shingles as bytes) of the nodes that share a key, from their whole texts.
+
+    A bitmap of fixed size turns away most other texts before they are shingled and shuffled; those that
+    pass by chance are dropped by the join, so it decides nothing.
+    """
+    spark = docs.sparkSession
     wanted = stars.select(F.col("node").alias("w")).distinct()
     wanted = reps.select("node", "doc_id", "text_key").join(wanted, F.col("node") == F.col("w"), "left_semi").withColumnsRenamed({"doc_id": "w_id", "text_key": "w_key"})
     wanted = scratch.save(wanted, "wanted")
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    found = texts.join(wanted, (F.col("text_key") == F.col("w_key")) & F.col("doc_id").eqNullSafe(F.col("w_id"))).select("node", "text")
+    bitmap = spark.sparkContext.broadcast(_bitmap(wanted, "w_key"))
+    texts = docs.select(F.col("doc_id").alias("t_id"), F.xxhash64("text").alias("t_key"), "text")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = bitmap.value
         for batch in batches:
+            place = batch.column("t_key").to_numpy(zero_copy_only=False) % FILTER_BITS
+            batch = batch.filter(pa.array((bits[place >> 3] >> (place & 7) & 1).astype(bool)))
             sets = [shingle_set(x, width) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(x) for x in sets], pa.int32()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "s", "shingles"])
+            sketches = [parity_sketch(x, sketch_bits(len(x))).view(np.int64) for x in sets]
+            columns = [batch.column("t_id"), batch.column("t_key"), pa.array([len(x) for x in sets], pa.int32()), pa.array(sketches, pa.list_(pa.int64())), pa.array([x.tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["t_id", "t_key", "s", "sketch", "shingles"])
 
-    sets = scratch.save(found.mapInArrow(shingled, "node long, s int, shingles binary"), "sets")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = texts.mapInArrow(shingled, f"t_id {kind}, t_key long, s int, sketch array<long>, shingles binary")
+    found = found.join(wanted, (F.col("t_key") == F.col("w_key")) & F.col("t_id").eqNullSafe(F.col("w_id")))
+    sets = scratch.save(found.select("node", "s", "sketch", "shingles"), "sets")
     if sets.count() > wanted.count():  # repeated rows: the same text found more than once
         sets = scratch.save(sets.dropDuplicates(["node"]), "sets1")
     return sets
 
 
+def _hamming(a: str, b: str):
+    """Hamming distance of two sketches; the longer one (twice as long at most) is folded by XOR of its halves first."""
+
+    def folded(x):
+        half = (F.size(x) / 2).cast("int")
+        return F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda u, v: u.bitwiseXOR(v))
+
+    def apart(x, y):
+        return F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, n: s + n)
+
+    n, m = F.size(a), F.size(b)
+    return F.when(n == m, apart(F.col(a), F.col(b))).when(n == 2 * m, apart(folded(F.col(a)), F.col(b))).when(m == 2 * n, apart(F.col(a), folded(F.col(b)))).otherwise(F.lit(0))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
-    """Those of the pairs (a, b) whose sets link."""
-    small = sets.select("node", "s")
+    """Those of the pairs (a, b) whose sets link: by size, by Hamming distance of the sketches, then on the sets."""
+    small = sets.select("node", "s", "sketch")
 
     def side(df: DataFrame, c: str) -> DataFrame:
         return df.select([F.col(x).alias(f"{x}_{c}") for x in df.columns])
 
     sized = pairs.join(side(small, "a"), F.col("a") == F.col("node_a")).join(side(small, "b"), F.col("b") == F.col("node_b"))
-    sized = sized.where((t.num * F.col("s_a") <= t.den * F.col("s_b")) & (t.num * F.col("s_b") <= t.den * F.col("s_a"))).select("a", "b")
+    sized = sized.where((t.num * F.col("s_a") <= t.den * F.col("s_b")) & (t.num * F.col("s_b") <= t.den * F.col("s_a")))
+    total = (F.col("s_a") + F.col("s_b")).cast("long")
+    sized = sized.where(_hamming("sketch_a", "sketch_b") <= F.floor(total * (t.den - t.num) / (t.den + t.num))).select("a", "b")
     full = sets.select("node", "shingles")
     both = sized.join(side(full, "a"), F.col("a") == F.col("node_a")).join(side(full, "b"), F.col("b") == F.col("node_b")).select("a", "b", "shingles_a", "shingles_b")
 
