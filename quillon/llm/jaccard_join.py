@@ -12,11 +12,12 @@ falls into a place, so equal tokens of two documents cancel and only their symme
    collected group). Pairs are verified on the shingle sets and give components.
 4. A key whose three or more nodes still lie in several components may hide links between nodes other than
    its least one. Nodes that such keys connect form a cluster. A cluster of bounded size is compared in one
-   task, each of its sets sent once; the keys of larger clusters, once per distinct membership, are dealt in
-   square cells of bounded blocks. Comparing goes by bit sketches, whose Hamming distance never exceeds the
-   symmetric difference, verifies what is left between components, and returns a spanning set of links.
-   Every linked pair agrees in some key, so afterwards linked nodes share a component: no partner or
-   candidate is capped.
+   task; the keys of larger clusters, once per distinct membership, are dealt in square cells of bounded
+   blocks. What is sent and compared there are bit sketches, a sixteenth of a set: their Hamming distance
+   never exceeds the symmetric difference, so pairs that it leaves between components are all that can link.
+   They are verified on the sets, at most ROUND_PAIRS of two components a round, nearest first, and rounds
+   go on until none is left. Every linked pair agrees in some key, so afterwards linked nodes share a
+   component: no partner or candidate is capped.
 
 Hash values stand for shingles; two different shingles of one comparison fall together with probability
 under 1e-12.
@@ -48,9 +49,9 @@ U64 = np.uint64
 # Odd 64-bit multipliers.
 ODD_A, ODD_B, ODD_C = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 #: Words whose hash a worker remembers; nodes and shingle bytes of one block of a cell.
-REMEMBERED, BLOCK_NODES, BLOCK_BYTES = 200_000, 2_048, 16 << 20
-#: Nodes and shingle bytes of a cluster that one task compares.
-CLUSTER_NODES, CLUSTER_BYTES = 6_144, 24 << 20
+REMEMBERED, BLOCK_NODES, BLOCK_BYTES = 200_000, 2_048, 128 << 20
+#: Nodes and shingle bytes of a cluster that one task compares, and pairs of two components that a cell gives out in a round.
+CLUSTER_NODES, CLUSTER_BYTES, ROUND_PAIRS = 6_144, 256 << 20, 64
 #: Bits of the filter that turns away texts that cannot be needed, and of one part of it.
 FILTER_BITS, PART_BITS = 1 << 22, 1 << 15
 
@@ -163,34 +164,35 @@ def parity_sketch(h: np.ndarray, bits: int) -> np.ndarray:
 
 
 def sketch_bits(n: int) -> int:
-    """Places of the sketch that a set carries into the join: a power of two, at least as many as shingles."""
-    return max(64, 1 << max(n - 1, 0).bit_length())
+    """Places of the sketch that a set carries into the join: a power of two, at least four a shingle."""
+    return max(64, 1 << max(4 * n - 1, 0).bit_length())
 
 
-def links_between(sets: list[np.ndarray], roots_: np.ndarray, sides: np.ndarray, t: Threshold) -> list[tuple[int, int]]:
-    """Positions of linked pairs that join what ``roots_`` keeps apart: a spanning set, not all of them.
+def pairs_between(size: np.ndarray, sketches: list[np.ndarray], comp: np.ndarray, sides: np.ndarray, t: Threshold) -> np.ndarray:
+    """Rows (Hamming distance, i, j) of all pairs in different components that may link by size and sketch.
 
     ``sides`` is 0 or 1 for the two blocks of a cell and 2 throughout for a cell of one block with itself:
-    pairs within one block of two are another cell's.
+    pairs within one block of two are another cell's. Sizes that fit differ by one sketch length at most:
+    the longer sketch is folded by XOR of its halves.
     """
-    size = np.array([len(s) for s in sets])
-    bits = 64
-    while bits < 4 * size.max(initial=1):
-        bits *= 2
-    sketch = np.stack([parity_sketch(s, bits) for s in sets])
-    comp = np.unique(roots_, return_inverse=True)[1]
+    words = np.array([len(x) for x in sketches])
     out = []
-    for i in range(len(sets) - 1):
-        rest = np.arange(i + 1, len(sets))
-        rest = rest[(comp[rest] != comp[i]) & t.sizes_fit(size[rest], size[i]) & ((sides[rest] != sides[i]) | (sides[rest] == 2))]
-        if not len(rest):
-            continue
-        apart = np.bitwise_count(sketch[rest] ^ sketch[i]).sum(axis=1)
-        for j in rest[apart <= t.most_different(size[rest] + size[i])]:
-            if comp[j] != comp[i] and t.linked(sets[i], sets[j]):
-                out.append((i, int(j)))
-                comp[comp == comp[j]] = comp[i]
-    return out
+    for w in np.unique(words):
+        own, longer = np.flatnonzero(words == w), np.flatnonzero(words == 2 * w)
+        where = np.concatenate([own, longer])
+        matrix = np.stack([sketches[i] for i in own] + [sketches[i][:w] ^ sketches[i][w:] for i in longer])
+        for k, i in enumerate(own):
+            rest = np.arange(k + 1, len(where))
+            at = where[rest]
+            fits = (comp[at] != comp[i]) & t.sizes_fit(size[at], size[i]) & ((sides[at] != sides[i]) | (sides[at] == 2))
+            rest = rest[fits]
+            if not len(rest):
+                continue
+            apart = np.bitwise_count(matrix[rest] ^ matrix[k]).sum(axis=1, dtype=np.int64)
+            near = apart <= t.most_different(size[where[rest]] + size[i])
+            if near.any():
+                out.append(np.stack([apart[near], np.full(near.sum(), i), where[rest[near]]], axis=1))
+    return np.concatenate(out) if out else np.zeros((0, 3), dtype=np.int64)
 
 
 def components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, scratch: Scratch | None = None) -> DataFrame:
@@ -240,12 +242,18 @@ def components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, s
     links = scratch.save(_verified(pairs, sets, t), "links")
     tied = scratch.save(roots(links, scratch, "first"), "tied")
     scratch.sweep()
-    more = scratch.save(_hidden_links(stars, tied, sets, t, scratch), "more")
+    cells, turn, again = _cells(stars, tied, scratch), 0, True
+    while again:
+        offered = scratch.save(_offered(cells, tied, sets, t, turn * ROUND_PAIRS), f"offered{turn}")
+        more = scratch.save(_verified(offered.where("a >= 0").distinct(), sets, t), f"more{turn}")
+        again = not offered.where("a < 0").isEmpty()
+        if not more.isEmpty():
+            stems = tied.select(F.col("root").alias("a"), F.col("node").alias("b"))
+            tied = scratch.save(roots(stems.unionByName(more), scratch, f"again{turn}"), f"tied{turn}")
+        scratch.drop(f"offered{turn}")
+        scratch.sweep()
+        turn += 1
     scratch.drop("stars", "sets")
-    scratch.sweep()
-    if not more.isEmpty():
-        stems = tied.select(F.col("root").alias("a"), F.col("node").alias("b"))
-        tied = scratch.save(roots(stems.unionByName(more), scratch, "second"), "tied2")
     home = nodes.join(tied.withColumnRenamed("node", "t_node"), F.col("node") == F.col("t_node"), "left").select("f1", "f2", "least_id", F.coalesce("root", "node").alias("root"))
     names = home.groupBy("root").agg(F.min("least_id").alias("component_id")).withColumnRenamed("root", "n_root")
     home = scratch.save(home.join(names, F.col("root") == F.col("n_root")).select(F.col("f1").alias("h1"), F.col("f2").alias("h2"), "root", "component_id"), "home")
@@ -332,39 +340,58 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
     return both.mapInArrow(checked, "a long, b long")
 
 
-def _hidden_links(stars: DataFrame, tied: DataFrame, sets: DataFrame, t: Threshold, scratch: Scratch) -> DataFrame:
-    """Links (a, b) that join components and lie in a key, but not with its least node."""
+def _cells(stars: DataFrame, tied: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, i, j, block, node): what has to be compared, as cells of bounded size, for links that no star shows."""
     many = stars.where(F.col("members") > 2).select("key", "node", "low", "n")
     held = many.join(tied.withColumnRenamed("node", "t_node"), F.col("node") == F.col("t_node"), "left").select("key", "node", "low", "n", F.coalesce("root", "node").alias("root"))
     held = scratch.save(held, "held")
     split = held.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") < F.col("hi")).select(F.col("key").alias("s_key"))
     held = scratch.save(held.join(split, F.col("key") == F.col("s_key"), "left_semi"), "split")
     near = roots(held.select(F.col("low").alias("a"), F.col("node").alias("b")), scratch, "near").withColumnsRenamed({"node": "c_node", "root": "cluster"})
-    inside = held.select("node", "root", "n").distinct().join(near, F.col("node") == F.col("c_node")).drop("c_node")
+    inside = held.select("node", "n").distinct().join(near, F.col("node") == F.col("c_node")).drop("c_node")
     inside = scratch.save(inside, "inside")
     fits = (F.count(F.lit(1)) <= CLUSTER_NODES) & (F.sum("n") * 8 <= CLUSTER_BYTES)
     sizes = inside.groupBy("cluster").agg(fits.alias("fits")).withColumnRenamed("cluster", "z_cluster")
     placed = scratch.save(inside.join(sizes, F.col("cluster") == F.col("z_cluster")).drop("z_cluster"), "placed")
-    small = placed.where("fits").select(F.col("cluster").alias("key"), "node", "root", F.lit(0).alias("block"), F.lit(0).alias("i"), F.lit(0).alias("j"))
+    small = placed.where("fits").select(F.col("cluster").alias("key"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("block"), "node")
     large = held.join(placed.where("NOT fits").select(F.col("node").alias("l_node")), F.col("node") == F.col("l_node"), "left_semi")
     whole = large.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x2"))
     once = whole.groupBy("members", "x1", "x2").agg(F.min(F.struct("key", "total")).alias("k"))
     blocks = F.greatest(F.ceil(F.col("members") / BLOCK_NODES), F.ceil(F.col("k.total") * 8 / BLOCK_BYTES)).cast("int")
     chosen = once.select(F.col("k.key").alias("c_key"), blocks.alias("blocks"))
     dealt = large.join(chosen, F.col("key") == F.col("c_key")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("key", "node", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    full = small.unionByName(cells).join(sets.select(F.col("node").alias("s_node"), "shingles"), F.col("node") == F.col("s_node")).drop("s_node")
+    crossed = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    crossed = crossed.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node")
+    return scratch.save(small.unionByName(crossed), "cells")
+
+
+def _offered(cells: DataFrame, tied: DataFrame, sets: DataFrame, t: Threshold, skip: int) -> DataFrame:
+    """Pairs (a, b) of cells that may link components; for every two components those of rank skip to skip + ROUND_PAIRS.
+
+    A row (-1, -1) says that a cell has more. When components merge between rounds, the first ``skip`` pairs
+    of the merged ones are among those already given out, so none is passed over.
+    """
+    now = tied.select(F.col("node").alias("t_node"), "root")
+    full = cells.join(now, F.col("node") == F.col("t_node"), "left").select("key", "i", "j", "block", "node", F.coalesce("root", "node").alias("root"))
+    full = full.join(sets.select(F.col("node").alias("s_node"), "s", "sketch"), F.col("node") == F.col("s_node")).drop("s_node")
 
     def compared(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node")
         one = pdf["i"].iloc[0] == pdf["j"].iloc[0]
         sides = np.full(len(pdf), 2) if one else (pdf["block"] == pdf["j"]).to_numpy(dtype=np.int64)
-        node = pdf["node"].to_numpy()
-        got = links_between([np.frombuffer(x, dtype=U64) for x in pdf["shingles"]], pdf["root"].to_numpy(), sides, t)
-        return pd.DataFrame({"a": [node[i] for i, _ in got], "b": [node[j] for _, j in got]}, dtype="int64")
-
-    return full.groupBy("key", "i", "j").applyInPandas(compared, "a long, b long").distinct()
+        node, comp = pdf["node"].to_numpy(), np.unique(pdf["root"].to_numpy(), return_inverse=True)[1]
+        got = pairs_between(pdf["s"].to_numpy(dtype=np.int64), [np.asarray(x, dtype=np.int64).view(U64) for x in pdf["sketch"]], comp, sides, t)
+        low, high = (f(comp[got[:, 1]], comp[got[:, 2]]) for f in (np.minimum, np.maximum))
+        order = np.lexsort((node[got[:, 2]], node[got[:, 1]], got[:, 0], high, low))
+        got, low, high = got[order], low[order], high[order]
+        starts = np.flatnonzero((np.diff(low, prepend=-1) != 0) | (np.diff(high, prepend=-1) != 0))
+        rank = np.arange(len(got)) - np.repeat(starts, np.diff(np.append(starts, len(got))))
+        take = (rank >= skip) & (rank < skip + ROUND_PAIRS)
+        a, b = node[got[take, 1]], node[got[take, 2]]
+        rest = [-1] if (rank >= skip + ROUND_PAIRS).any() else []
+        return pd.DataFrame({"a": [*np.minimum(a, b), *rest], "b": [*np.maximum(a, b), *rest]}, dtype="int64")
+
+    return full.groupBy("key", "i", "j").applyInPandas(compared, "a long, b long")
 
 
 def distinct_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:

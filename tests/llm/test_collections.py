@@ -56,6 +56,7 @@ def near_copies(seed, n, edits):
 @pytest.mark.parametrize(("width", "num", "cluster"), [(3, 90, 6144), (5, 80, 6144), (3, 80, 1)])
 def test_components_equal_brute_force(spark, monkeypatch, width, num, cluster):
     monkeypatch.setattr(J, "CLUSTER_NODES", cluster)
+    monkeypatch.setattr(J, "ROUND_PAIRS", 2 if cluster == 1 else 64)
     if cluster == 1:
         monkeypatch.setattr(J, "BLOCK_NODES", 3)
     texts = near_copies(1, 40, 8) + near_copies(2, 15, 3) + ["a b c d e f", "A B  c D e\tF", "a", "A", "", None, " \n", "a b"] + [f"u{k} v{k} w{k}" for k in range(5)]
