@@ -233,6 +233,9 @@ def components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, s
     scratch.sweep()
     keys = reps.select("node", "n", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
+    # Written first, so that the shuffle of all keys that found the shared ones is gone before the next begins.
+    shared = scratch.save(shared, "shared")
+    scratch.sweep()
     stars = scratch.save(keys.join(shared.withColumnRenamed("key", "s_key"), F.col("key") == F.col("s_key")).select("key", "node", "n", "low", "members"), "stars")
     scratch.sweep()
     sets = _sets(docs, reps, stars, width, scratch)
