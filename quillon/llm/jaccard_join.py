@@ -12,8 +12,8 @@ falls into a place, so equal tokens of two documents cancel and only their symme
    collected group). Pairs are verified on the shingle sets and give components.
 4. A key whose three or more nodes still lie in several components may hide links between nodes other than
    its least one. Nodes that such keys connect form a cluster. A cluster of bounded size is compared in one
-   task; the keys of larger clusters, once per distinct membership, are dealt in square cells of bounded
-   blocks. What is sent and compared there are bit sketches, a sixteenth of a set: their Hamming distance
+   task, each of its sets sent once; the keys of larger clusters, once per distinct membership, are dealt in
+   square cells of bounded blocks. What is sent and compared there are bit sketches, a sixteenth of a set: their Hamming distance
    never exceeds the symmetric difference, so pairs that it leaves between components are all that can link.
    They are verified on the sets, at most ROUND_PAIRS of two components a round, nearest first, and rounds
    go on until none is left. Every linked pair agrees in some key, so afterwards linked nodes share a
@@ -51,7 +51,7 @@ ODD_A, ODD_B, ODD_C = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94
 #: Words whose hash a worker remembers; nodes and shingle bytes of one block of a cell.
 REMEMBERED, BLOCK_NODES, BLOCK_BYTES = 200_000, 2_048, 128 << 20
 #: Nodes and shingle bytes of a cluster that one task compares, and pairs of two components that a cell gives out in a round.
-CLUSTER_NODES, CLUSTER_BYTES, ROUND_PAIRS = 6_144, 256 << 20, 64
+CLUSTER_NODES, CLUSTER_BYTES, ROUND_PAIRS = 6_144, 24 << 20, 64
 #: Bits of the filter that turns away texts that cannot be needed, and of one part of it.
 FILTER_BITS, PART_BITS = 1 << 22, 1 << 15
 
@@ -168,6 +168,32 @@ def sketch_bits(n: int) -> int:
     return max(64, 1 << max(4 * n - 1, 0).bit_length())
 
 
+def links_between(sets: list[np.ndarray], roots_: np.ndarray, sides: np.ndarray, t: Threshold) -> list[tuple[int, int]]:
+    """Positions of linked pairs that join what ``roots_`` keeps apart: a spanning set, not all of them.
+
+    ``sides`` is 0 or 1 for the two blocks of a cell and 2 throughout for a cell of one block with itself:
+    pairs within one block of two are another cell's.
+    """
+    size = np.array([len(s) for s in sets])
+    bits = 64
+    while bits < 4 * size.max(initial=1):
+        bits *= 2
+    sketch = np.stack([parity_sketch(s, bits) for s in sets])
+    comp = np.unique(roots_, return_inverse=True)[1]
+    out = []
+    for i in range(len(sets) - 1):
+        rest = np.arange(i + 1, len(sets))
+        rest = rest[(comp[rest] != comp[i]) & t.sizes_fit(size[rest], size[i]) & ((sides[rest] != sides[i]) | (sides[rest] == 2))]
+        if not len(rest):
+            continue
+        apart = np.bitwise_count(sketch[rest] ^ sketch[i]).sum(axis=1)
+        for j in rest[apart <= t.most_different(size[rest] + size[i])]:
+            if comp[j] != comp[i] and t.linked(sets[i], sets[j]):
+                out.append((i, int(j)))
+                comp[comp == comp[j]] = comp[i]
+    return out
+
+
 def pairs_between(size: np.ndarray, sketches: list[np.ndarray], comp: np.ndarray, sides: np.ndarray, t: Threshold) -> np.ndarray:
     """Rows (Hamming distance, i, j) of all pairs in different components that may link by size and sketch.
 
@@ -245,7 +271,13 @@ def components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, s
     links = scratch.save(_verified(pairs, sets, t), "links")
     tied = scratch.save(roots(links, scratch, "first"), "tied")
     scratch.sweep()
-    cells, turn, again = _cells(stars, tied, scratch), 0, True
+    small, cells = _cells(stars, tied, scratch)
+    within = scratch.save(_cluster_links(small, tied, sets, t), "within")
+    if not within.isEmpty():
+        stems = tied.select(F.col("root").alias("a"), F.col("node").alias("b"))
+        tied = scratch.save(roots(stems.unionByName(within), scratch, "inner"), "inner")
+    scratch.sweep()
+    turn, again = 0, True
     while again:
         offered = scratch.save(_offered(cells, tied, sets, t, turn * ROUND_PAIRS), f"offered{turn}")
         more = scratch.save(_verified(offered.where("a >= 0").distinct(), sets, t), f"more{turn}")
@@ -343,8 +375,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
     return both.mapInArrow(checked, "a long, b long")
 
 
-def _cells(stars: DataFrame, tied: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, i, j, block, node): what has to be compared, as cells of bounded size, for links that no star shows."""
+def _cells(stars: DataFrame, tied: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """What has to be compared for links that no star shows: (cluster, node) of bounded clusters, (key, i, j, block, node) of others."""
     many = stars.where(F.col("members") > 2).select("key", "node", "low", "n")
     held = many.join(tied.withColumnRenamed("node", "t_node"), F.col("node") == F.col("t_node"), "left").select("key", "node", "low", "n", F.coalesce("root", "node").alias("root"))
     held = scratch.save(held, "held")
@@ -356,7 +388,7 @@ def _cells(stars: DataFrame, tied: DataFrame, scratch: Scratch) -> DataFrame:
     fits = (F.count(F.lit(1)) <= CLUSTER_NODES) & (F.sum("n") * 8 <= CLUSTER_BYTES)
     sizes = inside.groupBy("cluster").agg(fits.alias("fits")).withColumnRenamed("cluster", "z_cluster")
     placed = scratch.save(inside.join(sizes, F.col("cluster") == F.col("z_cluster")).drop("z_cluster"), "placed")
-    small = placed.where("fits").select(F.col("cluster").alias("key"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("block"), "node")
+    small = placed.where("fits").select("cluster", "node")
     large = held.join(placed.where("NOT fits").select(F.col("node").alias("l_node")), F.col("node") == F.col("l_node"), "left_semi")
     whole = large.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x2"))
     once = whole.groupBy("members", "x1", "x2").agg(F.min(F.struct("key", "total")).alias("k"))
@@ -365,7 +397,22 @@ def _cells(stars: DataFrame, tied: DataFrame, scratch: Scratch) -> DataFrame:
     dealt = large.join(chosen, F.col("key") == F.col("c_key")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     crossed = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     crossed = crossed.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node")
-    return scratch.save(small.unionByName(crossed), "cells")
+    return small, scratch.save(crossed, "cells")
+
+
+def _cluster_links(small: DataFrame, tied: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
+    """Links (a, b) that join components within each bounded cluster: a spanning set, verified in its task."""
+    now = tied.select(F.col("node").alias("t_node"), "root")
+    full = small.join(now, F.col("node") == F.col("t_node"), "left").select("cluster", "node", F.coalesce("root", "node").alias("root"))
+    full = full.join(sets.select(F.col("node").alias("s_node"), "shingles"), F.col("node") == F.col("s_node")).drop("s_node")
+
+    def compared(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node")
+        node = pdf["node"].to_numpy()
+        got = links_between([np.frombuffer(x, dtype=U64) for x in pdf["shingles"]], pdf["root"].to_numpy(), np.full(len(pdf), 2), t)
+        return pd.DataFrame({"a": [node[i] for i, _ in got], "b": [node[j] for _, j in got]}, dtype="int64")
+
+    return full.groupBy("cluster").applyInPandas(compared, "a long, b long")
 
 
 def _offered(cells: DataFrame, tied: DataFrame, sets: DataFrame, t: Threshold, skip: int) -> DataFrame:
