@@ -108,11 +108,13 @@ def balanced_panel(ranked: DataFrame, classes: DataFrame, moves: DataFrame, per_
     return first_wins(best.select("unit", F.concat(F.lit("top_"), "regulator_class").alias("source")), up, down)
 
 
-def expanded_panel(df: DataFrame, contexts: int = 3, top: int = 50) -> DataFrame:
-    """V2: units gated in all contexts, mean support at least the median of unit means, then the largest responses."""
+def expanded_panel(df: DataFrame, contexts: int = 3, top: int | None = 50) -> DataFrame:
+    """V2: units gated in all contexts, mean support at least the median of unit means, then the ``top`` largest responses, or all."""
     g = df.where("gate").groupBy("unit").agg(F.countDistinct("context").alias("n"), F.avg("support").alias("s"), F.max("response").alias("m")).where(F.col("n") == contexts)
     floor = g.agg(F.median("s").alias("floor"))
-    return g.crossJoin(F.broadcast(floor)).where("s >= floor").orderBy(F.col("m").desc(), "unit").limit(top).select("unit", F.round("s", 6).alias("mean_support"), F.col("m").alias("max_response"))
+    kept = g.crossJoin(F.broadcast(floor)).where("s >= floor")
+    kept = kept if top is None else kept.orderBy(F.col("m").desc(), "unit").limit(top)
+    return kept.select("unit", F.round("s", 6).alias("mean_support"), F.col("m").alias("max_response"))
 
 
 def block_summary(df: DataFrame, threshold: float = 0.2) -> DataFrame:

@@ -10,21 +10,19 @@ from quillon.functions import exprs as X
 from quillon.operators import learn as M
 from quillon.operators import lowrank as L
 from quillon.operators import profiles as P
-from quillon.plans.bindings import profiles, table
+from quillon.plans.bindings import contrast, profiles, table
 from quillon.plans.profile_queries import cells, knn
 from quillon.plans.registry import query
 
 
-def dense(spark, sf_dir, top: int = 120):
-    """The tensor of the expanded panel's size: the ``top`` units of most support (a panel limit is the operator's feature)."""
-    df = cells(spark, sf_dir)
-    best = df.groupBy("unit").agg(F.sum("support").alias("s")).orderBy(F.col("s").desc(), "unit").limit(top).select("unit")
-    rows = df.join(F.broadcast(best), "unit", "left_semi").orderBy("unit", "context").collect()
-    units, contexts = sorted({r["unit"] for r in rows}), ["A", "N", "R"]
+def dense(spark, sf_dir):
+    """The tensor of the whole expanded panel (V2: gate in all contexts and median support, no limit of units) and its mask."""
+    panel = P.expanded_panel(contrast(spark, sf_dir), top=None).select("unit")
+    rows = cells(spark, sf_dir).join(panel, "unit", "left_semi").select("unit", "context", "profile").toArrow()
+    units, i = np.unique(rows.column("unit").to_numpy(), return_inverse=True)
+    k = np.searchsorted(["A", "N", "R"], rows.column("context").to_pylist())
     t, mask = np.zeros((len(units), 5, 3)), np.zeros((len(units), 5, 3), dtype=bool)
-    for r in rows:
-        i, k = units.index(r["unit"]), contexts.index(r["context"])
-        t[i, :, k], mask[i, :, k] = np.log1p(r["profile"]), True
+    t[i, :, k], mask[i, :, k] = np.log1p(np.array(rows.column("profile").to_pylist(), dtype=np.float64).reshape(-1, 5)), True
     return t, mask
 
 

@@ -30,3 +30,18 @@ def test_noise_edge_of_all_rows(spark):
 def test_both_edges_have_the_same_rows(spark):
     row = QUERIES["kernel_rmt"](spark, SF).first()
     assert row.empirical_edge == pytest.approx(row.theory_edge, abs=0.1)
+
+
+def test_tensor_has_the_whole_panel(spark):
+    from quillon.operators import profiles as P
+    from quillon.plans.bindings import contrast
+    from quillon.plans.kernel_queries import dense
+
+    sf = "/root/testdata/sf0.1"
+    df = contrast(spark, sf).where("gate").toPandas()
+    by = df.groupby("unit").agg(n=("context", "nunique"), s=("support", "mean"))
+    by = by[by["n"] == 3]
+    want = int((by["s"] >= by["s"].median()).sum())
+    t, mask = dense(spark, sf)
+    assert len(t) == want > 120 and mask.all()
+    assert P.expanded_panel(contrast(spark, sf)).count() == 50
