@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -53,14 +55,14 @@ def kernel_varimax(spark, sf_dir):
 
 @query("kernel_principal_angles")
 def kernel_principal_angles(spark, sf_dir):
-    """Angles between the subspaces of pairs of programs (replicates), all programs in one pass of Gram sums."""
-    df, out = profiles(spark, sf_dir), []
-    names = [r["program"] for r in df.select("program").distinct().orderBy("program").limit(4).collect()]
-    spaces = {n: L.principal_axes(*L.gram(df.where(F.col("program") == n), 64), 3)[1].T for n in names}
-    for i, a in enumerate(names):
-        for b in names[i + 1 :]:
-            out += [(a, b, k, round(float(c), 8)) for k, c in enumerate(L.principal_angles(spaces[a], spaces[b]))]
-    return spark.createDataFrame(out, "a string, b string, k int, cos2 double")
+    """Angles between the subspaces of all pairs of programs (replicates), all programs in one pass of Gram sums, with the random-subspace null."""
+    spaces = {n: L.principal_axes(*g, 3)[1].T for n, g in L.grams(profiles(spark, sf_dir), 64, "program").items()}
+    mean, high = L.random_subspace_null(64, 3)
+    out = []
+    for a, b in combinations(sorted(spaces), 2):
+        cos2 = L.principal_angles(spaces[a], spaces[b])
+        out += [(a, b, k, round(float(c), 8), round(mean, 8), round(high, 8), bool(cos2.mean() > high)) for k, c in enumerate(cos2)]
+    return spark.createDataFrame(out, "a string, b string, k int, cos2 double, null_mean double, null_p95 double, above_null boolean")
 
 
 @query("kernel_linkage")

@@ -45,3 +45,18 @@ def test_tensor_has_the_whole_panel(spark):
     t, mask = dense(spark, sf)
     assert len(t) == want > 120 and mask.all()
     assert P.expanded_panel(contrast(spark, sf)).count() == 50
+
+
+def test_angles_of_all_pairs_of_programs(spark):
+    from quillon.plans.bindings import profiles
+
+    rows = QUERIES["kernel_principal_angles"](spark, SF).collect()
+    df = profiles(spark, SF).toPandas()
+    names = sorted(df["program"].unique())
+    assert {(r.a, r.b) for r in rows} == {(a, b) for a in names for b in names if a < b} and len(names) > 4
+    x = {n: np.stack(df[df["program"] == n]["profile"]) for n in (names[0], names[-1])}
+    a, b = (np.linalg.svd(v - v.mean(axis=0), full_matrices=False)[2][:3].T for v in x.values())
+    got = [r.cos2 for r in sorted(rows, key=lambda r: r.k) if (r.a, r.b) == (names[0], names[-1])]
+    assert got == pytest.approx(L.principal_angles(a, b).tolist(), abs=1e-6)
+    assert 0 < rows[0].null_mean < rows[0].null_p95 < 1
+    assert L.random_subspace_null(64, 3)[0] == pytest.approx(3 / 64, abs=0.005)
