@@ -102,10 +102,20 @@ NULL_POOL = f"{BASE}, pool AS (SELECT unit AS id, CAST(response AS DOUBLE) AS va
 @query("edge_matched_null", f"WITH {NULL_POOL}, d AS (SELECT b, value, ROW_NUMBER() OVER (PARTITION BY b ORDER BY MD5('null#' || CAST(b AS VARCHAR) || '#' || CAST(id AS VARCHAR)), id) AS k FROM pool, RANGE(30) t(b)), m AS (SELECT b, ROUND(AVG(value), 9) AS m FROM d WHERE k <= 25 GROUP BY b) SELECT ROUND(MAX(observed), 6) AS observed, ROUND(AVG(m), 6) AS null_mean, ROUND(STDDEV_POP(m), 6) AS null_sd, ROUND((MAX(observed) - AVG(m)) / (STDDEV_POP(m) + 1e-9), 4) AS z, ROUND((SUM(CASE WHEN m >= observed THEN 1 ELSE 0 END) + 1) / (COUNT(*) + 1.0::DOUBLE), 6) AS p, ROUND(QUANTILE_CONT(m, 0.95), 6) AS p95 FROM m, tested")
 def edge_matched_null(spark, sf_dir):
     """Observed mean against seeded draws from a matched pool."""
+    return matched(spark, sf_dir, 30)
+
+
+def matched(spark, sf_dir, draws: int):
     df = contrast(spark, sf_dir).where("context = 'N' AND gate")
     pool = df.where("NOT penalty_flag").select(F.col("unit").alias("id"), F.col("response").cast("double").alias("value"))
     seen = df.where("penalty_flag").agg(F.round(F.avg(F.col("response").cast("double")), 9).alias("observed"))
-    return D.matched_null(pool, 25, 30, seen)
+    return D.matched_null(pool, 25, draws, seen)
+
+
+@query("edge_matched_null_full")
+def edge_matched_null_full(spark, sf_dir):
+    """I15 with the reference's 500 draws: the SQL is held against 30."""
+    return matched(spark, sf_dir, 500)
 
 
 @query("edge_verdict", f"WITH {EFFECTS}, {CLASSES}, s AS (SELECT class, COUNT(*) AS hits, AVG(CASE WHEN y > 0 THEN 1.0 ELSE 0.0 END) AS up FROM effects e JOIN classes c ON e.unit = c.unit WHERE ABS(y) > {B} GROUP BY 1) SELECT class, CASE WHEN hits >= (SELECT AVG(hits) FROM s) THEN CASE WHEN up > 0.5 THEN 'specific up' ELSE 'specific down' END WHEN up > 0.5 THEN 'direction only' ELSE 'none' END AS verdict FROM s")
@@ -259,14 +269,34 @@ def stat_concordance(spark, sf_dir):
 @query("stat_cohesion_null", f"WITH {PROFILES}, z AS (SELECT unit, SQRT(LIST_SUM(LIST_TRANSFORM(profile, lambda x: x * x))) AS nn, profile FROM profiles), uv AS (SELECT unit, UNNEST(RANGE(64)) AS d, UNNEST(profile) / CASE WHEN nn = 0 THEN 1 ELSE nn END AS v FROM z), mem AS (SELECT program AS set_name, unit FROM profiles), sz AS (SELECT set_name, CAST(COUNT(*) AS BIGINT) AS m FROM mem GROUP BY 1 HAVING COUNT(*) >= 2), seen AS (SELECT q.set_name, m, ROUND((SUM(s * s) - m) / (m * (m - 1)), 9) AS observed FROM (SELECT set_name, d, SUM(v) AS s FROM mem JOIN uv ON mem.unit = uv.unit GROUP BY 1, 2) q JOIN sz ON q.set_name = sz.set_name GROUP BY 1, 2), rk AS (SELECT unit, b, ROW_NUMBER() OVER (PARTITION BY b ORDER BY MD5('cohesion#' || CAST(b AS VARCHAR) || '#' || CAST(unit AS VARCHAR)), unit) AS k FROM profiles, RANGE(20) t(b)), nl AS (SELECT q.set_name, b, ROUND((SUM(s * s) - m) / (m * (m - 1)), 9) AS v FROM (SELECT set_name, b, m, d, SUM(v) AS s FROM rk JOIN sz ON k <= m JOIN uv ON rk.unit = uv.unit GROUP BY 1, 2, 3, 4) q GROUP BY q.set_name, b, m) SELECT n.set_name, m, ROUND(observed, 6) AS observed, ROUND(AVG(v), 6) AS null_mean, ROUND((observed - AVG(v)) / (STDDEV_POP(v) + 1e-9), 3) AS z, ROUND((SUM(CASE WHEN v >= observed THEN 1 ELSE 0 END) + 1) / (COUNT(*) + 1.0::DOUBLE), 6) AS p FROM nl n JOIN seen s ON n.set_name = s.set_name GROUP BY 1, 2, observed")
 def stat_cohesion_null(spark, sf_dir):
     """Cohesion of sets against seeded draws, without forming pairs."""
+    return cohesion(spark, sf_dir, 20)
+
+
+def cohesion(spark, sf_dir, draws: int):
     df = profiles(spark, sf_dir)
-    return T.cohesion_null(df, df.select(F.col("program").alias("set_name"), "unit"), 20)
+    return T.cohesion_null(df, df.select(F.col("program").alias("set_name"), "unit"), draws)
+
+
+@query("stat_cohesion_null_full")
+def stat_cohesion_null_full(spark, sf_dir):
+    """I23, R4 with the reference's 5,000 draws: too many for the SQL, which is held against 20."""
+    return cohesion(spark, sf_dir, 5000)
 
 
 @query("stat_stratified_load", "WITH u AS (SELECT c_custkey AS unit, ROUND(ABS(c_acctbal), 2) AS score, CAST(LENGTH(c_mktsegment) * 1000 + c_custkey % 700 AS DOUBLE) AS size FROM customer), e AS (SELECT LIST_SORT(LIST_DISTINCT(QUANTILE_CONT(size, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]))) AS cuts FROM u), s AS (SELECT unit, score, CAST(LEN(LIST_FILTER(cuts, lambda c: c < size)) AS INT) AS stratum FROM u, e), mem AS (SELECT CAST(c_nationkey AS VARCHAR) AS set_name, c_custkey AS unit FROM customer ), nd AS (SELECT set_name, stratum, COUNT(*) AS need, SUM(score) AS load FROM mem JOIN s ON mem.unit = s.unit GROUP BY 1, 2), seen AS (SELECT set_name, SUM(load) AS observed FROM nd GROUP BY 1), rk AS (SELECT b, stratum, score, ROW_NUMBER() OVER (PARTITION BY b, stratum ORDER BY MD5('load#' || CAST(b AS VARCHAR) || '#' || CAST(unit AS VARCHAR)), unit) AS k FROM s, RANGE(20) t(b)), nl AS (SELECT set_name, b, ROUND(SUM(score), 4) AS v FROM rk JOIN nd ON rk.stratum = nd.stratum AND k <= need GROUP BY 1, 2) SELECT n.set_name, ROUND(observed, 4) AS observed, ROUND(AVG(v), 4) AS null_mean, ROUND(AVG(CASE WHEN v >= ROUND(observed, 4) THEN 1.0 ELSE 0.0 END), 6) AS p FROM nl n JOIN seen s ON n.set_name = s.set_name GROUP BY 1, observed")
 def stat_stratified_load(spark, sf_dir):
     """Loads of sets against draws that match the deciles of their members."""
+    return load(spark, sf_dir, 20)
+
+
+def load(spark, sf_dir, draws: int):
     c = table(spark, sf_dir, "customer")
     u = c.select(F.col("c_custkey").alias("unit"), F.round(F.abs("c_acctbal"), 2).alias("score"), (F.length("c_mktsegment") * 1000 + F.col("c_custkey") % 700).cast("double").alias("size"))
     members = c.select(F.col("c_nationkey").cast("string").alias("set_name"), F.col("c_custkey").alias("unit"))
-    return T.stratified_load(T.decile_edges(u, "size").select("unit", "score", "stratum"), members, 20)
+    return T.stratified_load(T.decile_edges(u, "size").select("unit", "score", "stratum"), members, draws)
+
+
+@query("stat_stratified_load_full")
+def stat_stratified_load_full(spark, sf_dir):
+    """I28, W15 with the reference's 10,000 draws: too many for the SQL, which is held against 20."""
+    return load(spark, sf_dir, 10000)

@@ -150,9 +150,19 @@ def concord_condition_panel(spark, sf_dir):
 @query("concord_permutation", f"WITH {BASE}, b AS (SELECT unit, context, ROUND(work, 9) AS x, support AS y, CAST(ROW_NUMBER() OVER (ORDER BY unit, context) AS BIGINT) AS pos FROM work), s AS (SELECT b.b, pos AS p0, CAST(ROW_NUMBER() OVER (PARTITION BY b.b ORDER BY MD5('perm#' || CAST(b.b AS VARCHAR) || '#' || CAST(pos AS VARCHAR)), pos) AS BIGINT) AS pos FROM (SELECT t.b, pos FROM b, RANGE(20) t(b)) b), nl AS (SELECT s.b, CORR(a.x, c.y) AS r FROM s JOIN b a ON a.pos = s.p0 JOIN b c ON c.pos = s.pos GROUP BY 1), o AS (SELECT CORR(x, y) AS r FROM b) SELECT ROUND(o.r, 6) AS observed, ROUND(QUANTILE_CONT(nl.r, 0.95), 6) AS q95, ROUND((SUM(CASE WHEN nl.r >= o.r THEN 1 ELSE 0 END) + 1) / (COUNT(*) + 1.0::DOUBLE), 6) AS p FROM nl, o GROUP BY o.r")
 def concord_permutation(spark, sf_dir):
     """Correlation against seeded permutations, the draw being a key."""
+    return permuted(spark, sf_dir, 20)
+
+
+def permuted(spark, sf_dir, draws: int):
     b = deviations(spark, sf_dir).select("unit", "context", F.round("work", 9).alias("x"), F.col("support").alias("y")).withColumn("pos", F.row_number().over(Window.orderBy("unit", "context")).cast("long"))
-    slots = b.select(F.col("pos").alias("p0"), "x").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(19))))
+    slots = b.select(F.col("pos").alias("p0"), "x").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     placed = slots.withColumn("pos", F.row_number().over(Window.partitionBy("b").orderBy(X.seeded("perm", F.col("b"), F.col("p0")), "p0")).cast("long"))
     null = placed.join(b.select("pos", "y"), "pos").groupBy("b").agg(X.pearson(F.col("x"), F.col("y")).alias("r"))
     seen = b.agg(X.pearson(F.col("x"), F.col("y")).alias("o"))
     return null.crossJoin(F.broadcast(seen)).agg(F.round(F.max("o"), 6).alias("observed"), F.round(F.percentile("r", F.lit(0.95)), 6).alias("q95"), F.round((F.sum((F.col("r") >= F.col("o")).cast("long")) + 1) / (F.count(F.lit(1)) + 1.0), 6).alias("p"))
+
+
+@query("concord_permutation_full")
+def concord_permutation_full(spark, sf_dir):
+    """I25, K5 with the reference's 300 draws: the SQL is held against 20."""
+    return permuted(spark, sf_dir, 300)

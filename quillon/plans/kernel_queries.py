@@ -126,7 +126,7 @@ def kernel_cp_bootstrap(spark, sf_dir):
         sign = np.sign((base[1] * f[1][:, order]).sum(axis=0))
         return {"b": int(task["b"]), "loadings": [float(v) for v in (f[2][:, order] * sign).T.ravel()]}
 
-    fits = L.grid(spark, pd.DataFrame({"b": range(12)}), run, "b int, loadings array<double>")
+    fits = L.grid(spark, pd.DataFrame({"b": range(100)}), run, "b int, loadings array<double>")
     long_ = fits.select(F.posexplode("loadings").alias("k", "v"))
     q = long_.groupBy("k").agg(F.percentile("v", F.lit(0.025)).alias("lo"), F.percentile("v", F.lit(0.975)).alias("hi"))
     q = q.select(F.expr("CAST(k DIV 3 AS INT)").alias("component"), (F.col("k") % 3).alias("context"), "lo", "hi")

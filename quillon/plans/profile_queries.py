@@ -264,7 +264,17 @@ def graph_modularity(spark, sf_dir):
 @query("graph_modularity_null", f"WITH {KNN}, {MOD}, o AS (SELECT unit AS node, program AS label, ROW_NUMBER() OVER (ORDER BY unit) AS pos FROM p), s AS (SELECT b, node, ROW_NUMBER() OVER (PARTITION BY b ORDER BY MD5('perm#' || CAST(b AS VARCHAR) || '#' || CAST(node AS VARCHAR)), node) AS pos FROM o, RANGE(10) t(b)), l AS (SELECT b, s.node, o.label FROM s JOIN o ON s.pos = o.pos), i AS (SELECT x.b, x.label, SUM(weight) AS inside FROM edges JOIN l x ON x.node = src JOIN l y ON y.node = dst AND x.b = y.b AND x.label = y.label GROUP BY 1, 2), d AS (SELECT b, label, SUM(k) AS k FROM l JOIN k ON l.node = k.node GROUP BY 1, 2) SELECT d.b, ROUND(SUM(COALESCE(inside, 0) / w - (k / (2 * w)) * (k / (2 * w))), 6) AS modularity FROM d LEFT JOIN i ON d.b = i.b AND d.label = i.label, w GROUP BY 1")
 def graph_modularity_null(spark, sf_dir):
     """Modularity under seeded label permutations, the draw being a key."""
+    return relabelled(spark, sf_dir, 10)
+
+
+def relabelled(spark, sf_dir, draws: int):
     base = panel(spark, sf_dir).select(F.col("unit").alias("node"), F.col("program").alias("label")).withColumn("pos", F.row_number().over(Window.orderBy("node")))
-    slots = base.select("node").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))))
+    slots = base.select("node").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
     placed = slots.withColumn("pos", F.row_number().over(Window.partitionBy("b").orderBy(X.seeded("perm", F.col("b"), F.col("node")), "node")))
     return G.modularity(P.neighbour_edges(knn(spark, sf_dir)), placed.join(base.select("pos", "label"), "pos"), ("b",))
+
+
+@query("graph_modularity_null_full")
+def graph_modularity_null_full(spark, sf_dir):
+    """G8, K5 with the reference's 100 draws: the SQL is held against 10."""
+    return relabelled(spark, sf_dir, 100)

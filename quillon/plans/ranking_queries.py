@@ -304,8 +304,18 @@ br AS (SELECT bu.b, unit, ROW_NUMBER() OVER (PARTITION BY bu.b ORDER BY ROUND(d
 SELECT unit, CAST(COUNT(*) AS BIGINT) AS n_appearances, ROUND(AVG(CASE WHEN r <= 30 THEN 1.0 ELSE 0.0 END), 6) AS selection_frequency, QUANTILE_CONT(r, 0.5) AS median_rank, QUANTILE_CONT(r, 0.75) - QUANTILE_CONT(r, 0.25) AS rank_iqr FROM br GROUP BY unit""")
 def rank_bootstrap(spark, sf_dir):
     """Seeded bootstrap of the ranking, all replicates in one job."""
+    return bootstrap(spark, sf_dir, 20)
+
+
+def bootstrap(spark, sf_dir, draws: int):
     df = deviations(spark, sf_dir).withColumn("row_id", (F.row_number().over(Window.orderBy("unit", "context")) - 1).cast("long"))
-    return R.bootstrap_stability(df)
+    return R.bootstrap_stability(df, draws)
+
+
+@query("rank_bootstrap_full")
+def rank_bootstrap_full(spark, sf_dir):
+    """I17, R2, R3 with the reference's 200 replicates: the SQL is held against 20."""
+    return bootstrap(spark, sf_dir, 200)
 
 
 @query("rank_flag_sensitivity", f"""WITH {BASE},

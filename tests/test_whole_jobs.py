@@ -60,3 +60,24 @@ def test_angles_of_all_pairs_of_programs(spark):
     assert got == pytest.approx(L.principal_angles(a, b).tolist(), abs=1e-6)
     assert 0 < rows[0].null_mean < rows[0].null_p95 < 1
     assert L.random_subspace_null(64, 3)[0] == pytest.approx(3 / 64, abs=0.005)
+
+
+def test_full_draw_counts(spark):
+    p = [r.p for r in QUERIES["stat_stratified_load_full"](spark, SF).collect() if r.p is not None]
+    assert p and all(abs(v * 10000 - round(v * 10000)) < 1e-6 for v in p) and any(abs(v * 20 - round(v * 20)) > 1e-6 for v in p)
+    p = QUERIES["concord_permutation_full"](spark, SF).first().p
+    assert p * 301 == pytest.approx(round(p * 301), abs=1e-3)
+    assert QUERIES["graph_modularity_null_full"](spark, SF).count() == 100
+    appearances = [r.n_appearances for r in QUERIES["rank_bootstrap_full"](spark, SF).collect()]
+    assert 20 < max(appearances) <= 200
+
+
+def test_full_draws_tell_a_strong_set(spark):
+    from quillon.operators import stats as T
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(60, 8))
+    x[:6, 0] += 6
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "unit long, profile array<double>")
+    members = spark.createDataFrame([("strong", i) for i in range(6)], "set_name string, unit long")
+    assert T.cohesion_null(df, members, 300).first().p == pytest.approx(1 / 301, abs=1e-6)
