@@ -268,7 +268,7 @@ def stat_concordance(spark, sf_dir):
 
 @query("stat_cohesion_null", f"WITH {PROFILES}, z AS (SELECT unit, SQRT(LIST_SUM(LIST_TRANSFORM(profile, lambda x: x * x))) AS nn, profile FROM profiles), uv AS (SELECT unit, UNNEST(RANGE(64)) AS d, UNNEST(profile) / CASE WHEN nn = 0 THEN 1 ELSE nn END AS v FROM z), mem AS (SELECT program AS set_name, unit FROM profiles), sz AS (SELECT set_name, CAST(COUNT(*) AS BIGINT) AS m FROM mem GROUP BY 1 HAVING COUNT(*) >= 2), seen AS (SELECT q.set_name, m, ROUND((SUM(s * s) - m) / (m * (m - 1)), 9) AS observed FROM (SELECT set_name, d, SUM(v) AS s FROM mem JOIN uv ON mem.unit = uv.unit GROUP BY 1, 2) q JOIN sz ON q.set_name = sz.set_name GROUP BY 1, 2), rk AS (SELECT unit, b, ROW_NUMBER() OVER (PARTITION BY b ORDER BY MD5('cohesion#' || CAST(b AS VARCHAR) || '#' || CAST(unit AS VARCHAR)), unit) AS k FROM profiles, RANGE(20) t(b)), nl AS (SELECT q.set_name, b, ROUND((SUM(s * s) - m) / (m * (m - 1)), 9) AS v FROM (SELECT set_name, b, m, d, SUM(v) AS s FROM rk JOIN sz ON k <= m JOIN uv ON rk.unit = uv.unit GROUP BY 1, 2, 3, 4) q GROUP BY q.set_name, b, m) SELECT n.set_name, m, ROUND(observed, 6) AS observed, ROUND(AVG(v), 6) AS null_mean, ROUND((observed - AVG(v)) / (STDDEV_POP(v) + 1e-9), 3) AS z, ROUND((SUM(CASE WHEN v >= observed THEN 1 ELSE 0 END) + 1) / (COUNT(*) + 1.0::DOUBLE), 6) AS p FROM nl n JOIN seen s ON n.set_name = s.set_name GROUP BY 1, 2, observed")
 def stat_cohesion_null(spark, sf_dir):
-    """Cohesion of sets against seeded draws, without forming pairs."""
+    """Cohesion of sets against seeded draws, without forming pairs."""
     return cohesion(spark, sf_dir, 20)
 
 

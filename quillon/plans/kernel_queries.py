@@ -94,7 +94,7 @@ def kernel_deconvolution(spark, sf_dir):
 
 @query("kernel_cp")
 def kernel_cp(spark, sf_dir):
-    """CP fits of ranks 1 to 4, each a task: error, degeneracy, weights."""
+    """CP fits of ranks 1 to 4, each a task: error, degeneracy, weights."""
     t, mask = dense(spark, sf_dir)
 
     def run(task: dict) -> dict:
@@ -106,11 +106,13 @@ def kernel_cp(spark, sf_dir):
 
 @query("kernel_cp_stability")
 def kernel_cp_stability(spark, sf_dir):
-    """Split-half stability over a grid of ranks and splits, and the rank it chooses."""
+    """Split-half stability over a grid of ranks and splits, and the rank it chooses: the largest stable one, or else the most stable."""
     t, mask = dense(spark, sf_dir)
     tasks = pd.DataFrame([(r, s) for r in (1, 2, 3) for s in range(3)], columns=["rank", "split"])
     fits = L.grid(spark, tasks, lambda x: {"rank": int(x["rank"]), "split": int(x["split"]), "cosine": L.split_half(t, mask, int(x["rank"]), int(x["split"]))}, "rank int, split int, cosine double")
-    return fits.groupBy("rank").agg(F.round(F.avg("cosine"), 6).alias("stability")).withColumn("stable", F.col("stability") > 0.7)
+    scores = fits.groupBy("rank").agg(F.round(F.avg("cosine"), 6).alias("stability")).withColumn("stable", F.col("stability") > 0.7)
+    best = scores.agg(F.coalesce(F.max(F.when(F.col("stable"), F.col("rank"))), F.max_by("rank", "stability")).alias("best"))
+    return scores.crossJoin(F.broadcast(best)).select("rank", "stability", "stable", (F.col("rank") == F.col("best")).alias("chosen"))
 
 
 @query("kernel_cp_bootstrap")
@@ -136,7 +138,7 @@ def kernel_cp_bootstrap(spark, sf_dir):
 
 @query("kernel_completion")
 def kernel_completion(spark, sf_dir):
-    """Held-out R2 of completions over a grid of ranks and seeds, with the predictive rank of each seed."""
+    """Held-out R2 of completions over a grid of ranks and seeds, with the predictive rank of each seed."""
     t, mask = dense(spark, sf_dir)
     x, m = L._flat(t), L._flat(mask)
 
@@ -151,7 +153,7 @@ def kernel_completion(spark, sf_dir):
 
 @query("kernel_fibre_extrapolation")
 def kernel_fibre_extrapolation(spark, sf_dir):
-    """Held-out context fibres over ranks and seeds: margin over persistence, mean and sample deviation over seeds."""
+    """Held-out context fibres over ranks and seeds: margin over persistence, mean and sample deviation over seeds."""
     t, mask = dense(spark, sf_dir)
 
     def run(task: dict) -> dict:
@@ -176,7 +178,7 @@ def kernel_rmt(spark, sf_dir):
 
 @query("kernel_communities")
 def kernel_communities(spark, sf_dir):
-    """Modularity communities of the neighbour graph over a grid of resolutions and seeds; edges are a panel's, so bounded."""
+    """Modularity communities of the neighbour graph over a grid of resolutions and seeds; edges are a panel's, so bounded."""
     e = P.neighbour_edges(knn(spark, sf_dir)).where("weight > 0").orderBy("src", "dst").toPandas()
     nodes = np.unique(e[["src", "dst"]].to_numpy())
     src, dst, w = np.searchsorted(nodes, e["src"]), np.searchsorted(nodes, e["dst"]), e["weight"].to_numpy()

@@ -81,3 +81,9 @@ def test_full_draws_tell_a_strong_set(spark):
     df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "unit long, profile array<double>")
     members = spark.createDataFrame([("strong", i) for i in range(6)], "set_name string, unit long")
     assert T.cohesion_null(df, members, 300).first().p == pytest.approx(1 / 301, abs=1e-6)
+
+
+def test_stability_chooses_a_rank(spark):
+    rows = QUERIES["kernel_cp_stability"](spark, SF).collect()
+    stable = [r.rank for r in rows if r.stable]
+    assert [r.rank for r in rows if r.chosen] == [max(stable) if stable else max(rows, key=lambda r: r.stability).rank]
