@@ -13,7 +13,7 @@ written with the rows and summed counts per (task, length): no length's document
 
 Defined results: null text is an empty document of one end id; repeated rows are packed as often as they
 occur; null ids pass through; an empty table gives no rows; extra columns are ignored. The literal text of
-a special token is ordinary text.
+the vocabulary's special token is that token's one id, as the tokenizer has it by default.
 """
 
 from __future__ import annotations
@@ -36,6 +36,9 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 LENGTH = 2048
 #: Space-delimited words whose ids a worker remembers, and the longest word that it does.
 REMEMBERED, LONGEST = 120_000, 40
+#: The added token of the vocabulary's tokenizer file, and its id.
+SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
+SPECIAL_BYTES = SPECIAL_ID.to_bytes(4, "little")
 #: White space on both sides of a space, or before one at the end, is one token there: such texts are encoded whole.
 _MIXED_SPACE = re.compile(r"\s \s|\s \Z")
 
@@ -66,7 +69,14 @@ class Encoder:
 
         self._known = Known()
 
+    def document(self, text: str) -> bytes:
+        """Ids of a document: the literal of the special token is its id, and the texts around it are encoded each by itself."""
+        if SPECIAL not in text:
+            return self.ids(text)
+        return SPECIAL_BYTES.join(self.ids(part) if part else b"" for part in text.split(SPECIAL))
+
     def ids(self, text: str) -> bytes:
+        """Ids of ordinary text."""
         if _MIXED_SPACE.search(text):
             return np.array(self._plain(text), dtype="<u4").tobytes()
         first, *words = text.split(" ")
@@ -160,7 +170,7 @@ def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY, en
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task = _encoder(vocabulary).ids, TaskContext.get().partitionId()
+        encode, task = _encoder(vocabulary).document, TaskContext.get().partitionId()
         seen = np.zeros(length + 1, dtype=np.int64)
         for batch in batches:
             index, found = [], []
