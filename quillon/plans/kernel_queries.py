@@ -13,19 +13,23 @@ from quillon.operators import learn as M
 from quillon.operators import lowrank as L
 from quillon.operators import profiles as P
 from quillon.plans.bindings import contrast, profiles, table
-from quillon.plans.profile_queries import cells, knn
+from quillon.plans.profile_queries import cells, knn, profile_balanced_panel
 from quillon.plans.registry import query
 
 
 def dense(spark, sf_dir):
     """The tensor of the whole expanded panel (V2: gate in all contexts and median support, no limit of units) and its mask."""
-    panel = P.expanded_panel(contrast(spark, sf_dir), top=None).select("unit")
+    return tensor(spark, sf_dir, P.expanded_panel(contrast(spark, sf_dir), top=None).select("unit"))[1:]
+
+
+def tensor(spark, sf_dir, panel):
+    """(units, tensor, mask) of a panel's units."""
     rows = cells(spark, sf_dir).join(panel, "unit", "left_semi").select("unit", "context", "profile").toArrow()
     units, i = np.unique(rows.column("unit").to_numpy(), return_inverse=True)
     k = np.searchsorted(["A", "N", "R"], rows.column("context").to_pylist())
     t, mask = np.zeros((len(units), 5, 3)), np.zeros((len(units), 5, 3), dtype=bool)
     t[i, :, k], mask[i, :, k] = np.log1p(np.array(rows.column("profile").to_pylist(), dtype=np.float64).reshape(-1, 5)), True
-    return t, mask
+    return units, t, mask
 
 
 @query("kernel_pca")
@@ -67,14 +71,12 @@ def kernel_principal_angles(spark, sf_dir):
 
 @query("kernel_linkage")
 def kernel_linkage(spark, sf_dir):
-    """Average-linkage clusters of program centroids (bounded by the number of programs)."""
-    long_ = P.long_form(profiles(spark, sf_dir)).join(profiles(spark, sf_dir).select("unit", "program"), "unit")
-    c = long_.groupBy("program", "feature").agg(F.avg("value").alias("v")).orderBy("program", "feature").collect()
-    names = sorted({r["program"] for r in c})
-    x = np.array([r["v"] for r in c]).reshape(len(names), -1)
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    label = L.average_linkage(1 - u @ u.T, 4)
-    return spark.createDataFrame([(n, int(k)) for n, k in zip(names, label, strict=True)], "program string, cluster int")
+    """Average-linkage clusters of the units of the balanced panel (V1, bounded by its classes and moves), all contexts end to end."""
+    units, t, _ = tensor(spark, sf_dir, profile_balanced_panel(spark, sf_dir).select("unit"))
+    x = L._flat(t)
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    label = L.average_linkage(1 - u @ u.T, min(12, max(2, len(units) // 15)))
+    return spark.createDataFrame([(int(n), int(k)) for n, k in zip(units, label, strict=True)], "unit long, cluster int")
 
 
 @query("kernel_deconvolution")

@@ -87,3 +87,10 @@ def test_stability_chooses_a_rank(spark):
     rows = QUERIES["kernel_cp_stability"](spark, SF).collect()
     stable = [r.rank for r in rows if r.stable]
     assert [r.rank for r in rows if r.chosen] == [max(stable) if stable else max(rows, key=lambda r: r.stability).rank]
+
+
+def test_linkage_gives_each_unit_of_the_panel_a_cluster(spark):
+    panel = {r.unit for r in QUERIES["profile_balanced_panel"](spark, SF).collect()}
+    rows = QUERIES["kernel_linkage"](spark, SF).collect()
+    assert sorted(r.unit for r in rows) == sorted(panel)
+    assert len({r.cluster for r in rows}) == min(12, max(2, len(panel) // 15))
