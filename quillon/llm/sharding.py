@@ -1,13 +1,15 @@
 """Sharding by a hierarchical weighted hash tree of regions, racks and shards.
 
-Each key descends the tree by hash draws alone. A region offers the key a sequence of arrivals at
-exponential times whose rate is the region's capacity; every arrival draws a rack of the region, a shard
-slot of the rack and a level, and stands only if the level lies under the slot's weight. A region's bid is
-its first standing arrival, the least bid over the regions wins, and its rack and slot are the shard. (An
-arrival process thinned by weight is a weighted draw: P(shard) = weight / total.) Arrivals depend on key
-and place only, so when weights below a subtree change, only keys that enter or leave that subtree move:
-a shard that is added, or gains weight, takes rows from everywhere and only into itself; one that loses
-weight only gives rows away. Thus law ``key`` holds for any shard count.
+Weights are summed up the tree: a rack weighs what its shards weigh, a region what its racks weigh. Each key
+descends by one weighted hash draw a level: every child bids -ln(u) / weight, u being the hash of key and
+child's name, and the least bid wins, so P(child) = weight / total. A descent costs one draw a child of the
+three nodes it passes, whatever the weights. A bid depends on key, name and own weight alone, so when
+weights below a node change, movement is confined: no key moves between two regions whose weights stay, nor
+between two racks of a region, or two shards of a rack, whose weights stay.
+
+A shard that is added opens a region of its own (``Tree.grown``): nothing else changes weight, so it takes rows
+from everywhere and only into itself. Thus law ``key`` holds for every planned tree and any number of added shards;
+a shard that is added within an old region would let that region's other shards gain rows as well.
 
 Slots (gapless numbers inside a shard) come from per-task counters written with the rows: the shared table
 fixes them, counts per (task, shard) are summed to offsets, and no shard is gathered in one task.
@@ -47,54 +49,68 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return ((x >> U64(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
 
+def _total(node) -> float:
+    return node if isinstance(node, float) else sum(map(_total, node))
+
+
+def _leaves(node) -> int:
+    return 1 if isinstance(node, float) else sum(map(_leaves, node))
+
+
 @dataclass(frozen=True)
 class Tree:
-    """weights[region][rack][slot] in [0, 1]; 0 is an empty slot. Every region has the same shape."""
+    """weights[region][rack][slot] >= 0 (0: a shard that takes nothing). Shards are numbered in this order."""
 
     weights: tuple[tuple[tuple[float, ...], ...], ...]
 
+    def __post_init__(self):
+        if not 0 < _total(self.weights) < np.inf or any(w < 0 for region in self.weights for rack in region for w in rack):
+            raise ValueError("weights must be finite, not negative and not all 0")
+
     @classmethod
     def of(cls, shards: int, racks: int = 2, slots: int = 2) -> Tree:
-        """Equal shards, filled region by region; shard n keeps its place when more are added."""
+        """Planned tree of equal shards: regions of ``racks`` racks of ``slots`` shards; the last may be smaller."""
         if shards < 1:
             raise ValueError("a tree needs at least one shard")
-        per = racks * slots
-        flat = [1.0] * shards + [0.0] * (-shards % per)
-        return cls(tuple(tuple(tuple(flat[r * per + k * slots : r * per + (k + 1) * slots]) for k in range(racks)) for r in range(len(flat) // per)))
+        split = lambda n, by: [by] * (n // by) + [n % by] * (n % by > 0)
+        return cls(tuple(tuple((1.0,) * rack for rack in split(region, slots)) for region in split(shards, racks * slots)))
+
+    def grown(self, weight: float = 1.0) -> Tree:
+        """With one more shard, in a region of its own, behind the others."""
+        return Tree((*self.weights, ((float(weight),),)))
 
     def place(self, keys: np.ndarray) -> np.ndarray:
-        """Shard number of each uint64 key: region * racks * slots + rack * slots + slot."""
-        racks, slots = len(self.weights[0]), len(self.weights[0][0])
-        best, shard = np.full(len(keys), np.inf), np.full(len(keys), -1, dtype=np.int32)
-        for r, region in enumerate(self.weights):
-            w = np.array(region, dtype=np.float64)
-            if not w.any():
-                continue
-            at = np.arange(len(keys))
+        """Shard number of each uint64 key."""
+        shard = np.zeros(len(keys), dtype=np.int32)
+
+        def descend(node, at: np.ndarray, name: U64, base: int) -> None:
+            if isinstance(node, float):
+                shard[at] = base
+                return
+            bids = np.full((len(node), len(at)), np.inf)
+            names = mix64(name + np.arange(1, len(node) + 1, dtype=U64))
+            for k, child in enumerate(node):
+                if (weight := _total(child)) > 0:
+                    bids[k] = -np.log(_unit(mix64(keys[at] ^ names[k]))) / weight
+            won = bids.argmin(axis=0)
+            for k, child in enumerate(node):
+                if (won == k).any():
+                    descend(child, at[won == k], names[k], base)
+                base += _leaves(child)
+
+        if len(keys):
             with np.errstate(over="ignore"):
-                state = mix64(keys ^ mix64(np.full(len(keys), r + 1, dtype=U64)))
-            clock = np.zeros(len(keys))
-            while len(at):
-                state = mix64(state)
-                clock = clock - np.log(_unit(state)) / (racks * slots)
-                going = clock < best[at]  # later bids cannot win
-                at, state, clock = at[going], state[going], clock[going]
-                rack = (_unit(mix64(state ^ U64(0xA5))) * racks).astype(np.int64)
-                slot = (_unit(mix64(state ^ U64(0x5A))) * slots).astype(np.int64)
-                stands = _unit(mix64(state ^ U64(0xC3))) < w[rack, slot]
-                won = at[stands]
-                best[won] = clock[stands]
-                shard[won] = (r * racks * slots + rack * slots + slot)[stands]
-                at, state, clock = at[~stands], state[~stands], clock[~stands]
+                descend(self.weights, np.arange(len(keys)), mix64(np.zeros(1, dtype=U64))[0], 0)
         return shard
 
 
-def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of ``docs``."""
+def shard(docs: DataFrame, shards: int = 8, tree: Tree | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of ``docs``; ``tree`` stands for the planned one of ``shards``."""
     spark = docs.sparkSession
     bounded_batches(spark)
     scratch = Scratch(spark, "shards")
-    now, grown = Tree.of(shards), Tree.of(shards + 1)
+    now = tree or Tree.of(shards)
+    shards, grown = _leaves(now.weights), now.grown()
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     light = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64("doc_id").alias("key"))
     kind = docs.schema["doc_id"].dataType.simpleString()
