@@ -4,12 +4,15 @@ Vectors are scaled to whole numbers. Queries and candidates meet in a grid of ce
 hash to ``columns`` of a bounded number of rows, queries to ``rows`` of a bounded number, and a cell scores
 its queries against its candidates, so nothing that grows is broadcast and no task holds more than a cell.
 
-Inside a cell, candidates form blocks whose dimensions are kept as sorted lists. A query reads the lists of
-a block sequentially, all queries in step, from the end that contributes most. A row's lower bound is the sum it was
-seen with plus the least that each unread list can give, its upper bound takes the value at the reading
-front instead. Reading stops when no unseen row can reach the k-th best lower bound (kept over all blocks of
-the cell) and few enough seen rows can; only these outstanding rows' final scores are then resolved.
-The best k of every cell are merged per query. Bounds are whole numbers held exactly, so results are exact.
+Inside a cell, candidates form blocks that keep one list a dimension: (value, row) in order of value. A query
+reads the lists of a block sequentially, all in step, each from the end that contributes most. Of a row it
+knows only what it has read. The row's lower bound takes the least that each unread list can still give, its
+upper bound the value at that list's reading front. Reading stops when no unseen row can reach the k-th best
+lower bound (kept over all blocks of the cell) and few enough seen rows can; only these outstanding rows'
+final scores are then resolved from their vectors. The best k of every cell are merged per query.
+
+Numbers are exact: doubles while every sum of products lies below 2^53, else Python's integers. A score that
+64 bits cannot hold raises an OverflowError, as does Spark for a scaled component that they cannot hold.
 
 Defined results: vectors that are null or hold null or non-finite components take no part; vectors of
 different length never meet; rows with the query's own vec_id are not its candidates; equal query rows
@@ -24,64 +27,68 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Most candidates and queries of a cell, candidates of a block, and queries that read a block together.
-CELL_CANDIDATES, CELL_QUERIES, BLOCK, TOGETHER = 16_384, 16_384, 4_096, 128
-#: Depths, as shares of the lists, at which bounds are taken, and seen rows that may stay outstanding when reading stops.
-DEPTHS = (0.125, 0.25, 0.3125, 0.375, 0.4375, 0.5, 0.625, 0.75, 1.0)
-OUTSTANDING = 192
+#: Most candidates and queries of a cell, and candidates of a block.
+CELL_CANDIDATES, CELL_QUERIES, BLOCK = 16_384, 16_384, 4_096
+#: Rows of each list between two looks at the bounds, as a share of the block, and seen rows that may stay outstanding when reading stops.
+STEP, OUTSTANDING = 1 / 16, 192
+#: Largest sum of products in doubles.
 EXACT = 1 << 53
 
 
 class Block:
-    """A block of vectors (rows in order of id) and the sorted list of every dimension."""
+    """Vectors in order of id, and per dimension the list of (value, row) in order of value."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         self.ids, self.x = ids, x
-        self.lists = np.sort(x, axis=0)
-
-    def own_rows(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return np.searchsorted(self.ids, own, side="left"), np.searchsorted(self.ids, own, side="right")
-
-    def search(self, queries: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Per query (scores, ids) of the rows that can be among its best k, given lower bounds from elsewhere.
+        self.rows = np.argsort(x, axis=0, kind="stable")
+        self.values = np.take_along_axis(x, self.rows, axis=0)
+        self.read = 0  # entries read so far, by all queries
 
-        All queries read in step. A list is read downwards for a positive query component and upwards for a
-        negative one; at a depth with front value f a row is seen in the list if its value is not beyond f.
-        So with ``up``/``down`` fronts, max(x, down) and min(x, up) are the values of upper bounds, and x
-        where seen, else the list's far end, those of lower bounds: one product per bound and depth.
-        """
+    def search(self, q: np.ndarray, own: int, k: int, floor) -> tuple[np.ndarray, np.ndarray]:
+        """(scores, ids) of the rows that can be among the query's best k; ``floor`` is a lower bound of the k-th from elsewhere, or None."""
         n = len(self.x)
-        plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
-        far_down, far_up = self.lists[0], self.lists[-1]
-        best = floor.copy()
-        out: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(queries)
-        first, last = self.own_rows(own)
-        active = np.arange(len(queries))
-        for depth in DEPTHS:
-            at = min(n, max(1, round(depth * n)))
-            down, up = self.lists[n - at], self.lists[at - 1]
-            p, m = plus[active].T, minus[active].T
-            high = np.maximum(self.x, down) @ p
-            high += np.minimum(self.x, up) @ m
-            unseen = down @ p + up @ m
-            open_ = np.flatnonzero(np.isneginf(floor[active]))
-            if len(open_) and n > k:
-                low = np.where(self.x >= down, self.x, far_down) @ p[:, open_]
-                low += np.where(self.x <= up, self.x, far_up) @ m[:, open_]
-                for j, i in enumerate(open_):
-                    low[first[active[i]] : last[active[i]], j] = -np.inf
-                best[active[open_]] = np.maximum(best[active[open_]], np.partition(low, n - k, axis=0)[n - k])
-            possible = high >= best[active]
-            for j, i in enumerate(active):
-                possible[first[i] : last[i], j] = False
-            done = (unseen < best[active]) & (possible.sum(axis=0) <= OUTSTANDING) | (at == n)
-            for j in np.flatnonzero(done):
-                rows = np.flatnonzero(possible[:, j])
-                out[active[j]] = self.x[rows] @ queries[active[j]], self.ids[rows]
-            active = active[~done]
-            if not len(active):
+        dims = np.flatnonzero(q)
+        q = q[dims]
+        down = q > 0
+        # Column j of these lists is read from the top: rows and contributions q * value, falling.
+        rows = np.where(down, self.rows[::-1, dims], self.rows[:, dims])
+        gives = q * np.where(down, self.values[::-1, dims], self.values[:, dims])
+        least = gives[-1] if len(dims) else np.zeros(0, dtype=self.x.dtype)
+        low = np.full(n, least.sum(), dtype=self.x.dtype)
+        seen = np.zeros((n, len(dims)), dtype=bool)
+        mine = slice(np.searchsorted(self.ids, own, side="left"), np.searchsorted(self.ids, own, side="right"))
+        step = max(1, int(n * STEP))
+        for a in range(0, n, step):
+            b = min(n, a + step)
+            part = rows[a:b]
+            _add(low, part, gives[a:b] - least)
+            seen[part, np.arange(len(dims))] = True
+            self.read += part.size
+            front = gives[b - 1] if len(dims) else least
+            known = seen.any(axis=1)
+            known[mine] = False
+            found = np.flatnonzero(known)
+            best = floor
+            if len(found) >= k:
+                kth = np.sort(low[found])[-k] if low.dtype == object else np.partition(low[found], len(found) - k)[len(found) - k]
+                best = kth if best is None else max(best, kth)
+            if best is None or not (front.sum() < best or b == n):
+                continue  # an unseen row can still reach the best
+            # Upper bound: what is left to read of the row, at each front instead of at the list's end.
+            rest = np.where(seen[found], 0, front - least).sum(axis=1) if low.dtype == object else (~seen[found]) @ (front - least)
+            possible = found[low[found] + rest >= best]
+            if len(possible) <= OUTSTANDING:
                 break
-        return out
+        else:
+            possible = np.delete(np.arange(n), mine) if best is None or not len(dims) else possible
+        return self.x[possible][:, dims] @ q, self.ids[possible]
+
+
+def _add(low: np.ndarray, rows: np.ndarray, gains: np.ndarray) -> None:
+    if low.dtype == object:
+        np.add.at(low, rows, gains)
+    else:
+        low += np.bincount(rows.ravel(), weights=gains.ravel(), minlength=len(low))
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,22 +98,18 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 
 def cell_search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int):
     """(query id, scores, ids) of one cell: the best k of each query among its candidates, given in order of id."""
-    reach = int(np.abs(x).max(initial=0)) * int(np.abs(queries).max(initial=0)) * x.shape[1]
-    if reach >= EXACT:  # products that doubles cannot hold: whole numbers throughout
-        for own, q in zip(query_ids, queries, strict=True):
-            rows = ids != own
-            yield own, *_best(x[rows] @ q, ids[rows], k)
-        return
-    blocks = [Block(ids[a : a + BLOCK], x[a : a + BLOCK].astype(np.float64)) for a in range(0, len(x), BLOCK)]
-    for a in range(0, len(queries), TOGETHER):
-        own, q = query_ids[a : a + TOGETHER], queries[a : a + TOGETHER].astype(np.float64)
-        best = [(np.zeros(0), np.zeros(0, dtype=np.int64))] * len(q)
+    # A bound's difference of two sums is less than twice the largest sum.
+    reach = 2 * int(np.abs(x.astype(object)).max(initial=0)) * int(np.abs(queries.astype(object)).max(initial=0)) * x.shape[1]
+    kind = np.float64 if reach < EXACT else object
+    blocks = [Block(ids[a : a + BLOCK], x[a : a + BLOCK].astype(kind)) for a in range(0, len(x), BLOCK)]
+    for own, q in zip(query_ids, queries.astype(kind), strict=True):
+        scores, found = np.zeros(0, dtype=kind), np.zeros(0, dtype=np.int64)
         for block in blocks:
-            floor = np.array([s[-1] if len(s) == k else -np.inf for s, _ in best])
-            got = block.search(q, own, k, floor)
-            best = [_best(np.concatenate([s, t]), np.concatenate([i, j]), k) for (s, i), (t, j) in zip(best, got, strict=True)]
-        for i, (scores, found) in zip(own, best, strict=True):
-            yield i, scores.astype(np.int64), found
+            more, others = block.search(q, own, k, scores[-1] if len(scores) == k else None)
+            scores, found = _best(np.concatenate([scores, more]), np.concatenate([found, others]), k)
+        if kind is object and any(abs(s) >= 1 << 63 for s in scores):
+            raise OverflowError(f"a score of vec_id {own} is beyond 64 bits")
+        yield own, scores.astype(np.int64), found
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, cell_candidates: int = CELL_CANDIDATES, cell_queries: int = CELL_QUERIES) -> DataFrame:
