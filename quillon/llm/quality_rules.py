@@ -1,11 +1,18 @@
 """Quality rules with adaptive thresholds, in DataFrame functions only.
 
 Per document, text statistics are taken once and written to the shared folder. Mergeable KLL sketches of
-the rule metrics are built per (lang, source); groups under ``min_rows`` use the sketch merged over their
-language, and languages under it the sketch merged over everything. A metric's fences are
-median +- ``spread`` * max(inter-quantile distance, ``floor``), so they move with each group's own
-distribution and nothing is dropped merely for lying in a fixed share of it. The fences are joined back
-and filter the documents.
+the rule metrics, of all values and of those above zero, are built per (lang, source) and merged over each
+language and over everything. No constant of a metric's own unit decides a fence:
+
+- ``spread``: median +- ``spread`` times the distance of the outer quartile, where that distance is above zero;
+- else (the metric is zero in most documents) the values above zero decide. ``apart``: if their lower tenth
+  lies further from zero than ``1 / apart`` of the distance to their upper tenth, they are a population of their
+  own and the fence is half that lower tenth; ``nonzero``: else their median + ``spread`` times the distance of
+  their outer quartile;
+- ``none``: without values above zero there is nothing to judge, and no fence.
+
+Each fence comes from the narrowest level (group, lang, all) that has ``min_rows`` rows and, where the values
+above zero decide, half as many of them; else from everything. The fences are joined back and filter the documents.
 
 Defined results: null text counts as empty; empty texts have zero statistics and fail the base rule;
 null lang or source form groups of their own; repeated rows are judged alike; columns of the input that
@@ -31,22 +38,22 @@ FEW_WINDOWS = 48
 
 @dataclass(frozen=True)
 class Metric:
-    """A ratio that is judged: its least inter-quantile distance and the sides that have a fence."""
+    """A ratio that is judged, and the sides that have a fence."""
 
     name: str
-    floor: float
     low: bool = False
     high: bool = True
 
 
 METRICS = (
-    Metric("symbol_ratio", 0.004),
-    Metric("mean_word_chars", 0.5, low=True),
-    Metric("dup_line_ratio", 0.02),
-    Metric("repeat_ratio", 0.03),
-    Metric("upper_ratio", 0.03),
-    Metric("shout_ratio", 0.003),
+    Metric("symbol_ratio"),
+    Metric("mean_word_chars", low=True),
+    Metric("dup_line_ratio"),
+    Metric("repeat_ratio"),
+    Metric("upper_ratio"),
+    Metric("shout_ratio"),
 )
+LEVELS = ("group", "lang", "all")
 
 
 def _repeat_words(words: Column) -> Column:
@@ -138,49 +145,66 @@ def _metrics() -> list[Column]:
     ]
 
 
-def _fences(sketches: DataFrame, keys: Sequence[str], spread: float, tail: float) -> DataFrame:
-    """Fences of every group of sketches; quantiles are rounded so that sketch noise moves no verdict by an ulp."""
-    columns = []
-    for m in METRICS:
-        q = [F.kll_sketch_get_quantile_double(F.col(m.name), F.lit(x)) for x in (tail, 0.5, 1 - tail)]
-        if m.low:
-            columns.append(F.round(q[1] - spread * F.greatest(q[1] - q[0], F.lit(m.floor)), 4).alias(f"{m.name}_low"))
-        if m.high:
-            columns.append(F.round(q[1] + spread * F.greatest(q[2] - q[1], F.lit(m.floor)), 4).alias(f"{m.name}_high"))
-    return sketches.select(*keys, "n", *columns)
+def _fence(m: Metric, side: str, spread: float, apart: float) -> Column:
+    """(rule, at) of one metric's fence on one side, out of its sketches. Rounded, so that sketch noise moves no verdict by an ulp."""
+
+    def of(sketch: str, *ranks: float) -> list[Column]:
+        return [F.kll_sketch_get_quantile_double(F.col(sketch), F.lit(r)) for r in ranks]
+
+    def ruled(rule: str, at: Column) -> Column:
+        return F.struct(F.lit(rule).alias("rule"), F.round(at, 4).alias("at"))
+
+    all_, above = m.name, f"{m.name}_above"
+    middle, outer = of(all_, 0.5, 0.25 if side == "low" else 0.75)
+    chosen = F.when(middle != outer, ruled("spread", middle + spread * (outer - middle)))
+    if side == "high":
+        tenth, half, quarter, ninth = of(above, 0.1, 0.5, 0.75, 0.9)
+        some = F.col(f"{m.name}_n") > 0
+        chosen = chosen.when(some & (apart * tenth > ninth - tenth), ruled("apart", tenth / 2)).when(some, ruled("nonzero", half + spread * (quarter - half)))
+    return chosen.otherwise(ruled("none", F.lit(None).cast("double")))
+
 
+def fence_columns() -> list[str]:
+    return [f"{m.name}_{side}" for m in METRICS for side in ("low", "high") if getattr(m, side)]
 
-def adaptive_fences(stats: DataFrame, scratch: Scratch, min_rows: int = 200, spread: float = 5.0, tail: float = 0.25, k: int = 400) -> DataFrame:
-    """One row per (lang, source) with the fences that hold for it and the level they come from.
+
+def adaptive_fences(stats: DataFrame, scratch: Scratch, min_rows: int = 200, spread: float = 10.0, apart: float = 4.0, k: int = 400) -> DataFrame:
+    """One row per (lang, source): for each fence a struct of rule, at and level.
 
     Rows that fail the base rule (``base_failed``) do not shape the fences.
     """
     judged = stats.where(~F.col("base_failed")).select("lang", "source", *_metrics())
-    names = [m.name for m in METRICS]
-    sketches = scratch.save(
-        judged.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(c, F.lit(k)).alias(c) for c in names]), "sketches"
-    )
-    merged = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(c, F.lit(k)).alias(c) for c in names]]
-    by_lang = _fences(sketches.groupBy("lang").agg(*merged), ["lang"], spread, tail)
-    overall = _fences(sketches.groupBy(F.lit(1).alias("one")).agg(*merged), ["one"], spread, tail)
-    own = _fences(sketches, ["lang", "source"], spread, tail)
-    limits = [c for c in own.columns if c not in ("lang", "source", "n")]
-
-    def named(df: DataFrame, prefix: str) -> DataFrame:
-        return df.select(*[F.col(c).alias(f"{prefix}{c}") for c in df.columns])
-
-    a, b, c = own, named(by_lang, "l_"), named(overall, "o_")
-    joined = a.join(b, a["lang"].eqNullSafe(b["l_lang"]), "left").join(c, F.lit(1) == c["o_one"], "left")
-    level = F.when(F.col("n") >= min_rows, "group").when(F.col("l_n") >= min_rows, "lang").otherwise("all")
-    return joined.select(
-        "lang",
-        "source",
-        level.alias("fence_level"),
-        *[F.when(F.col("n") >= min_rows, F.col(x)).when(F.col("l_n") >= min_rows, F.col(f"l_{x}")).otherwise(F.col(f"o_{x}")).alias(x) for x in limits],
-    )
-
-
-def quality_rules(docs: DataFrame, min_words: int = 50, max_repeat_pct: int = 50, min_rows: int = 200, spread: float = 5.0) -> DataFrame:
+    pairs = [c for m in METRICS for c in (m.name, f"{m.name}_above")]
+    sketched = [F.count(F.lit(1)).alias("n")]
+    for m in METRICS:
+        above = F.when(F.col(m.name) > 0, F.col(m.name))
+        sketched += [F.kll_sketch_agg_double(m.name, F.lit(k)).alias(m.name), F.kll_sketch_agg_double(above, F.lit(k)).alias(f"{m.name}_above"), F.count(above).alias(f"{m.name}_n")]
+    sketches = scratch.save(judged.groupBy("lang", "source").agg(*sketched), "sketches")
+    merged = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(c, F.lit(k)).alias(c) for c in pairs], *[F.sum(f"{m.name}_n").alias(f"{m.name}_n") for m in METRICS]]
+    sides = [(m, side) for m in METRICS for side in ("low", "high") if getattr(m, side)]
+
+    def fenced(df: DataFrame, keys: Sequence[str], level: str) -> DataFrame:
+        columns = []
+        for m, side in sides:
+            f = _fence(m, side, spread, apart)
+            columns.append(F.struct(f["rule"].alias("rule"), f["at"].alias("at"), F.lit(level).alias("level"), F.col("n"), F.col(f"{m.name}_n").alias("above")).alias(f"{level}_{m.name}_{side}"))
+        return df.select(*[F.col(c).alias(f"{level}_{c}") for c in keys], *columns)
+
+    own = fenced(sketches, ["lang", "source"], "group")
+    by_lang = fenced(sketches.groupBy("lang").agg(*merged), ["lang"], "lang")
+    overall = fenced(sketches.groupBy(F.lit(1).alias("one")).agg(*merged), ["one"], "all")
+    joined = own.join(by_lang, own["group_lang"].eqNullSafe(by_lang["lang_lang"]), "left").join(overall, F.lit(1) == overall["all_one"], "left")
+
+    def chosen(name: str) -> Column:
+        at = [F.col(f"{level}_{name}") for level in LEVELS]
+        fits = [(x["n"] >= min_rows) & ((x["rule"] == "spread") | (2 * x["above"] >= min_rows)) for x in at]
+        best = F.when(fits[0], at[0]).when(fits[1], at[1]).otherwise(at[2])
+        return F.struct(best["rule"].alias("rule"), best["at"].alias("at"), best["level"].alias("level")).alias(name)
+
+    return joined.select(F.col("group_lang").alias("lang"), F.col("group_source").alias("source"), *[chosen(c) for c in fence_columns()])
+
+
+def quality_rules(docs: DataFrame, min_words: int = 50, max_repeat_pct: int = 50, min_rows: int = 200, spread: float = 10.0) -> DataFrame:
     """Statistics, base verdict, adaptive verdict and the metrics outside their fences, per document."""
     scratch = Scratch(docs.sparkSession, "rules")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
@@ -193,10 +217,11 @@ def quality_rules(docs: DataFrame, min_words: int = 50, max_repeat_pct: int = 50
     for m in METRICS:
         bad = F.lit(False)
         if m.low:
-            bad = bad | F.coalesce(F.col(m.name) < F.col(f"{m.name}_low"), F.lit(False))
+            bad = bad | F.coalesce(F.col(m.name) < F.col(f"{m.name}_low.at"), F.lit(False))
         if m.high:
-            bad = bad | F.coalesce(F.col(m.name) > F.col(f"{m.name}_high"), F.lit(False))
+            bad = bad | F.coalesce(F.col(m.name) > F.col(f"{m.name}_high.at"), F.lit(False))
         outside.append(F.when(bad, F.lit(m.name)))
+    used = [F.concat_ws(":", F.lit(c), F.col(f"{c}.rule"), F.col(f"{c}.level")) for c in fence_columns()]
     out = joined.withColumn("failed_rules", F.array_compact(F.array(*outside)))
     return out.select(
         "doc_id",
@@ -210,5 +235,5 @@ def quality_rules(docs: DataFrame, min_words: int = 50, max_repeat_pct: int = 50
         "base_failed",
         (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"),
         "failed_rules",
-        "fence_level",
+        F.concat_ws(",", *used).alias("fences"),
     )
