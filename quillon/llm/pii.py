@@ -43,6 +43,7 @@ PHONE_INNER = DIGITS | frozenset(" ().-")
 SCHEMES = ("http://", "https://", "ftp://", "ssh://", "mailto:", "tel:")
 ACCOUNT_CUES = ("iban", "account", "acct", "konto", "compte", "cuenta")
 SECRET_CUES = ("token", "password", "passwd", "secret", "api_key", "apikey")
+NUMBER_WORDS = ("number", "no.", "nr.", "num.")
 OPAQUE = ALNUM | frozenset("_-+/=.")
 
 
@@ -140,10 +141,15 @@ def _iban(value: str) -> bool:
 
 
 def _value(text: str, at: int, allowed: frozenset) -> tuple[int, int]:
-    """A value after a cue: blanks, quotes, ``:``, ``=``, ``#`` and a "no." in between are stepped over (12 at most)."""
+    """A value after a cue: blanks, quotes, ``:``, ``=``, ``#`` and words for "number" in between are stepped over (24 characters at most)."""
     start = at
-    while start < len(text) and start - at < 12 and text[start] in " \t:=#'\"":
-        start += 1
+    while start < len(text) and start - at < 24:
+        if text[start] in " \t:=#'\"":
+            start += 1
+        elif start > at and text[start - 1] in " \t" and (word := next((w for w in NUMBER_WORDS if text[start : start + len(w)].lower() == w), None)):
+            start += len(word)
+        else:
+            break
     return start, _run(text, start, allowed)
 
 

@@ -11,7 +11,7 @@ from quillon.llm import jaccard_join, mixing, topk
 from quillon.llm.common import fold, table
 from quillon.llm.language_id import identify, learn
 from quillon.llm.packing import pack
-from quillon.llm.pii import BASE_KINDS, find
+from quillon.llm.pii import BASE_KINDS, KINDS, find
 from quillon.llm.quality_model import classify
 from quillon.llm.quality_rules import quality_rules
 from quillon.llm.sharding import shard
@@ -24,7 +24,7 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = classify(docs, table(spark, sf_dir, "labels"), learn_from=lambda i: fold(i, 4) != 2)
     return scored.select(
         "doc_id",
-        (fold(F.col("doc_id"), 4) == 2).alias("held_out"),
+        F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"),
     )
@@ -39,7 +39,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from the folds other than 1 of 3."""
     docs = table(spark, sf_dir, "documents")
     model = learn(docs.select("doc_id", "lang", "text"), learn_from=lambda i: fold(i, 3) != 1)
-    return identify(docs.select("doc_id", "text"), model).select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op4_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,8 +53,9 @@ def op4_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.filter("pii", lambda x: x["kind"].isin(*kinds))
 
     base = of(*BASE_KINDS)
-    counts = [F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in BASE_KINDS]
-    return found.select("doc_id", *counts, F.sha2(named(base), 256).alias("base_sha256"), named(F.col("pii")).alias("spans"))
+    counts = [F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in KINDS]
+    any_ = F.size("pii").cast("long").alias("n_any")
+    return found.select("doc_id", *counts, any_, F.sha2(named(base), 256).alias("base_sha256"), named(F.col("pii")).alias("spans"))
 
 
 def op5_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
