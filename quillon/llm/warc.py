@@ -24,6 +24,7 @@ import base64
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -177,8 +178,66 @@ def outlinks(links: tuple[str, ...], base: str) -> list[str]:
     return list(dict.fromkeys(out))
 
 
+class Unreadable(ValueError):
+    """A body that no text can be taken from, and why."""
+
+
+def unchunked(payload: bytes) -> bytes:
+    """The body of a chunked payload; one that was stored without its chunk sizes is returned as it is."""
+    out, at = [], 0
+    while True:
+        line, end, _ = payload[at : at + 64].partition(b"\r\n")
+        size = line.split(b";")[0].strip()
+        if not end or not re.fullmatch(rb"[0-9A-Fa-f]{1,8}", size):
+            if at == 0:
+                return payload
+            raise Unreadable("a chunk has no size")
+        start, n = at + len(line) + 2, int(size, 16)
+        if n == 0:
+            return b"".join(out)
+        out.append(payload[start : start + n])
+        if payload[start + n : start + n + 2] != b"\r\n":
+            raise Unreadable("a chunk is cut short")
+        at = start + n + 2
+
+
+def body_of(http: Headers, payload: bytes) -> bytes:
+    """The payload without its transfer and content codings (chunked, gzip, deflate)."""
+    if "chunked" in (value_of(http, "Transfer-Encoding") or "").lower():
+        payload = unchunked(payload)
+    for coding in reversed([x.strip().lower() for x in (value_of(http, "Content-Encoding") or "").split(",") if x.strip()]):
+        try:
+            if coding in ("gzip", "x-gzip"):
+                payload = zlib.decompress(payload, 31) if payload[:2] == b"\x1f\x8b" else payload  # some crawlers store it unpacked
+            elif coding == "deflate":
+                payload = zlib.decompress(payload, 15 if payload[:1] == b"\x78" else -15)
+            elif coding != "identity":
+                raise Unreadable(f"unknown content coding {coding}")
+        except zlib.error:
+            raise Unreadable(f"a broken {coding} body") from None
+    return payload
+
+
+def page_of(kind: str, body: bytes) -> tuple[Page, str]:
+    """Text and charset of a body by its media type: HTML is read, other text is taken as it is."""
+    media = kind.split(";")[0].strip().lower()
+    if media and not media.startswith("text/") and not media.endswith(("+xml", "/xml")):
+        raise Unreadable(f"no text in {media}")
+    named = _CHARSET.search(kind.encode()) or _CHARSET.search(body[:1024])
+    charset = named[1].decode().lower() if named else "utf-8"
+    try:
+        text = body.decode(charset, "replace")
+    except LookupError:
+        charset, text = "utf-8", body.decode("utf-8", "replace")
+    return (Page(text, "", "", ()) if media.startswith("text/") and media != "text/html" else read_page(text)), charset
+
+
 def derive(record: bytes) -> list[tuple[str, Headers, bytes]]:
-    """(type, headers, block) of the metadata and the conversion record of a response record."""
+    """(type, headers, block) of the metadata and the conversion record of a response record.
+
+    Codings are undone first. A body of no text (another media type, an unknown or broken coding) has a
+    metadata record alone, which says why.
+    """
     headers, block = parse(record)
     source = value_of(headers, "WARC-Record-ID")
     if (value_of(headers, "WARC-Type") or "").lower() != "response":
@@ -191,16 +250,14 @@ def derive(record: bytes) -> list[tuple[str, Headers, bytes]]:
         raise ValueError("no HTTP response in the block")
     http: Headers = [(n.strip(), v.strip()) for n, _, v in (f.decode("latin-1").partition(":") for f in fields)]
     kind = value_of(http, "Content-Type") or ""
-    named = _CHARSET.search(kind.encode()) or _CHARSET.search(payload[:1024])
-    charset = named[1].decode().lower() if named else "utf-8"
+    unread = ""
     try:
-        html = payload.decode(charset, "replace")
-    except LookupError:
-        charset, html = "utf-8", payload.decode("utf-8", "replace")
+        page, charset = page_of(kind, body_of(http, payload))
+    except Unreadable as why:
+        page, charset, unread = Page("", "", "", ()), "", str(why)
     target = value_of(headers, "WARC-Target-URI") or ""
     copied = [(n, v) for n in COPIED if (v := value_of(headers, n)) is not None]
     ids = {t: record_id(t, source) for t in ("metadata", "conversion")}
-    page = read_page(html)
     info = [
         ("title", page.title),
         ("language", page.language),
@@ -208,15 +265,15 @@ def derive(record: bytes) -> list[tuple[str, Headers, bytes]]:
         ("content-type", kind.split(";")[0].strip().lower()),
         ("charset", charset),
         ("payload-length", str(len(payload))),
+        *([("no-conversion", unread)] if unread else []),
         *(("outlink", x) for x in outlinks(page.links, target)),
     ]
-    blocks = {
-        "metadata": ("application/warc-fields", "".join(f"{n}: {v}\r\n" for n, v in info).encode("utf-8", "replace")),
-        "conversion": ("text/plain; charset=UTF-8", page.text.encode("utf-8", "replace")),
-    }
+    blocks = {"metadata": ("application/warc-fields", "".join(f"{n}: {v}\r\n" for n, v in info).encode("utf-8", "replace"))}
+    if not unread:
+        blocks["conversion"] = ("text/plain; charset=UTF-8", page.text.encode("utf-8", "replace"))
     out = []
     for t, (content, body) in blocks.items():
-        linked = [("WARC-Concurrent-To", ids["conversion"])] if t == "metadata" else []
+        linked = [("WARC-Concurrent-To", ids["conversion"])] if t == "metadata" and not unread else []
         own = [("WARC-Type", t), ("WARC-Record-ID", ids[t]), ("WARC-Refers-To", source), *copied, *linked, ("WARC-Block-Digest", digest(body)), ("Content-Type", content)]
         out.append((t, own, body))
     return out
