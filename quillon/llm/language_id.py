@@ -145,15 +145,31 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], langs: list[str], buckets: in
     return Model(names, table, bias.astype(np.float64), temperature, under * (1 - 1e-9))
 
 
+def _first_by_key(rows: DataFrame, least: int) -> DataFrame:
+    """Rows that hold the ``least`` first of each language by key, and few more: a language may hold a third of all rows.
+
+    Keys are hashes, so a share of their range that holds eight times as many rows on average nearly always
+    holds enough; a language of which it does not (few ids, many times) is passed on whole.
+    """
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("all_rows"))
+    place = (F.col("key").cast("double") / float(1 << 63) + 1) / 2
+    low = place * F.col("all_rows") <= 8.0 * least + 64
+    placed = rows.join(counts.withColumnRenamed("lang", "c_lang"), F.col("lang") == F.col("c_lang")).drop("c_lang").withColumn("low", low)
+    short = placed.groupBy("lang").agg((F.count_if("low") < F.least(F.lit(least), F.first("all_rows"))).alias("short")).where("short").select(F.col("lang").alias("s_lang"), "short")
+    return placed.join(short, F.col("lang") == F.col("s_lang"), "left").where(F.col("low") | F.coalesce("short", F.lit(False))).select("doc_id", "lang", "key")
+
+
 def training_bags(docs: DataFrame, learn_from=None, per_language: int = PER_LANGUAGE, sample: int = SAMPLE, buckets: int = BUCKETS):
     """Bags and languages of a bounded, seeded sample of documents with a language."""
     bounded_batches(docs.sparkSession)
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     usable = usable.where(learn_from(F.col("doc_id"))) if learn_from is not None else usable
     key = F.xxhash64("doc_id")
-    ranked = usable.select("doc_id", "lang", key.alias("key")).withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("key", "doc_id")))
+    first = _first_by_key(usable.select("doc_id", "lang", key.alias("key")), per_language)
+    ranked = first.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("key", "doc_id")))
     chosen = ranked.where(F.col("nth") <= per_language).orderBy("nth", "key").limit(sample).select(F.col("doc_id").alias("__id")).distinct()
-    rows = docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("__id"), "left_semi").where(F.col("lang").isNotNull()).select("doc_id", "lang", "text")
+    texts = docs.select("doc_id", "lang", "text")  # alone: no other column's name can clash
+    rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"), "left_semi").where(F.col("lang").isNotNull())
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,7 +196,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     at, keep = docs.columns.index("text"), [docs.columns.index(c) for c in kept]
     schema = docs.select(*kept, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected")).schema
 
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # buckets times languages, whatever the corpus
+
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
         for batch in batches:
             got = [model.predict(t) for t in batch.column(at).to_pylist()]
             columns = [batch.column(i) for i in keep]

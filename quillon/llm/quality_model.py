@@ -169,7 +169,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, learn_from=None, sample: i
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
     usable = usable.where(learn_from(F.col("doc_id"))) if learn_from is not None else usable
     chosen = usable.select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("__y")).orderBy(F.xxhash64("__id"), "__y").limit(sample)
-    joined = docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("__id")).select(F.col("text").alias("text"), F.col("__y").alias("y"))
+    texts = docs.select("doc_id", "text")  # alone: no other column's name can clash
+    joined = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("text", F.col("__y").alias("y"))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
