@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 
@@ -65,14 +64,22 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(key, None)
+        self.spark.conf.set(key, "true")  # this write's shuffle files go when it is done: nothing reads them again
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(key)
+            else:
+                self.spark.conf.set(key, before)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def sweep(self) -> None:
-        """Let Spark delete the shuffle files of finished jobs: its cleaner acts on what the JVM's collector finds."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+    def rename(self, old: str, new: str) -> None:
+        """Let ``drop(new)`` delete what was saved as ``old``."""
+        self.paths[new] = self.paths.pop(old)
 
     def drop(self, *names: str) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()

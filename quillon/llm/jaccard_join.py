@@ -4,23 +4,28 @@ A document's distinct shingles are hashed to 64 bits and XORed into sketches; XO
 falls into a place, so equal tokens of two documents cancel and only their symmetric difference shows.
 
 1. Equal sets (128-bit fingerprints) collapse to one node: copies cost nothing further.
-2. Sizes form bands. Two linked sets differ in at most d(band) shingles. A set's hash range is cut into more
-   than d(band) segments, each with the XOR of its shingles' codes: a differing shingle spoils one segment,
-   so linked sets agree in at least one (pigeonhole). The pair (segment, code) is the join key. A band has
-   spare segments, so that sets may leave out their empty ones, which would all be alike.
-3. Each key's nodes are paired with its least node only (an aggregate and a join that can be split, never a
-   collected group). Pairs are verified on the shingle sets and give components.
+2. Sizes form bands. Two linked sets of one band differ in at most d shingles. A set's hash range is cut into
+   more than d segments, each with the XOR of its shingles' codes: a differing shingle spoils one segment, so
+   linked sets agree in all but d of them (pigeonhole). The pair (segment, code) is the join key. Keys have one
+   order for all sets, fullest segments first, and a set takes its first d + 1, d being what it can differ by
+   from its largest partner in the band: the first key two linked sets agree in is among these of both. Full
+   segments rarely agree by chance, so few keys are shared by sets that do not link.
+3. Keys of two sets or more are found by an aggregate that is combined before its shuffle (least and greatest
+   node of the key), then joined back; each key's nodes are paired with its least node only. Pairs are
+   verified on the shingle sets and give components.
 4. A key whose three or more nodes still lie in several components may hide links between nodes other than
    its least one. Nodes that such keys connect form a cluster. A cluster of bounded size is compared in one
    task, each of its sets sent once; the keys of larger clusters, once per distinct membership, are dealt in
-   square cells of bounded blocks. What is sent and compared there are bit sketches, a sixteenth of a set: their Hamming distance
-   never exceeds the symmetric difference, so pairs that it leaves between components are all that can link.
-   They are verified on the sets, at most ROUND_PAIRS of two components a round, nearest first, and rounds
-   go on until none is left. Every linked pair agrees in some key, so afterwards linked nodes share a
-   component: no partner or candidate is capped.
+   square cells of bounded blocks, where bit sketches are compared: their Hamming distance never exceeds the
+   symmetric difference, so pairs that it leaves between components are all that can link. They are verified
+   on the sets, at most ROUND_PAIRS of two components a round, nearest first, and rounds go on until none is
+   left. Every linked pair agrees in some key, so afterwards linked nodes share a component: no partner or
+   candidate is capped.
 
-Hash values stand for shingles; two different shingles of one comparison fall together with probability
-under 1e-12.
+A node is named by the first half of its fingerprint, so that copies name it alike without a join. Should two
+different sets get one name, which the second half and the size show, all is begun again with other
+fingerprints. Hash values stand for shingles; two different shingles of one comparison fall together with
+probability under 1e-12.
 
 Defined results: null and wordless texts are empty sets and linked with nothing; texts with fewer words than
 a shingle are one shingle; repeated rows are documents of their own with equal sets; null doc_ids take part
@@ -52,8 +57,10 @@ ODD_A, ODD_B, ODD_C = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94
 REMEMBERED, BLOCK_NODES, BLOCK_BYTES = 200_000, 2_048, 128 << 20
 #: Nodes and shingle bytes of a cluster that one task compares, and pairs of two components that a cell gives out in a round.
 CLUSTER_NODES, CLUSTER_BYTES, ROUND_PAIRS = 6_144, 24 << 20, 64
-#: Bits of the filter that turns away texts that cannot be needed, and of one part of it.
-FILTER_BITS, PART_BITS = 1 << 22, 1 << 15
+#: Bits a wanted text of the filter that turns away the others, the most bits it may have, and bits of one part of it.
+BITS_EACH, MOST_BITS, PART_BITS = 16, 1 << 28, 1 << 15
+#: Names of sets that one task remembers, so that copies there send their keys once.
+NAMES = 1 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -122,10 +129,9 @@ class Threshold:
         return out
 
 
-def segments(most: int) -> tuple[int, int]:
-    """(segments, how many of them a set may leave out) for sets that differ in at most ``most`` shingles."""
-    spare = -(-(most + 1) // 8)
-    return most + 1 + spare, spare
+def segments(most: int) -> int:
+    """Number of segments for sets that differ in at most ``most`` shingles: an eighth more than a key has to be found in."""
+    return most + 1 + -(-(most + 1) // 8)
 
 
 def join_keys(h: np.ndarray, t: Threshold) -> np.ndarray:
@@ -144,16 +150,19 @@ def join_keys(h: np.ndarray, t: Threshold) -> np.ndarray:
         most = int(t.most_different(2 * (high - 1)))
         if not most:
             continue  # only equal sets link, and these are one node
-        count, spare = segments(most)
+        count = segments(most)
         place = ((h >> U64(32)) * U64(count) >> U64(32)).astype(np.int64)  # ascending, as h is
         starts = np.flatnonzero(np.diff(place, prepend=-1))
-        code = np.bitwise_xor.reduceat(codes, starts)
-        where = place[starts]
-        if count - len(where) > spare:
-            empty = np.setdiff1d(np.arange(count), where)
-            where, code = np.concatenate([where, empty]), np.concatenate([code, np.zeros(len(empty), dtype=U64)])
+        held, code = np.zeros(count, dtype=U64), np.zeros(count, dtype=U64)
+        held[place[starts]] = np.diff(starts, append=n)
+        code[place[starts]] = np.bitwise_xor.reduceat(codes, starts)
         with np.errstate(over="ignore"):
-            out.append(_mix(code + _mix((where + (g << 40)).astype(U64) * ODD_A)))
+            key = _mix(code + _mix((np.arange(count) + (g << 40)).astype(U64) * ODD_A) + held * ODD_B)
+        take = 1 + int(t.most_different(n + min(high - 1, n * t.den // t.num)))
+        if take < count:
+            order = (U64(255) - np.minimum(held, U64(255))) << U64(56) | key >> U64(8)
+            key = key[order <= np.partition(order, take - 1)[take - 1]]
+        out.append(key)
     return np.concatenate(out) if out else np.zeros(0, dtype=U64)
 
 
@@ -232,51 +241,59 @@ def components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, s
     t = Threshold(num, den)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = TaskContext.get().partitionId() << 36
-        for batch in batches:
-            sizes, one, two, keys = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                h = shingle_set(text, width)
-                sizes.append(len(h))
-                one.append(np.bitwise_xor.reduce(_mix(h + ODD_A)) if len(h) else U64(0))
-                two.append(np.add.reduce(_mix(h + ODD_B)) if len(h) else U64(0))
-                keys.append(join_keys(h, t).view(np.int64))
-            uid = pa.array(np.arange(at, at + len(sizes), dtype=np.int64))
-            at += len(sizes)
-            columns = [uid, batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int32()), *(pa.array(np.array(x, dtype=U64).view(np.int64)) for x in (one, two)), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["uid", "doc_id", "text_key", "n", "f1", "f2", "keys"])
-
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    sketches = scratch.save(keyed.mapInArrow(sketched, f"uid long, doc_id {kind}, text_key long, n int, f1 long, f2 long, keys array<long>"), "sketches")
-    rows = scratch.save(sketches.drop("keys"), "rows")
-    named = rows.where(F.col("n") > 0)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid"))
-    nodes = scratch.save(named.groupBy("f1", "f2").agg(first.alias("r")).select("f1", "f2", F.col("r.uid").alias("node"), F.col("r.doc_id").alias("least_id")), "nodes")
-    one_each = sketches.join(nodes.select("node"), F.col("uid") == F.col("node"))
-    reps = scratch.save(one_each.select("node", "doc_id", "text_key", "n", "keys"), "reps")
-    scratch.drop("sketches")
-    scratch.sweep()
-    keys = reps.select("node", "n", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
+    columns = ["uid", "doc_id", "text_key", "n", "f1", "f2"]
+
+    def sketched(seed: int):
+        one_by, two_by = (_mix(np.array([2 * seed + k], dtype=U64) * ODD_A)[0] | U64(1) for k in (1, 2))
+
+        def fingerprint(h: np.ndarray, by: U64) -> U64:
+            with np.errstate(over="ignore"):
+                return np.add.reduce(_mix(h * by)) if len(h) else U64(0)
+
+        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, named = TaskContext.get().partitionId() << 36, set()
+            for batch in batches:
+                sizes, one, two, keys = [], [], [], []
+                for text in batch.column("text").to_pylist():
+                    h = shingle_set(text, width)
+                    sizes.append(len(h))
+                    one.append(fingerprint(h, one_by) >> U64(1))  # names are not negative: -1 is a mark below
+                    two.append(fingerprint(h, two_by))
+                    keys.append(np.zeros(0, dtype=np.int64) if one[-1] in named else join_keys(h, t).view(np.int64))
+                    if len(named) < NAMES:
+                        named.add(one[-1])
+                uid = pa.array(np.arange(at, at + len(sizes), dtype=np.int64))
+                at += len(sizes)
+                values = [uid, batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int32()), *(pa.array(np.array(x, dtype=U64).view(np.int64)) for x in (one, two)), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(values, names=[*columns, "keys"])
+
+        return of
+
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid", "text_key"))
+    mixed = (F.min("f2") < F.max("f2")) | (F.min("n") < F.max("n"))
+    seed, apart = 0, False
+    while not apart:
+        sketches = scratch.save(keyed.mapInArrow(sketched(seed), f"uid long, doc_id {kind}, text_key long, n int, f1 long, f2 long, keys array<long>"), "sketches")
+        rows = scratch.save(sketches.select(*columns), "rows")
+        nodes = scratch.save(rows.where(F.col("n") > 0).groupBy("f1").agg(first.alias("r"), mixed.alias("mixed")).select(F.col("f1").alias("node"), F.col("r.doc_id").alias("least_id"), F.col("r.text_key").alias("rep_key"), "mixed"), "nodes")
+        seed, apart = seed + 1, nodes.where("mixed").isEmpty()
+    keys = sketches.select(F.col("f1").alias("node"), F.explode("keys").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where(F.col("low") < F.col("high"))
     # Written first, so that the shuffle of all keys that found the shared ones is gone before the next begins.
-    shared = scratch.save(shared, "shared")
-    scratch.sweep()
-    stars = scratch.save(keys.join(shared.withColumnRenamed("key", "s_key"), F.col("key") == F.col("s_key")).select("key", "node", "n", "low", "members"), "stars")
-    scratch.sweep()
-    sets = _sets(docs, reps, stars, width, scratch)
-    scratch.drop("reps")
-    scratch.sweep()
+    shared = scratch.save(shared.select(F.col("key").alias("s_key"), "low"), "shared")
+    stars = scratch.save(keys.join(shared, F.col("key") == F.col("s_key")).select("key", "node", "low").distinct(), "stars")
+    scratch.drop("sketches", "shared")
+    sets = _sets(docs, nodes, stars, width, scratch)
     pairs = stars.where(F.col("node") != F.col("low")).select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
     links = scratch.save(_verified(pairs, sets, t), "links")
     tied = scratch.save(roots(links, scratch, "first"), "tied")
-    scratch.sweep()
-    small, cells = _cells(stars, tied, scratch)
+    small, cells = _cells(stars, tied, sets, scratch)
+    scratch.drop("stars", "links")
     within = scratch.save(_cluster_links(small, tied, sets, t), "within")
     if not within.isEmpty():
         stems = tied.select(F.col("root").alias("a"), F.col("node").alias("b"))
         tied = scratch.save(roots(stems.unionByName(within), scratch, "inner"), "inner")
-    scratch.sweep()
     turn, again = 0, True
     while again:
         offered = scratch.save(_offered(cells, tied, sets, t, turn * ROUND_PAIRS), f"offered{turn}")
@@ -285,37 +302,40 @@ def components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, s
         if not more.isEmpty():
             stems = tied.select(F.col("root").alias("a"), F.col("node").alias("b"))
             tied = scratch.save(roots(stems.unionByName(more), scratch, f"again{turn}"), f"tied{turn}")
-        scratch.drop(f"offered{turn}")
-        scratch.sweep()
+        scratch.drop(f"offered{turn}", f"more{turn}")
         turn += 1
-    scratch.drop("stars", "sets")
-    home = nodes.join(tied.withColumnRenamed("node", "t_node"), F.col("node") == F.col("t_node"), "left").select("f1", "f2", "least_id", F.coalesce("root", "node").alias("root"))
+    scratch.drop("sets", "cells", "placed", "within")
+    home = nodes.join(tied.withColumnRenamed("node", "t_node"), F.col("node") == F.col("t_node"), "left").select(F.col("node").alias("h_node"), "least_id", F.coalesce("root", "node").alias("root"))
     names = home.groupBy("root").agg(F.min("least_id").alias("component_id")).withColumnRenamed("root", "n_root")
-    home = scratch.save(home.join(names, F.col("root") == F.col("n_root")).select(F.col("f1").alias("h1"), F.col("f2").alias("h2"), "root", "component_id"), "home")
-    found = rows.join(home, (F.col("f1") == F.col("h1")) & (F.col("f2") == F.col("h2")) & (F.col("n") > 0), "left")
+    home = scratch.save(home.join(names, F.col("root") == F.col("n_root")).select("h_node", "root", "component_id"), "home")
+    found = rows.join(home, (F.col("f1") == F.col("h_node")) & (F.col("n") > 0), "left")
     return found.select("uid", "doc_id", "text_key", F.col("n").cast("long").alias("n_shingles"), "root", F.coalesce("component_id", F.when(F.col("n") == 0, F.col("doc_id"))).alias("component_id"))
 
 
 def _bitmap(keys: DataFrame, key: str) -> np.ndarray:
-    """Bits of the hashed keys, FILTER_BITS whatever their number: OR-ed in Spark, a few hundred KB at the driver."""
-    place = F.pmod(key, F.lit(FILTER_BITS))
+    """Bits of the hashed keys, BITS_EACH for each but never more than MOST_BITS: OR-ed in Spark in parts, at most 32 MB at the driver."""
+    bits = PART_BITS
+    wanted = min(MOST_BITS, BITS_EACH * keys.count())
+    while bits < wanted:
+        bits *= 2
+    place = F.pmod(key, F.lit(bits))
     parts = keys.select((place / PART_BITS).cast("int").alias("part"), (place % PART_BITS).alias("bit")).groupBy("part").agg(F.expr("bitmap_construct_agg(bit)").alias("bits")).collect()
-    out = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    out = np.zeros(bits // 8, dtype=np.uint8)
     for row in parts:
-        bits = np.frombuffer(row["bits"], dtype=np.uint8)
-        out[row["part"] * PART_BITS // 8 :][: len(bits)] = bits
+        found = np.frombuffer(row["bits"], dtype=np.uint8)[: PART_BITS // 8]
+        out[row["part"] * PART_BITS // 8 :][: len(found)] = found
     return out
 
 
-def _sets(docs: DataFrame, reps: DataFrame, stars: DataFrame, width: int, scratch: Scratch) -> DataFrame:
+def _sets(docs: DataFrame, nodes: DataFrame, stars: DataFrame, width: int, scratch: Scratch) -> DataFrame:
     """(node, s, sketch, shingles as bytes) of the nodes that share a key, from their whole texts.
 
-    A bitmap of fixed size turns away most other texts before they are shingled and shuffled; those that
+    A bitmap of bounded size turns away most other texts before they are shingled and shuffled; those that
     pass by chance are dropped by the join, so it decides nothing.
     """
     spark = docs.sparkSession
-    wanted = stars.select(F.col("node").alias("w")).distinct()
-    wanted = reps.select("node", "doc_id", "text_key").join(wanted, F.col("node") == F.col("w"), "left_semi").withColumnsRenamed({"doc_id": "w_id", "text_key": "w_key"})
+    asked = stars.select(F.col("node").alias("w")).distinct()
+    wanted = nodes.join(asked, F.col("node") == F.col("w"), "left_semi").select("node", F.col("least_id").alias("w_id"), F.col("rep_key").alias("w_key"))
     wanted = scratch.save(wanted, "wanted")
     bitmap = spark.sparkContext.broadcast(_bitmap(wanted, "w_key"))
     texts = docs.select(F.col("doc_id").alias("t_id"), F.xxhash64("text").alias("t_key"), "text")
@@ -323,7 +343,7 @@ def _sets(docs: DataFrame, reps: DataFrame, stars: DataFrame, width: int, scratc
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bitmap.value
         for batch in batches:
-            place = batch.column("t_key").to_numpy(zero_copy_only=False) % FILTER_BITS
+            place = batch.column("t_key").to_numpy(zero_copy_only=False) % (8 * len(bits))
             batch = batch.filter(pa.array((bits[place >> 3] >> (place & 7) & 1).astype(bool)))
             sets = [shingle_set(x, width) for x in batch.column("text").to_pylist()]
             sketches = [parity_sketch(x, sketch_bits(len(x))).view(np.int64) for x in sets]
@@ -335,7 +355,11 @@ def _sets(docs: DataFrame, reps: DataFrame, stars: DataFrame, width: int, scratc
     found = found.join(wanted, (F.col("t_key") == F.col("w_key")) & F.col("t_id").eqNullSafe(F.col("w_id")))
     sets = scratch.save(found.select("node", "s", "sketch", "shingles"), "sets")
     if sets.count() > wanted.count():  # repeated rows: the same text found more than once
-        sets = scratch.save(sets.dropDuplicates(["node"]), "sets1")
+        once = scratch.save(sets.dropDuplicates(["node"]), "sets1")
+        scratch.drop("sets")
+        scratch.rename("sets1", "sets")
+        sets = once
+    scratch.drop("wanted")
     return sets
 
 
@@ -375,19 +399,23 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
     return both.mapInArrow(checked, "a long, b long")
 
 
-def _cells(stars: DataFrame, tied: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def _cells(stars: DataFrame, tied: DataFrame, sets: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """What has to be compared for links that no star shows: (cluster, node) of bounded clusters, (key, i, j, block, node) of others."""
-    many = stars.where(F.col("members") > 2).select("key", "node", "low", "n")
-    held = many.join(tied.withColumnRenamed("node", "t_node"), F.col("node") == F.col("t_node"), "left").select("key", "node", "low", "n", F.coalesce("root", "node").alias("root"))
+    held = stars.join(tied.withColumnRenamed("node", "t_node"), F.col("node") == F.col("t_node"), "left").select("key", "node", "low", F.coalesce("root", "node").alias("root"))
     held = scratch.save(held, "held")
-    split = held.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") < F.col("hi")).select(F.col("key").alias("s_key"))
+    # The only pair of a key with two nodes was verified.
+    split = held.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("members")).where((F.col("lo") < F.col("hi")) & (F.col("members") > 2)).select(F.col("key").alias("s_key"))
     held = scratch.save(held.join(split, F.col("key") == F.col("s_key"), "left_semi"), "split")
+    scratch.drop("held")
     near = roots(held.select(F.col("low").alias("a"), F.col("node").alias("b")), scratch, "near").withColumnsRenamed({"node": "c_node", "root": "cluster"})
+    sizes_ = sets.select(F.col("node").alias("z_node"), F.col("s").alias("n"))
+    held = held.join(sizes_, F.col("node") == F.col("z_node")).drop("z_node")
     inside = held.select("node", "n").distinct().join(near, F.col("node") == F.col("c_node")).drop("c_node")
     inside = scratch.save(inside, "inside")
     fits = (F.count(F.lit(1)) <= CLUSTER_NODES) & (F.sum("n") * 8 <= CLUSTER_BYTES)
     sizes = inside.groupBy("cluster").agg(fits.alias("fits")).withColumnRenamed("cluster", "z_cluster")
     placed = scratch.save(inside.join(sizes, F.col("cluster") == F.col("z_cluster")).drop("z_cluster"), "placed")
+    scratch.drop("inside")
     small = placed.where("fits").select("cluster", "node")
     large = held.join(placed.where("NOT fits").select(F.col("node").alias("l_node")), F.col("node") == F.col("l_node"), "left_semi")
     whole = large.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x2"))
@@ -397,7 +425,9 @@ def _cells(stars: DataFrame, tied: DataFrame, scratch: Scratch) -> tuple[DataFra
     dealt = large.join(chosen, F.col("key") == F.col("c_key")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     crossed = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     crossed = crossed.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node")
-    return small, scratch.save(crossed, "cells")
+    cells = scratch.save(crossed, "cells")
+    scratch.drop("split")
+    return small, cells
 
 
 def _cluster_links(small: DataFrame, tied: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
