@@ -66,6 +66,40 @@ def test_rules_keep_clean_and_drop_odd(spark):
     assert all(kept[i] for i in range(300)) and not any(kept[i] for i in range(300, 310))
 
 
+def test_fences_move_with_each_group(spark):
+    """Half-widths are each group's own; values that stand apart from zero are told from those that do not."""
+    rng = random.Random(1)
+
+    def text(sd, end=""):
+        return " ".join("a" * max(1, round(rng.gauss(6, sd))) for _ in range(90)) + end
+
+    rows = [(text(1), "narrow", "s") for _ in range(400)] + [(text(4), "wide", "s") for _ in range(400)]
+    rows += [(text(1, " #" * rng.randint(28, 32)) if k % 10 == 0 else text(1), "symbols", "s") for k in range(1200)]
+    rows += [(text(1), "narrow", "few")] * 3
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    scratch = quality_rules.Scratch(spark, "test")
+    stats = quality_rules.text_statistics(df).withColumn("base_failed", F.lit(False))
+    f = {(r.lang, r.source): r for r in quality_rules.adaptive_fences(stats, scratch).collect()}
+    width = {k: r.mean_word_chars_high.at - r.mean_word_chars_low.at for k, r in f.items()}
+    assert width["wide", "s"] > 2 * width["narrow", "s"] > 0
+    assert f["narrow", "s"].mean_word_chars_low.rule == "spread" and f["narrow", "s"].mean_word_chars_low.level == "group"
+    assert f["narrow", "few"].mean_word_chars_low.level == "lang"
+    apart = f["symbols", "s"].symbol_ratio_high
+    assert (apart.rule, apart.level) == ("apart", "group") and 0 < apart.at < 28 / 700
+    assert all(r.shout_ratio_high.rule == "none" and r.shout_ratio_high.at is None for r in f.values())
+
+
+def test_few_fences_have_no_rule_and_clean_documents_stay(spark):
+    sf = "/root/testdata/sf0.01"
+    got = quality_rules.quality_rules(spark.read.parquet(f"{sf}/documents.parquet")).cache()
+    used = [x.split(":") for r in got.select("fences").collect() for x in r.fences.split(",")]
+    varied = [x for x in used if not x[0].startswith("shout")]  # no document there has a mark of shouting
+    assert sum(x[1] == "none" for x in varied) < 0.1 * len(varied)
+    judged = got.where("NOT base_failed").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
+    good, bad = ([r.kept for r in judged if r.quality == q] for q in (1, 0))
+    assert np.mean(good) > 0.98 and np.mean(bad) < 0.1
+
+
 def test_rules_awkward_and_empty(spark):
     assert quality_rules.quality_rules(awkward(spark)).where("kept").count() == 0
     assert quality_rules.quality_rules(awkward(spark).limit(0)).count() == 0
@@ -173,10 +207,13 @@ def test_added_kinds_and_redaction(spark):
     assert ("secret", "abe29cfcdae4f03e1e33") in kinds and ("url", "https://bob:pw@h.de/x") in kinds
     clean = pii.redacted(t, pii.spans(t))
     assert clean == "IBAN <account>, acct: <account> <url> token = \"<secret>\" <email>"
+    for cue in ("account no. 12345678", "account number: 12345678", "Konto Nr. 12345678", "acct #12345678"):
+        assert [cue[s:e] for _, s, e in pii.spans(cue)] == ["12345678"], cue
+    assert pii.spans("account notes 12345678") == []
     assert pii.spans("the token passed; account of a day; see https://x.org/a") == []
     df = awkward(spark)
     assert pii.redact(df).columns == df.columns and pii.find(df.withColumn("pii", F.lit(1))).count() == df.count()
-    assert pii.find(df.limit(0)).count() == 0
+    assert pii.find(df.limit(0)).count() == 0 and pii.redact(df.limit(0)).count() == 0
 
 
 def test_ids_equal_the_tokenizer():
@@ -184,12 +221,11 @@ def test_ids_equal_the_tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     e, r = packing.Encoder(), random.Random(1)
     bits = [" ", " ", "a", "the", "\n", "é", "1", "'s", "!", "  ", "\t", "漢", "½", "\x1c", "\x85", "<|endoftext|>"]
     for _ in range(4000):
         x = "".join(r.choice(bits) for _ in range(r.randint(0, 9)))
-        assert e.ids(x) == np.array(t.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes(), x
+        assert e.document(x) == np.array(t.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes(), x
 
 
 def check_packing(rows, length):
@@ -214,7 +250,7 @@ def test_packing_query(spark):
     for r in rows:
         by.setdefault(r.doc_id, []).append(r)
     for d in spark.read.parquet(f"{SF}/documents.parquet").collect():
-        ids = e.ids(d.text) + b"\0\0\0\0"
+        ids = e.document(d.text) + b"\0\0\0\0"
         got = sorted(by[d.doc_id], key=lambda r: r.piece)
         assert [r.piece for r in got] == list(range(len(got))) and sum(r.length for r in got) == len(ids) // 4
         assert all(r.length == 2048 for r in got[1:])
@@ -271,3 +307,78 @@ def test_warc_text_and_problems(spark):
     rows = warc.derivatives(df).collect()
     assert sum(r.problem is not None for r in rows) == 5 and sum(r.problem is None for r in rows) == 2
     assert warc.derivatives(df.limit(0)).count() == 0
+
+
+def test_warc_codings_and_media_types():
+    import gzip
+
+    html = b"<html><title>T</title><p>caf\xc3\xa9 one</p><a href=/x>two</a></html>"
+
+    def record(payload, *fields):
+        block = b"\r\n".join([b"HTTP/1.1 200 OK", *fields]) + b"\r\n\r\n" + payload
+        return warc.build([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:1>"), ("WARC-Target-URI", "http://h/")], block)
+
+    def chunks(x, n):
+        return b"".join(b"%x;q=1\r\n%s\r\n" % (len(x[i : i + n]), x[i : i + n]) for i in range(0, len(x), n)) + b"0\r\n\r\n"
+
+    kind, packed = b"Content-Type: text/html; charset=utf-8", b"Content-Encoding: gzip"
+    raw = zlib.compressobj(wbits=-15)
+    deflated = raw.compress(html) + raw.flush()
+    same = [
+        record(html, kind),
+        record(chunks(html, 7), kind, b"Transfer-Encoding: chunked"),
+        record(html, kind, b"Transfer-Encoding: chunked"),  # stored without its chunk sizes
+        record(gzip.compress(html), kind, packed),
+        record(html, kind, packed),  # stored unpacked
+        record(chunks(gzip.compress(html), 11), kind, packed, b"Transfer-Encoding: chunked"),
+        record(zlib.compress(html), kind, b"Content-Encoding: deflate"),
+        record(deflated, kind, b"Content-Encoding: deflate"),
+    ]
+    for r in same:
+        (_, _, about), (_, _, text) = warc.derive(r)
+        assert text.decode() == "café one\ntwo" and b"outlink: http://h/x" in about
+    assert warc.derive(record(b"a < b <p>", b"Content-Type: text/plain"))[1][2] == b"a < b <p>"
+    for r, why in (
+        (record(b"%PDF-1.4", b"Content-Type: application/pdf"), b"no text in application/pdf"),
+        (record(gzip.compress(html)[:20], kind, packed), b"a broken gzip body"),
+        (record(html, kind, b"Content-Encoding: br"), b"unknown content coding br"),
+        (record(b"5\r\nab", kind, b"Transfer-Encoding: chunked"), b"a chunk is cut short"),
+    ):
+        got = warc.derive(r)
+        assert [t for t, *_ in got] == ["metadata"] and b"no-conversion: " + why in got[0][2]
+        assert warc.value_of(got[0][1], "WARC-Concurrent-To") is None
+
+
+def test_walk_of_two_bins_against_a_document_by_document_packing():
+    """Best-two-fit with a plain list of documents: the plan on counts packs the same multisets of lengths, bin by bin."""
+
+    def plain(lengths, size):
+        rest, bins = sorted(lengths, reverse=True), []
+        while rest:
+            bin_, gap = [], size
+            for n in rest[:]:
+                if n <= gap:
+                    bin_.append(n)
+                    rest.remove(n)
+                    gap -= n
+            if gap:
+                small, room = min(bin_), gap + min(bin_)
+                pairs = [(a + b, -a) for i, a in enumerate(rest) for b in rest[i + 1 :] if a + b <= room]
+                if pairs and max(pairs)[0] > small:
+                    best = max(p[0] for p in pairs)
+                    a, b = min((sorted((a, best - a)) for a in set(rest) if best - a in rest and (best != 2 * a or rest.count(a) > 1)), key=lambda p: p[0])
+                    bin_.remove(small)
+                    rest = sorted([*rest, small], reverse=True)
+                    for n in (a, b):
+                        bin_.append(n)
+                        rest.remove(n)
+            bins.append(sorted(bin_, reverse=True))
+        return bins
+
+    r = random.Random(8)
+    for _ in range(150):
+        lengths = [r.randint(1, 20) for _ in range(r.randint(1, 40))]
+        counts = np.bincount(lengths, minlength=21)
+        want = [tuple(b) for b in plain(lengths, 20)]
+        got = [tuple(n for n, c in bin_ for _ in range(c)) for repeats, bin_ in packing.best_two_fit(counts) for _ in range(repeats)]
+        assert sorted(got) == sorted(want)
