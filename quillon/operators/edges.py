@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import exprs as X
-from quillon.functions.kernels import normal_sf, number
+from quillon.functions.kernels import normal_sf
 
 BIG = math.log2(1.5)
 
@@ -28,8 +28,10 @@ def edge_posterior(df: DataFrame, big: float = BIG, keep: float | None = 0.8) ->
     prior = valid.agg(F.greatest(F.var_pop("y") - F.median(F.col("se") * F.col("se")), F.lit(1e-6)).alias("tau2"))
     post = valid.crossJoin(F.broadcast(prior)).withColumn("v", 1 / (1 / F.col("tau2") + 1 / (F.col("se") * F.col("se"))))
     post = post.withColumn("theta", F.col("v") * F.col("y") / (F.col("se") * F.col("se"))).withColumn("sd", F.sqrt("v"))
-    b = number(big)
-    out = post.select("unit", "feature", "y", "se", "theta", "sd", F.expr(normal_sf("-theta / sd")).alias("p_pos"), F.expr(f"{normal_sf(f'({b} - theta) / sd')} + {normal_sf(f'({b} + theta) / sd')}").alias("p_big"))
+    # Arguments are columns of their own: the tail's expression names its argument many times, and an expression would be pasted each time.
+    theta, sd = F.col("theta"), F.col("sd")
+    post = post.withColumns({"at_zero": -theta / sd, "at_high": (big - theta) / sd, "at_low": (big + theta) / sd})
+    out = post.select("unit", "feature", "y", "se", "theta", "sd", F.expr(normal_sf("at_zero")).alias("p_pos"), F.expr(f"{normal_sf('at_high')} + {normal_sf('at_low')}").alias("p_big"))
     return out if keep is None else out.where(F.col("p_big") > keep)
 
 
@@ -60,10 +62,10 @@ def sign_pivot(edges: DataFrame, by: str) -> DataFrame:
 
 def convergent_features(edges: DataFrame, classes: DataFrame, least: int = 2) -> DataFrame:
     """Features that at least max(least, ceil(n / 2)) of a class's n units with edges hit; self-edges do not count."""
-    hits = edges.join(F.broadcast(classes), "unit").where(F.col("feature").cast("string") != F.col("unit").cast("string"))
+    hits = edges.join(classes, "unit").where(F.col("feature").cast("string") != F.col("unit").cast("string"))
     size = hits.groupBy("class").agg(F.countDistinct("unit").alias("n_units"))
     found = hits.groupBy("class", "feature").agg(F.countDistinct("unit").alias("n_hit"))
-    return found.join(F.broadcast(size), "class").where(F.col("n_hit") >= F.greatest(F.lit(least), F.ceil(F.col("n_units") / 2)))
+    return found.join(size, "class").where(F.col("n_hit") >= F.greatest(F.lit(least), F.ceil(F.col("n_units") / 2)))
 
 
 def threshold_hits(effects: DataFrame, big: float = BIG) -> DataFrame:

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import exprs as X
 
+#: Units of a block, where the best of each are given out and where all pairs are.
+BLOCK, ALL_PAIRS_BLOCK = 2_048, 512
+
 
 def clean(df: DataFrame) -> DataFrame:
     """V3: non-finite elements become 0."""
@@ -35,18 +41,60 @@ def standardise(df: DataFrame) -> DataFrame:
 def similarities(df: DataFrame, queries: DataFrame | None = None) -> DataFrame:
     """Cosine of each query unit with every other unit, rounded to 6 digits so that ties are ties.
 
-    All pairs within a panel; ``queries`` narrows one side to blocks of it. Zero vectors have cosine 0.
+    All pairs within a panel; ``queries`` narrows one side to blocks of it. Zero vectors have cosine 0, units
+    without a profile take no part. The pairs are the result; ``neighbours`` makes none but those it returns.
     """
-    u = df.select("unit", X.unit_vector(F.col("profile")).alias("v"))
-    q = u if queries is None else u.join(queries.select("unit"), "unit", "left_semi")
-    pairs = q.select(F.col("unit").alias("a"), F.col("v").alias("va")).join(u.select(F.col("unit").alias("b"), F.col("v").alias("vb")), F.col("a") != F.col("b"))
-    return pairs.select("a", "b", F.round(X.dot(F.col("va"), F.col("vb")), 6).alias("similarity"))
+    return _cell_products(df, queries, ALL_PAIRS_BLOCK, None)
 
 
-def neighbours(sim: DataFrame, k: int = 8) -> DataFrame:
-    """The k most similar units of each unit, ranks from 1; the unit breaks ties."""
+def neighbours(df: DataFrame, k: int = 8, queries: DataFrame | None = None) -> DataFrame:
+    """The k most similar units of each unit by ``similarities``, ranks from 1; the unit breaks ties."""
     order = Window.partitionBy("a").orderBy(F.col("similarity").desc(), "b")
-    return sim.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+    return _cell_products(df, queries, BLOCK, k).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+
+
+def _cell_products(df: DataFrame, queries: DataFrame | None, block: int, k: int | None) -> DataFrame:
+    """(a, b, similarity) from a grid of cells, a block of units by a block of units, each one matrix product in one task.
+
+    Units are dealt to blocks by hash; a unit is sent once to each cell of its row and of its column. With ``k``
+    a cell gives out the k best of each of its units alone, so that only these are shuffled and merged.
+    """
+    units = df.where(F.col("profile").isNotNull()).select("unit", F.col("profile").cast("array<double>").alias("v"))
+    blocks = -(-units.count() // block) or 1
+    grid = F.sequence(F.lit(0), F.lit(blocks - 1))
+    dealt = units.withColumn("g", F.pmod(F.xxhash64("unit"), F.lit(blocks)).cast("int"))
+    rows = dealt if queries is None else dealt.join(queries.select("unit"), "unit", "left_semi")
+    rows = rows.select("unit", "v", F.lit(True).alias("asks"), F.col("g").alias("i"), F.explode(grid).alias("j"))
+    columns = dealt.select("unit", "v", F.lit(False).alias("asks"), F.explode(grid).alias("i"), F.col("g").alias("j"))
+
+    def product(t: pa.Table) -> pa.Table:
+        asks = t.column("asks").to_numpy()
+        unit = t.column("unit").combine_chunks()
+        order = unit.take(pc.sort_indices(unit)) if k else unit
+        place = pc.index_in(unit, order.unique()).to_numpy() if k else np.arange(len(unit))
+        x = np.stack(t.column("v").to_numpy()) if len(t) else np.zeros((0, 0))
+        norm = np.sqrt((x * x).sum(axis=1))
+        x = x / np.where(norm == 0, 1, norm)[:, None]
+        q, c = np.flatnonzero(asks), np.flatnonzero(~asks)
+        sim = np.round(x[q] @ x[c].T, 6)
+        same = pc.index_in(unit, unit.unique()).to_numpy()
+        sim[same[q][:, None] == same[c]] = -np.inf
+        if k and 0 < k < len(c):
+            least = np.partition(sim, len(c) - k, axis=1)[:, len(c) - k]
+            r, s = np.nonzero(sim >= least[:, None])
+            best = np.lexsort((place[c[s]], -sim[r, s], r))  # ties of the k-th: the least unit
+            r, s = r[best], s[best]
+            starts = np.searchsorted(r, np.arange(len(q)))
+            keep = np.arange(len(r)) - starts[r] < k
+            r, s = r[keep], s[keep]
+        else:
+            r, s = np.indices(sim.shape).reshape(2, -1)
+        found = sim[r, s]
+        r, s, found = (v[np.isfinite(found)] for v in (r, s, found))
+        return pa.table({"a": unit.take(pa.array(q[r])), "b": unit.take(pa.array(c[s])), "similarity": pa.array(found)})
+
+    kind = df.schema["unit"].dataType.simpleString()
+    return rows.unionByName(columns).groupBy("i", "j").applyInArrow(product, f"a {kind}, b {kind}, similarity double")
 
 
 def neighbour_edges(knn: DataFrame) -> DataFrame:

@@ -69,9 +69,9 @@ CONVERGENT = f"{EFFECTS}, {CLASSES}, hits AS (SELECT unit, feature FROM effects
 def edge_convergent(spark, sf_dir):
     """Features that a class converges on (share lowered to one in a hundred for these tables)."""
     hits = D.threshold_hits(effects(spark, sf_dir), 0.3).select("unit", "feature")
-    h = hits.join(F.broadcast(classes(spark, sf_dir)), "unit")
+    h = hits.join(classes(spark, sf_dir), "unit")
     n = h.groupBy("class").agg(F.countDistinct("unit").alias("n_units"))
-    found = h.groupBy("class", "feature").agg(F.countDistinct("unit").alias("n_hit")).join(F.broadcast(n), "class")
+    found = h.groupBy("class", "feature").agg(F.countDistinct("unit").alias("n_hit")).join(n, "class")
     return found.where(F.col("n_hit") >= F.greatest(F.lit(2), F.ceil(F.col("n_units") / 2.0 * 0.02))).select("class", "feature", "n_hit", "n_units")
 
 
@@ -85,7 +85,7 @@ def edge_convergent_half(spark, sf_dir):
 @query("edge_direction", f"WITH {EFFECTS}, {CLASSES} SELECT class, CAST(COUNT(*) AS BIGINT) AS hits, ROUND(AVG(CASE WHEN y > 0 THEN 1.0 ELSE 0.0 END), 6) AS up_share FROM effects e JOIN classes c ON e.unit = c.unit WHERE ABS(y) > {B} GROUP BY 1")
 def edge_direction(spark, sf_dir):
     """Hits by effect size and the share that goes up."""
-    h = D.threshold_hits(effects(spark, sf_dir)).join(F.broadcast(classes(spark, sf_dir)), "unit")
+    h = D.threshold_hits(effects(spark, sf_dir)).join(classes(spark, sf_dir), "unit")
     return h.groupBy("class").agg(F.count(F.lit(1)).alias("hits"), F.round(F.avg(F.col("up").cast("double")), 6).alias("up_share"))
 
 
@@ -121,7 +121,7 @@ def edge_matched_null_full(spark, sf_dir):
 @query("edge_verdict", f"WITH {EFFECTS}, {CLASSES}, s AS (SELECT class, COUNT(*) AS hits, AVG(CASE WHEN y > 0 THEN 1.0 ELSE 0.0 END) AS up FROM effects e JOIN classes c ON e.unit = c.unit WHERE ABS(y) > {B} GROUP BY 1) SELECT class, CASE WHEN hits >= (SELECT AVG(hits) FROM s) THEN CASE WHEN up > 0.5 THEN 'specific up' ELSE 'specific down' END WHEN up > 0.5 THEN 'direction only' ELSE 'none' END AS verdict FROM s")
 def edge_verdict(spark, sf_dir):
     """I16: two-level verdict of magnitude and direction."""
-    h = D.threshold_hits(effects(spark, sf_dir)).join(F.broadcast(classes(spark, sf_dir)), "unit")
+    h = D.threshold_hits(effects(spark, sf_dir)).join(classes(spark, sf_dir), "unit")
     s = h.groupBy("class").agg(F.count(F.lit(1)).alias("hits"), F.avg(F.col("up").cast("double")).alias("share"))
     s = s.crossJoin(F.broadcast(s.agg(F.avg("hits").alias("mean"))))
     up = F.col("share") > 0.5

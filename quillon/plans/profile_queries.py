@@ -27,7 +27,7 @@ def panel(spark, sf_dir):
 
 
 def knn(spark, sf_dir):
-    return P.neighbours(P.similarities(panel(spark, sf_dir)))
+    return P.neighbours(panel(spark, sf_dir))
 
 
 @query("profile_similarity", f"WITH {KNN} SELECT * FROM sim")
