@@ -1,8 +1,11 @@
-"""Inductive prediction of profiles from unit features: design matrix, folds, ridge by generalised cross-validation."""
+"""Inductive prediction of profiles from unit features: design matrix, folds, ridge by leave-one-out error."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import CountVectorizer, Imputer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
@@ -48,28 +51,38 @@ def shuffled(df: DataFrame, column: str, seed: str = "shuffle") -> DataFrame:
     return a.join(b, F.col("__p") == F.col("__q")).drop("__p", "__q", column).withColumnRenamed("__v", column)
 
 
-def ridge(df: DataFrame, p: int, q: int, alphas: tuple[float, ...] = ALPHAS) -> tuple[np.ndarray, np.ndarray, float]:
+def ridge(df: DataFrame, p: int, q: int, alphas: tuple[float, ...] = ALPHAS, scaled: int = 0) -> tuple[np.ndarray, np.ndarray, float]:
     """M3: (coefficients p x q, intercept, alpha) of y on x from one distributed Gram matrix of (x, y).
 
-    alpha minimises the generalised cross-validation error, whose terms all follow from X'X, X'Y and Y'Y.
+    alpha has the least leave-one-out error: a second pass adds up each row's squared residual over
+    (1 - leverage)^2 for every alpha. M2: the first ``scaled`` features are standardised by these rows' own
+    means and deviations, and the coefficients given back for the features as they are.
     """
     n, sums, g = gram(df.select(F.concat("x", "y").alias("profile")), p + q)
     mean = sums / max(n, 1)
     g = g - n * np.outer(mean, mean)
-    xx, xy, yy = g[:p, :p], g[:p, p:], np.trace(g[p:, p:])
-    values, vectors = np.linalg.eigh(xx)
-    values, z = values.clip(0), vectors.T @ xy
-    z2 = (z**2).sum(axis=1)
-
-    def error(a: float) -> float:
-        shrink = 1 / (values + a)
-        rss = yy - 2 * (z2 * shrink).sum() + (z2 * shrink**2 * values).sum()
-        free = max(n - 1 - (values * shrink).sum(), 1e-9)
-        return n * max(rss, 0.0) / free**2
-
-    best = min(alphas, key=error)
-    coef = vectors @ (z / (values + best)[:, None])
-    return coef, mean[p:] - mean[:p] @ coef, best
+    unit = np.ones(p)
+    unit[:scaled] = np.sqrt(np.diag(g)[:scaled].clip(0) / max(n, 1))
+    unit[unit == 0] = 1
+    values, vectors = np.linalg.eigh(g[:p, :p] / np.outer(unit, unit))
+    values, z = values.clip(0), vectors.T @ (g[:p, p:] / unit[:, None])
+    into = vectors / unit[:, None]
+    shrink = np.array([1 / (values + a) for a in alphas])
+
+    def left_out(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        total = np.zeros(len(alphas))
+        for batch in batches:
+            both = np.array(batch.column(0).to_pylist(), dtype=np.float64).reshape(-1, p + q) - mean
+            t = both[:, :p] @ into
+            for k, s in enumerate(shrink):
+                leverage = 1 / n + (t**2 * s).sum(axis=1)
+                total[k] += ((both[:, p:] - t @ (z * s[:, None])) ** 2 / np.maximum(1 - leverage, 1e-9)[:, None] ** 2).sum()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(alphas)), pa.int32()), pa.array(total)], names=["k", "e"])
+
+    errors = df.select(F.concat("x", "y").alias("v")).mapInArrow(left_out, "k int, e double").groupBy("k").agg(F.sum("e").alias("e")).collect()  # a row an alpha
+    best = min(errors, key=lambda r: (r["e"], r["k"]))["k"]
+    coef = into @ (z * shrink[best][:, None])
+    return coef, mean[p:] - mean[:p] @ coef, alphas[best]
 
 
 def predict(df: DataFrame, coef: np.ndarray, intercept: np.ndarray) -> DataFrame:
@@ -90,9 +103,15 @@ def verdict(real, control, margin: float = 0.005):
     return F.when((real > 0) & (real - control > margin), "informative").when(real > 0, "not above control").otherwise("not informative")
 
 
-def boosted(df: DataFrame, target: str, depth: int = 6, steps: int = 50, seed: int = 0):
-    """M6: boosted trees of one component on the features (Spark ML; no claim to equal another library's trees)."""
+def boosted(df: DataFrame, target: str, depth: int = 6, steps: int = 500, seed: int = 0):
+    """M6: (model, held-out R2) of boosted trees of one component (Spark ML; no claim to equal another library's trees).
+
+    ``fold`` 0 is held out, fold 1 stops the rounds early, the others train.
+    """
     from pyspark.ml.functions import array_to_vector
 
-    data = df.select(array_to_vector("x").alias("features"), F.col(target).alias("label"))
-    return GBTRegressor(maxDepth=depth, maxIter=steps, seed=seed, stepSize=0.1).fit(data)
+    data = df.select(array_to_vector("x").alias("features"), F.col(target).alias("label"), (F.col("fold") == 1).alias("checks"), "fold")
+    model = GBTRegressor(maxDepth=depth, maxIter=steps, seed=seed, stepSize=0.1, validationIndicatorCol="checks", validationTol=0.001).fit(data.where("fold > 0"))
+    centre = data.where("fold > 0").agg(F.avg("label")).first()[0]
+    e = model.transform(data.where("fold = 0")).agg(F.sum((F.col("label") - F.col("prediction")) ** 2).alias("e"), F.sum((F.col("label") - F.lit(centre)) ** 2).alias("t")).first()
+    return model, round(1 - e["e"] / e["t"], 6) if e["t"] else None

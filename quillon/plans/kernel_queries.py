@@ -6,13 +6,16 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillon.functions import exprs as X
+from quillon.operators import graph as G
 from quillon.operators import learn as M
 from quillon.operators import lowrank as L
 from quillon.operators import profiles as P
-from quillon.plans.bindings import contrast, profiles, table
+from quillon.operators import stats as T
+from quillon.plans.bindings import PROFILES, contrast, profiles, table
 from quillon.plans.profile_queries import cells, knn, profile_balanced_panel
 from quillon.plans.registry import query
 
@@ -32,21 +35,77 @@ def tensor(spark, sf_dir, panel):
     return units, t, mask
 
 
+def wide(spark, sf_dir):
+    """(tensor, mask, in_panel, strength) of all units gated in every context: in_panel marks the expanded panel, strength is the largest response."""
+    df = contrast(spark, sf_dir)
+    gated = df.where("gate").groupBy("unit").agg(F.countDistinct("context").alias("n"), F.max("response").alias("strength")).where("n = 3").select("unit", "strength")
+    panel = P.expanded_panel(df, top=None).select("unit", F.lit(True).alias("in_panel"))
+    facts = gated.join(panel, "unit", "left").na.fill(False, ["in_panel"])
+    units, t, mask = tensor(spark, sf_dir, gated.select("unit"))
+    f = facts.toArrow()
+    at = np.searchsorted(units, f.column("unit").to_numpy())
+    in_panel, strength = np.zeros(len(units), dtype=bool), np.zeros(len(units))
+    in_panel[at], strength[at] = np.array(f.column("in_panel").to_pylist(), dtype=bool), f.column("strength").to_numpy()
+    return t, mask, in_panel, strength
+
+
+PCA_AXES, PCA_ENDS = 20, 15
+
+
+@query("kernel_covariance", f"WITH {PROFILES}, l AS (SELECT unit, CAST(UNNEST(RANGE(64)) AS INT) AS i, UNNEST(profile) AS x FROM profiles) SELECT a.i, b.i AS j, ROUND(COVAR_POP(a.x, b.x), 6) AS covariance FROM l a JOIN l b ON a.unit = b.unit AND a.i <= b.i GROUP BY 1, 2")
+def kernel_covariance(spark, sf_dir):
+    """V12 (its matrix): covariances of all dimensions from the distributed Gram matrix that every axis comes from."""
+    n, s, g = L.gram(profiles(spark, sf_dir), 64)
+    c = g / max(n, 1) - np.outer(s, s) / max(n, 1) ** 2
+    return spark.createDataFrame([(i, j, round(float(c[i, j]), 6)) for i in range(64) for j in range(i, 64)], "i int, j int, covariance double")
+
+
 @query("kernel_pca")
 def kernel_pca(spark, sf_dir):
-    """Principal axes of all profiles from a distributed Gram matrix."""
-    share, axes = L.principal_axes(*L.gram(profiles(spark, sf_dir), 64), 20)
+    """Principal axes of all profiles from a distributed Gram matrix: at most rows - 1 of them."""
+    n, s, g = L.gram(profiles(spark, sf_dir), 64)
+    share, axes = L.principal_axes(n, s, g, max(1, min(PCA_AXES, n - 1)))
     return spark.createDataFrame([(k, round(float(s), 8), [round(float(v), 6) for v in a]) for k, (s, a) in enumerate(zip(share, axes, strict=True))], "axis int, share double, loadings array<double>")
 
 
+@query("kernel_pca_loadings")
+def kernel_pca_loadings(spark, sf_dir):
+    """The fifteen largest and least loadings of each axis."""
+    long_ = kernel_pca(spark, sf_dir).select("axis", F.posexplode("loadings").alias("feature", "loading"))
+    ends = []
+    for end, order in (("top", F.col("loading").desc()), ("bottom", F.col("loading").asc())):
+        rank = F.row_number().over(Window.partitionBy("axis").orderBy(order, "feature"))
+        ends.append(long_.withColumn("rank", rank).where(F.col("rank") <= PCA_ENDS).select("axis", F.lit(end).alias("end"), "rank", "feature", "loading"))
+    return ends[0].unionByName(ends[1])
+
+
+def _scores(df, axes, centre):
+    """Rows' scores on axes of bounded size, projected in the JVM."""
+    mean = F.array(*[F.lit(float(v)) for v in centre])
+    centred = F.zip_with("profile", mean, lambda x, m: x - m)
+    return F.array(*[F.round(X.dot(centred, F.array(*[F.lit(float(v)) for v in a])), 6) for a in axes])
+
+
 @query("kernel_svd_scores")
 def kernel_svd_scores(spark, sf_dir):
-    """Scores of all rows on the axes, projected in the JVM; the axes are a bounded literal."""
+    """Scores of all rows on five axes, each oriented by its first two features (the anchors)."""
     rows, sums, g = L.gram(profiles(spark, sf_dir), 64)
-    _, axes = L.principal_axes(rows, sums, g, 5)
-    centre = F.array(*[F.lit(float(v)) for v in sums / max(rows, 1)])
-    centred = F.zip_with("profile", centre, lambda x, m: x - m)
-    return profiles(spark, sf_dir).select("unit", F.array(*[F.round(X.dot(centred, F.array(*[F.lit(float(v)) for v in a])), 6) for a in axes]).alias("scores"))
+    _, axes = L.principal_axes(rows, sums, g, 5, anchors=(0, 1))
+    return profiles(spark, sf_dir).select("unit", _scores(profiles(spark, sf_dir), axes, sums / max(rows, 1)).alias("scores"))
+
+
+POWER = 0.3
+
+
+@query("kernel_power_gate")
+def kernel_power_gate(spark, sf_dir):
+    """Per axis of the stacked tensor rows, Spearman of score and support; over 0.3 either way the axis follows support."""
+    df = cells(spark, sf_dir)
+    rows, sums, g = L.gram(df, 5)
+    _, axes = L.principal_axes(rows, sums, g, 3)
+    long_ = df.select("support", F.posexplode(_scores(df, axes, sums / max(rows, 1))).alias("axis", "score"))
+    rho = T.spearman(long_, "score", "support", ("axis",))
+    return rho.select("axis", "n", F.col("rho").alias("power_rho"), (F.abs("rho") > POWER).alias("power_confounded"))
 
 
 @query("kernel_varimax")
@@ -81,8 +140,9 @@ def kernel_linkage(spark, sf_dir):
 
 @query("kernel_deconvolution")
 def kernel_deconvolution(spark, sf_dir):
-    """Square block of features that are units too, deconvolved per context as one grouped task each."""
-    df = cells(spark, sf_dir).where("unit BETWEEN 1 AND 5").select("context", "unit", "profile")  # the block: units that are features
+    """The square block of units that are features too (a join of both), deconvolved per context as one grouped task each."""
+    features = table(spark, sf_dir, "part").select(F.substring("p_brand", 7, 1).cast("long").alias("unit")).distinct().where("unit BETWEEN 1 AND 5")
+    df = cells(spark, sf_dir).join(features, "unit").select("context", "unit", "profile")  # features are five
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         block = np.zeros((5, 5))
@@ -96,51 +156,97 @@ def kernel_deconvolution(spark, sf_dir):
 
 @query("kernel_cp")
 def kernel_cp(spark, sf_dir):
-    """CP fits of ranks 1 to 4, each a task: error, degeneracy, weights."""
+    """CP fits of ranks 1 to 4, each a task: error, degeneracy, weights and cosines of the feature mode."""
     t, mask = dense(spark, sf_dir)
 
     def run(task: dict) -> dict:
         f, error = L.cp(t, mask, int(task["rank"]), 2)
-        return {"rank": int(task["rank"]), "error": round(error, 6), "degeneracy": round(L.degeneracy(f), 6), "weights": [round(float(w), 6) for w in L.gauge(f)[1]]}
+        return {"rank": int(task["rank"]), "error": round(error, 6), "degeneracy": round(L.degeneracy(f), 6), "weights": [round(float(w), 6) for w in L.gauge(f)[1]], "cosines": L.feature_cosines(f).round(6).tolist()}
 
-    return L.grid(spark, pd.DataFrame({"rank": [1, 2, 3, 4]}), run, "rank int, error double, degeneracy double, weights array<double>")
+    return L.grid(spark, pd.DataFrame({"rank": [1, 2, 3, 4]}), run, "rank int, error double, degeneracy double, weights array<double>, cosines array<array<double>>")
 
 
-@query("kernel_cp_stability")
-def kernel_cp_stability(spark, sf_dir):
-    """Split-half stability over a grid of ranks and splits, and the rank it chooses: the largest stable one, or else the most stable."""
-    t, mask = dense(spark, sf_dir)
-    tasks = pd.DataFrame([(r, s) for r in (1, 2, 3) for s in range(3)], columns=["rank", "split"])
+CP_RANKS, CP_SPLITS, CP_DRAWS, GATED, CONGRUENT, COFACTOR = (2, 3, 4), 6, 100, 0.15, 0.9, 0.7
+
+
+def stability_by_rank(spark, t, mask):
+    tasks = pd.DataFrame([(r, s) for r in CP_RANKS for s in range(CP_SPLITS)], columns=["rank", "split"])
     fits = L.grid(spark, tasks, lambda x: {"rank": int(x["rank"]), "split": int(x["split"]), "cosine": L.split_half(t, mask, int(x["rank"]), int(x["split"]))}, "rank int, split int, cosine double")
     scores = fits.groupBy("rank").agg(F.round(F.avg("cosine"), 6).alias("stability")).withColumn("stable", F.col("stability") > 0.7)
     best = scores.agg(F.coalesce(F.max(F.when(F.col("stable"), F.col("rank"))), F.max_by("rank", "stability")).alias("best"))
     return scores.crossJoin(F.broadcast(best)).select("rank", "stability", "stable", (F.col("rank") == F.col("best")).alias("chosen"))
 
 
-@query("kernel_cp_bootstrap")
-def kernel_cp_bootstrap(spark, sf_dir):
-    """Bootstrap over units of the context loadings: 2.5 and 97.5 percentiles and the gated call."""
-    t, mask = dense(spark, sf_dir)
-    base, _ = L.gauge(L.cp(t, mask, 2, 2)[0])
+@query("kernel_cp_stability")
+def kernel_cp_stability(spark, sf_dir):
+    """Split-half stability over a grid of ranks and splits, and the rank it chooses: the largest stable one, or else the most stable."""
+    return stability_by_rank(spark, *dense(spark, sf_dir))
+
+
+def bootstrap_loadings(spark, t, mask, base, rank, draws):
+    """(b, component, loadings) of fits to resampled units, matched and signed by the feature mode of ``base``."""
 
     def run(task: dict) -> dict:
         i = np.random.default_rng(int(task["b"])).integers(0, len(t), len(t))
-        f, _ = L.gauge(L.cp(t[i], mask[i], 2, 1, seed=int(task["b"]))[0])
+        f, _ = L.gauge(L.cp(t[i], mask[i], rank, 1, seed=int(task["b"]))[0])
         order, _ = L.match(base[1], f[1])
         sign = np.sign((base[1] * f[1][:, order]).sum(axis=0))
-        return {"b": int(task["b"]), "loadings": [float(v) for v in (f[2][:, order] * sign).T.ravel()]}
+        return {"b": int(task["b"]), "loadings": (f[2][:, order] * sign).T.tolist()}
 
-    fits = L.grid(spark, pd.DataFrame({"b": range(100)}), run, "b int, loadings array<double>")
-    long_ = fits.select(F.posexplode("loadings").alias("k", "v"))
-    q = long_.groupBy("k").agg(F.percentile("v", F.lit(0.025)).alias("lo"), F.percentile("v", F.lit(0.975)).alias("hi"))
-    q = q.select(F.expr("CAST(k DIV 3 AS INT)").alias("component"), (F.col("k") % 3).alias("context"), "lo", "hi")
-    spread = q.groupBy("component").agg((F.max("lo") - F.min("lo")).alias("range"))
-    return q.join(spread, "component").select("component", "context", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), (F.col("range") > 0.15).alias("gated"))
+    fits = L.grid(spark, pd.DataFrame({"b": range(draws)}), run, "b int, loadings array<array<double>>")
+    return fits.select("b", F.posexplode("loadings").alias("component", "loadings"))
+
+
+def relative_range():
+    """A replicate's range over contexts in units of its largest absolute loading."""
+    return (F.array_max("loadings") - F.array_min("loadings")) / (F.array_max(F.transform("loadings", F.abs)) + 1e-9)
+
+
+@query("kernel_cp_bootstrap")
+def kernel_cp_bootstrap(spark, sf_dir):
+    """Bootstrap over units of the context loadings: 2.5 and 97.5 percentiles, and the gated call: the 2.5 percentile of the replicates' relative ranges."""
+    t, mask = dense(spark, sf_dir)
+    base, _ = L.gauge(L.cp(t, mask, 2, 2)[0])
+    drawn = bootstrap_loadings(spark, t, mask, base, 2, CP_DRAWS)
+    lows = drawn.groupBy("component").agg(F.percentile(relative_range(), F.lit(0.025)).alias("range_lo"))
+    long_ = drawn.select("component", F.posexplode("loadings").alias("context", "v"))
+    q = long_.groupBy("component", "context").agg(F.round(F.percentile("v", F.lit(0.025)), 6).alias("lo"), F.round(F.percentile("v", F.lit(0.975)), 6).alias("hi"))
+    return q.join(lows, "component").select("component", "context", "lo", "hi", F.round("range_lo", 6).alias("range_lo"), (F.col("range_lo") > GATED).alias("gated"))
+
+
+@query("kernel_cp_factors")
+def kernel_cp_factors(spark, sf_dir):
+    """One row per component of the chosen rank: loadings and gates, top units and features, and the best enriched feature set."""
+    units, t, mask = tensor(spark, sf_dir, P.expanded_panel(contrast(spark, sf_dir), top=None).select("unit"))
+    rank = stability_by_rank(spark, t, mask).where("chosen").first()["rank"]
+    fit, weight = L.gauge(L.cp(t, mask, rank, 10)[0])
+    drawn = bootstrap_loadings(spark, t, mask, fit, rank, CP_DRAWS)
+    lows = {r["component"]: r["lo"] for r in drawn.groupBy("component").agg(F.percentile(relative_range(), F.lit(0.025)).alias("lo")).collect()}  # one row a component
+    cosine, congruence = L.feature_cosines(fit), L.component_congruence(fit)
+    np.fill_diagonal(cosine, 0)
+    support = cells(spark, sf_dir).groupBy("unit").agg(F.avg("support").alias("support"))
+    scores = spark.createDataFrame([(int(u), k, float(fit[0][i, k])) for i, u in enumerate(units) for k in range(rank)], "unit long, component int, score double")
+    rho = {r["component"]: r["rho"] for r in T.spearman(scores.join(support, "unit"), "score", "support", ("component",)).collect()}
+    sets = spark.createDataFrame([("odd", k) for k in (1, 3, 5)] + [("low", k) for k in (1, 2)] + [("high", k) for k in (4, 5)], "set_name string, member int")
+    background = spark.createDataFrame([(k,) for k in range(1, 6)], "member int")
+    rows = []
+    for k in range(rank):  # components are a handful
+        units_by, features_by = np.argsort(-np.abs(fit[0][:, k])), np.argsort(-np.abs(fit[1][:, k]))[:50] + 1
+        top = spark.createDataFrame([(int(f),) for f in features_by[:2]], "member int")
+        best = T.benjamini_hochberg(T.enrichment(top, sets, background)).orderBy("p", "set_name").first()
+        c = fit[2][:, k]
+        gated = bool(lows[k] > GATED)
+        rows.append((
+            k + 1, round(float(weight[k]), 6), [round(float(v), 6) for v in c], gated, f"gated(peak={'ANR'[int(c.argmax())]})" if gated else "constitutive(flat)", round(float(lows[k]), 6),
+            rho.get(k), rho.get(k) is not None and abs(rho[k]) > POWER, round(float(congruence[k]), 6), bool(congruence[k] > CONGRUENT), round(float(np.abs(cosine[k]).max(initial=0)), 6), bool(np.abs(cosine[k]).max(initial=0) > COFACTOR),
+            ";".join(str(units[i]) for i in units_by[:8]), ";".join(map(str, features_by[:10])), best["set_name"] if best["fdr"] < 0.05 else "unlabeled",
+        ))
+    return spark.createDataFrame(rows, "factor int, weight double, contexts array<double>, gated boolean, shape string, range_lo double, power_rho double, power_confounded boolean, congruence double, degenerate boolean, max_cofactor_cosine double, cofactor boolean, top_units string, top_features string, label string")
 
 
 @query("kernel_completion")
 def kernel_completion(spark, sf_dir):
-    """Held-out R2 of completions over a grid of ranks and seeds, with the predictive rank of each seed."""
+    """Held-out R2 of completions of single entries over a grid of ranks and seeds."""
     t, mask = dense(spark, sf_dir)
     x, m = L._flat(t), L._flat(mask)
 
@@ -148,25 +254,55 @@ def kernel_completion(spark, sf_dir):
         model, one = L.entry_r2(x, m, int(task["rank"]), 0.1, int(task["seed"]))
         return {"rank": int(task["rank"]), "seed": int(task["seed"]), "r2": round(model, 8), "r2_rank1": round(one, 8)}
 
-    fits = L.grid(spark, pd.DataFrame([(r, s) for r in (1, 2, 3, 5) for s in range(3)], columns=["rank", "seed"]), run, "rank int, seed int, r2 double, r2_rank1 double")
-    best = fits.groupBy("seed").agg(F.max_by("rank", "r2").alias("best_rank"))
-    return fits.join(best, "seed")
+    return L.grid(spark, pd.DataFrame([(r, s) for r in (1, 2, 3, 5) for s in range(3)], columns=["rank", "seed"]), run, "rank int, seed int, r2 double, r2_rank1 double")
+
+
+#: Held-out contexts and shares with their seeds: the last context at a fifth many times, the others for robustness.
+BLOCKS = [(2, 0.2, range(20)), *[(c, share, range(100, 103)) for c, share in ((0, 0.2), (1, 0.2), (2, 0.1), (2, 0.4))]]
+
+
+@query("kernel_block_rank")
+def kernel_block_rank(spark, sf_dir):
+    """Predictive rank when a context's whole block of a share of the units outside the panel is held out: median and 2.5 and 97.5 percentiles over seeds."""
+    t, mask, in_panel, _ = wide(spark, sf_dir)
+
+    def run(task: dict) -> dict:
+        rank, r2, n = L.block_ranks(t, mask, ~in_panel, int(task["context"]), float(task["share"]), range(1, 11), int(task["seed"]))
+        return {"context": int(task["context"]), "share": float(task["share"]), "rank": rank, "r2": r2, "n_test": n}
+
+    tasks = pd.DataFrame([(c, share, s) for c, share, seeds in BLOCKS for s in seeds], columns=["context", "share", "seed"])
+    fits = L.grid(spark, tasks, run, "context int, share double, rank int, r2 double, n_test int")
+    at = lambda q: F.percentile("rank", F.lit(q))
+    return fits.groupBy("context", "share").agg(F.count(F.lit(1)).alias("seeds"), at(0.5).alias("rank_median"), at(0.025).alias("rank_lo"), at(0.975).alias("rank_hi"), F.round(F.avg("r2"), 6).alias("mean_r2"), F.max("n_test").alias("n_test"))
 
 
 @query("kernel_fibre_extrapolation")
 def kernel_fibre_extrapolation(spark, sf_dir):
-    """Held-out context fibres over ranks and seeds: margin over persistence, mean and sample deviation over seeds."""
-    t, mask = dense(spark, sf_dir)
+    """Held-out fibres of the last context, of units outside the panel, over ranks and seeds: margin over persistence, mean and sample deviation over seeds."""
+    t, mask, in_panel, _ = wide(spark, sf_dir)
 
     def run(task: dict) -> dict:
-        model, persistence, n = L.fibre_r2(t, mask, int(task["rank"]), int(task["seed"]), 2, 1)
+        model, persistence, n = L.fibre_r2(t, mask, int(task["rank"]), int(task["seed"]), 2, 1, ~in_panel)
         return {"rank": int(task["rank"]), "seed": int(task["seed"]), "r2_model": model, "r2_persistence": persistence, "n_test": n}
 
-    fits = L.grid(spark, pd.DataFrame([(r, s) for r in (1, 2, 3) for s in range(3)], columns=["rank", "seed"]), run, "rank int, seed int, r2_model double, r2_persistence double, n_test int")
+    fits = L.grid(spark, pd.DataFrame([(r, s) for r in (1, 2, 3, 5, 8) for s in range(5)], columns=["rank", "seed"]), run, "rank int, seed int, r2_model double, r2_persistence double, n_test int")
     margin = F.col("r2_model") - F.col("r2_persistence")
     return fits.groupBy("rank").agg(F.round(F.avg(margin), 6).alias("margin_mean"), F.round(F.stddev_samp(margin), 6).alias("margin_sd"), F.max("n_test").alias("n_test"))
 
 
+@query("kernel_fibre_strata")
+def kernel_fibre_strata(spark, sf_dir):
+    """The same extrapolation by strength of the held-out units: median split, and those as strong as the panel's median."""
+    t, mask, in_panel, strength = wide(spark, sf_dir)
+
+    def run(task: dict) -> dict:
+        got = L.fibre_strata(t, mask, in_panel, strength, int(task["rank"]), 0, 2, 1)
+        return {"rank": int(task["rank"]), "found": [{"stratum": n, "n_units": k, "r2_model": round(m, 6), "r2_persistence": round(p, 6), "margin": round(m - p, 6)} for n, k, m, p in got]}
+
+    fits = L.grid(spark, pd.DataFrame({"rank": [1, 2, 3, 5, 8]}), run, "rank int, found array<struct<stratum:string,n_units:int,r2_model:double,r2_persistence:double,margin:double>>")
+    return fits.select("rank", F.inline("found"))
+
+
 @query("kernel_rmt")
 def kernel_rmt(spark, sf_dir):
     """Noise edge, empirical edge (95th percentile of 100 draws, over the same rows) and signal modes of the correlations of the 64 dimensions."""
@@ -178,19 +314,55 @@ def kernel_rmt(spark, sf_dir):
     return edges.agg(F.round(F.percentile("edge", F.lit(0.95)), 6).alias("empirical_edge")).withColumns({"theory_edge": F.lit(round(edge, 6)), "signal_modes": F.lit(kept)})
 
 
-@query("kernel_communities")
-def kernel_communities(spark, sf_dir):
-    """Modularity communities of the neighbour graph over a grid of resolutions and seeds; edges are a panel's, so bounded."""
-    e = P.neighbour_edges(knn(spark, sf_dir)).where("weight > 0").orderBy("src", "dst").toPandas()
+#: Edges that the community kernel takes to one task: a panel's. More is an error, never a sample.
+MOST_EDGES = 5_000_000
+TAU = 0.5
+
+
+def _graph(edges):
+    """(nodes, src, dst, weight) of an edge table of a panel, checked for size before it is collected."""
+    kept = edges.where("weight > 0")
+    if (n := kept.count()) > MOST_EDGES:
+        raise ValueError(f"{n} edges are more than a panel's {MOST_EDGES}")
+    e = kept.orderBy("src", "dst").toPandas()
     nodes = np.unique(e[["src", "dst"]].to_numpy())
-    src, dst, w = np.searchsorted(nodes, e["src"]), np.searchsorted(nodes, e["dst"]), e["weight"].to_numpy()
+    return nodes, np.searchsorted(nodes, e["src"]), np.searchsorted(nodes, e["dst"]), e["weight"].to_numpy()
+
+
+def sweep(spark, sf_dir):
+    """(nodes, resolution, seed, position, label): G3's grid of fits on the neighbour graph."""
+    nodes, src, dst, w = _graph(P.neighbour_edges(knn(spark, sf_dir)))
 
     def run(task: dict) -> dict:
         label = L.communities(len(nodes), src, dst, w, float(task["resolution"]), int(task["seed"]))
         return {"resolution": float(task["resolution"]), "seed": int(task["seed"]), "labels": [int(x) for x in label]}
 
     fits = L.grid(spark, pd.DataFrame([(g, s) for g in (0.5, 1.0, 2.0) for s in range(2)], columns=["resolution", "seed"]), run, "resolution double, seed int, labels array<int>")
-    return fits.select("resolution", "seed", F.posexplode("labels").alias("position", "label"))
+    return nodes, fits.select("resolution", "seed", F.posexplode("labels").alias("position", "label"))
+
+
+@query("kernel_communities")
+def kernel_communities(spark, sf_dir):
+    """Modularity communities of the neighbour graph over a grid of resolutions and seeds; edges are a panel's, and checked to be."""
+    nodes, labels = sweep(spark, sf_dir)
+    named = spark.createDataFrame([(k, int(n)) for k, n in enumerate(nodes)], "position int, node long")
+    return labels.join(named, "position").select("resolution", "seed", "node", "label")
+
+
+@query("kernel_consensus_communities")
+def kernel_consensus_communities(spark, sf_dir):
+    """Final communities of the graph of nodes that share a label in at least half of the sweep's runs, with node stability.
+
+    A node without such a partner is a community of its own.
+    """
+    fits = kernel_communities(spark, sf_dir)
+    runs = fits.select((F.col("resolution") * 100 + F.col("seed")).cast("int").alias("run_id"), "node", "label").cache()
+    edges = G.consensus(runs, least=TAU).select("src", "dst", F.col("p").alias("weight"))
+    nodes, src, dst, w = _graph(edges)
+    label = L.communities(len(nodes), src, dst, w)
+    found = spark.createDataFrame([(int(n), int(k)) for n, k in zip(nodes, label, strict=True)], "node long, label long")
+    alone = runs.select("node").distinct().join(found, "node", "left").withColumn("label", F.coalesce("label", -1 - F.col("node")))
+    return G.stability(runs, alone)
 
 
 def features(spark, sf_dir):
@@ -229,12 +401,12 @@ def learn_ridge(spark, sf_dir):
     """M2-M5, M7: five-fold ridge of responses on features against shuffled features, with the verdict."""
     x = M.design(features(spark, sf_dir), ["c_acctbal", "n_orders"], "category", "listed")
     y = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("unit")).agg(F.array(F.log1p(F.sum("o_totalprice")), F.log1p(F.max("o_totalprice"))).alias("y"))
-    df = M.folds(x.join(y, "unit")).cache()
+    df = M.folds(x.join(y, "unit"))
     width, out = df.select(F.size("x")).first()[0], []
     for name, data in (("real", df), ("shuffled", M.shuffled(df, "x"))):
         for k in range(5):
             train, test = data.where(F.col("fold") != k), data.where(F.col("fold") == k)
-            coef, intercept, alpha = M.ridge(train, width, 2)
+            coef, intercept, alpha = M.ridge(train, width, 2, scaled=2)
             mean = np.array(train.agg(F.avg(F.col("y")[0]), F.avg(F.col("y")[1])).first())
             out.append(M.row_r2(M.predict(test, coef, intercept), mean).agg(F.avg("r2").alias("r2")).select(F.lit(name).alias("features"), F.lit(k).alias("fold"), F.lit(alpha).alias("alpha"), F.round("r2", 6).alias("r2")))
     found = out[0]
@@ -244,10 +416,26 @@ def learn_ridge(spark, sf_dir):
     return score.withColumn("verdict", M.verdict(F.col("real"), F.col("shuffled")))
 
 
+BOOSTED_COMPONENTS, BOOSTED_ROUNDS, BOOSTED_DEPTH = 2, 20, 6
+
+
 @query("learn_boosted")
 def learn_boosted(spark, sf_dir):
-    """M6: boosted trees as a capacity probe; rows are feature importances."""
-    x = M.design(features(spark, sf_dir), ["c_acctbal", "n_orders"], "category", "listed")
-    y = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("unit")).agg(F.log1p(F.sum("o_totalprice")).alias("y"))
-    model = M.boosted(x.join(y, "unit"), "y", depth=3, steps=5)
-    return spark.createDataFrame([(i, round(float(v), 6)) for i, v in enumerate(model.featureImportances.toArray())], "feature int, importance double")
+    """M6: boosted trees as a capacity probe on the leading components of the responses: held-out R2 and importances per component.
+
+    Fold 0 is held out, fold 1 stops the rounds early, the rest trains.
+    """
+    x = M.folds(M.design(features(spark, sf_dir), ["c_acctbal", "n_orders"], "category", "listed"))
+    wide_ = cells(spark, sf_dir).groupBy("unit").pivot("context", ["A", "N", "R"]).agg(F.first("profile"))
+    zero = F.array(*[F.lit(0.0)] * 5)
+    y = wide_.select("unit", F.transform(F.concat(*[F.coalesce(c, zero) for c in "ANR"]), F.log1p).alias("profile"))
+    df = x.join(y, "unit")
+    rows, sums, g = L.gram(df.where("fold > 1"), 15)
+    _, axes = L.principal_axes(rows, sums, g, BOOSTED_COMPONENTS)
+    data = df.select("x", "fold", _scores(df, axes, sums / max(rows, 1)).alias("y")).cache()
+    out = []
+    for k in range(BOOSTED_COMPONENTS):
+        model, r2 = M.boosted(data.select("x", "fold", F.col("y")[k].alias("y")), "y", BOOSTED_DEPTH, BOOSTED_ROUNDS)
+        out += [(k, r2, model.getNumTrees, i, round(float(v), 6)) for i, v in enumerate(model.featureImportances.toArray())]
+    data.unpersist()
+    return spark.createDataFrame(out, "component int, r2 double, rounds int, feature int, importance double")

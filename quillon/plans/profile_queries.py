@@ -242,14 +242,14 @@ STAB = f"{CONS}, lab AS (SELECT node, label FROM runs WHERE run_id = 0), sz AS (
 def graph_node_stability(spark, sf_dir):
     """Stability of nodes within their community."""
     r = runs(spark, sf_dir)
-    return G.stability(G.consensus(r), r.where("run_id = 0").select("node", "label"))
+    return G.stability(r, r.where("run_id = 0").select("node", "label"))
 
 
 @query("graph_community_stability", f"WITH {STAB} SELECT label, MAX(size) AS size, ROUND(AVG(stability), 6) AS stability FROM nd GROUP BY label")
 def graph_community_stability(spark, sf_dir):
     """Stability of communities."""
     r = runs(spark, sf_dir)
-    return G.community_stability(G.stability(G.consensus(r), r.where("run_id = 0").select("node", "label")))
+    return G.community_stability(G.stability(r, r.where("run_id = 0").select("node", "label")))
 
 
 MOD = "k AS (SELECT node, SUM(weight) AS k FROM (SELECT src AS node, weight FROM edges UNION ALL SELECT dst, weight FROM edges) GROUP BY 1), w AS (SELECT SUM(weight) AS w FROM edges)"
