@@ -9,11 +9,12 @@ import pyarrow as pa
 from pyspark.ml.feature import CountVectorizer, Imputer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import exprs as X
 from quillon.operators.lowrank import gram
+from quillon.operators.stats import numbered, ranked
 
 ALPHAS = tuple(float(a) for a in np.logspace(-2, 4, 13))
 
@@ -40,15 +41,15 @@ def design(df: DataFrame, numeric: list[str], category: str, listed: str, least:
 
 def folds(df: DataFrame, k: int = 5, seed: str = "fold") -> DataFrame:
     """M2: fold of each unit by its place in md5 order: equal sizes, the same in every engine."""
-    place = F.row_number().over(Window.orderBy(X.seeded(seed, F.col("unit")), "unit")) - 1
-    return df.withColumn("fold", (place % k).cast("int"))
+    placed = numbered(df, X.seeded(seed, F.col("unit")), ["unit"], name="__place")
+    return placed.withColumn("fold", ((F.col("__place") - 1) % k).cast("int")).drop("__place")
 
 
 def shuffled(df: DataFrame, column: str, seed: str = "shuffle") -> DataFrame:
     """M5: the column's values handed to other units, by joining positions of two orders."""
-    a = df.withColumn("__p", F.row_number().over(Window.orderBy("unit")))
-    b = df.select(F.row_number().over(Window.orderBy(X.seeded(seed, F.col("unit")), "unit")).alias("__q"), F.col(column).alias("__v"))
-    return a.join(b, F.col("__p") == F.col("__q")).drop("__p", "__q", column).withColumnRenamed("__v", column)
+    a = ranked(df, ["unit"])
+    b = numbered(df.select("unit", F.col(column).alias("__v")), X.seeded(seed, F.col("unit")), ["unit"], name="__q").select("__q", "__v")
+    return a.join(b, F.col("unit_below") + 1 == F.col("__q")).select(*[F.col("__v").alias(c) if c == column else F.col(c) for c in df.columns])
 
 
 def ridge(df: DataFrame, p: int, q: int, alphas: tuple[float, ...] = ALPHAS, scaled: int = 0) -> tuple[np.ndarray, np.ndarray, float]:

@@ -173,9 +173,12 @@ def bootstrap_stability(df: DataFrame, replicates: int = 20, top: int = 30, seed
     n = df.agg(F.count(F.lit(1)).alias("N"))
     slots = df.select(F.col("row_id").alias("i")).crossJoin(F.broadcast(n)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     drawn = F.conv(F.substring(X.seeded(seed, F.col("b"), F.col("i")), 1, 12), 16, 10).cast("long") % F.col("N")
-    sample = slots.select("b", drawn.alias("row_id")).join(df.select("row_id", "unit", "gate", "work"), "row_id")
-    noise = sample.groupBy("b").agg(F.var_pop("work").alias("s2e"))
-    units = sample.where("gate").groupBy("b", "unit").agg(F.avg("work").alias("d"), F.count(F.lit(1)).alias("n")).join(F.broadcast(noise), "b")
+    # Counted before the join, which so carries each row once a replicate, with its weight.
+    times = slots.select("b", drawn.alias("row_id")).groupBy("b", "row_id").agg(F.count(F.lit(1)).alias("w"))
+    sample = times.join(df.select("row_id", "unit", "gate", "work"), "row_id")
+    mean = F.sum(F.col("w") * F.col("work")) / F.sum("w")
+    noise = sample.groupBy("b").agg((F.sum(F.col("w") * F.col("work") * F.col("work")) / F.sum("w") - mean * mean).alias("s2e"))
+    units = sample.where("gate").groupBy("b", "unit").agg(mean.alias("d"), F.sum("w").alias("n")).join(F.broadcast(noise), "b")
     units = units.withColumn("s2", F.col("s2e") / F.col("n"))
     prior = units.groupBy("b").agg(F.greatest(F.var_pop("d") - F.avg("s2"), F.lit(1e-6)).alias("tau2"))
     post = units.join(F.broadcast(prior), "b").withColumn("u", F.round(F.col("d") * F.col("tau2") / (F.col("tau2") + F.col("s2")), 9))

@@ -11,18 +11,74 @@ from quillon.functions import exprs as X
 from quillon.functions.kernels import hypergeometric_pmf, normal_sf
 
 
+#: Ranges that a ranking splits each power of two into, and leading hexadecimal digits of a hash that a seeded numbering is split by.
+RANGES, DIGITS = 64, 3
+
+
+def value_range(v):
+    """A whole number that never falls as the number v rises: the power of two, RANGES steps in each."""
+    x = F.abs(v.cast("double"))
+    e = F.floor(F.log2(x))
+    # An exponent that is one too high by rounding gives the last step below it: still in order.
+    step = (e + 1100) * RANGES + F.floor(x / F.pow(F.lit(2.0), e) * RANGES) - RANGES
+    return F.when(v == 0, F.lit(0).cast("long")).otherwise(F.signum(v.cast("double")).cast("long") * step)
+
+
+def ranked(df: DataFrame, values: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """``df`` with, for each of its columns ``values``: {v}_below and {v}_ties, how many rows (of the same ``keys``) have a less and an equal value, and {v}_all, how many have one.
+
+    No task holds all rows in order. Equal values are counted first, which is combined before the shuffle; distinct
+    values are split by ``value_range``, numbered within each range and moved up by what the ranges below
+    hold. Null values have null counts; values are finite numbers.
+    """
+    for v in values:
+        counts = df.where(F.col(v).isNotNull()).groupBy(*keys, v).agg(F.count(F.lit(1)).alias("__n"))
+        placed = counts.withColumn("__range", value_range(F.col(v)))
+        sums = placed.groupBy(*keys, "__range").agg(F.sum("__n").alias("__m"))
+        before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range and key
+        offsets = sums.select(*keys, "__range", F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__before"), F.sum("__m").over(Window.partitionBy(*keys)).alias("__all"))
+        within = Window.partitionBy(*keys, "__range").orderBy(v).rowsBetween(Window.unboundedPreceding, -1)
+        inner = placed.withColumn("__within", F.coalesce(F.sum("__n").over(within), F.lit(0)))
+        table = inner.join(offsets, [*keys, "__range"]).select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(v).alias("__v"), (F.col("__before") + F.col("__within")).alias(f"{v}_below"), F.col("__n").alias(f"{v}_ties"), F.col("__all").alias(f"{v}_all"))
+        same = F.col(v) == F.col("__v")
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+        df = df.join(table, same, "left").drop("__v", *[f"__{k}" for k in keys])
+    return df
+
+
+def average_of_ties(v: str):
+    """Average rank of a column that ``ranked`` has counted."""
+    return F.col(f"{v}_below") + (F.col(f"{v}_ties") + 1) / 2.0
+
+
+def numbered(df: DataFrame, order, ties: Sequence[str], keys: Sequence[str] = (), name: str = "pos") -> DataFrame:
+    """``df`` with ``name``, 1.. within ``keys``, in the order of a hexadecimal hash and then of ``ties``.
+
+    Hashes are even, so their leading DIGITS split the rows; each part is numbered by itself and moved up by the
+    sizes of the parts before it.
+    """
+    df = df.withColumn("__h", order).withColumn("__part", F.substring("__h", 1, DIGITS))
+    sizes = df.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    run = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # 16 ** DIGITS rows a key
+    before = sizes.select(*keys, "__part", F.coalesce(F.sum("__n").over(run), F.lit(0)).alias("__before"))
+    local = F.row_number().over(Window.partitionBy(*keys, "__part").orderBy("__h", *ties))
+    placed = df.withColumn("__local", local).join(before, [*keys, "__part"])
+    return placed.withColumn(name, (F.col("__before") + F.col("__local")).cast("long")).drop("__h", "__part", "__before", "__local")
+
+
 def spearman(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
     """Spearman correlation over rows where both are finite: Pearson of average ranks, null if either is constant."""
-    both = df.where(X.finite(F.col(x).cast("double")) & X.finite(F.col(y).cast("double")))
-    ranks = both.select(*keys, X.average_rank(F.col(x), keys).alias("rx"), X.average_rank(F.col(y), keys).alias("ry"))
+    both = df.where(X.finite(F.col(x).cast("double")) & X.finite(F.col(y).cast("double"))).select(*keys, x, y)
+    ranks = ranked(both, [x, y], keys).select(*keys, average_of_ties(x).alias("rx"), average_of_ties(y).alias("ry"))
     return ranks.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.round(X.pearson(F.col("rx"), F.col("ry")), 6).alias("rho"))
 
 
 def mann_whitney(df: DataFrame, value: str, group: str) -> DataFrame:
     """One-sided U test that ``group`` (boolean) rows have greater values: tie-corrected normal tail with continuity."""
-    ranked = df.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).alias("v"), X.average_rank(F.col(value)).alias("r"))
-    ties = ranked.groupBy("v").agg(F.count(F.lit(1)).alias("t")).agg(F.sum(F.col("t").cast("double") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
-    s = ranked.agg(F.sum(F.col("g").cast("double")).alias("n1"), F.sum((~F.col("g")).cast("double")).alias("n2"), F.sum(F.when(F.col("g"), F.col("r"))).alias("r1")).crossJoin(ties)
+    placed = ranked(df.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).alias("v")), ["v"]).withColumn("r", average_of_ties("v"))
+    ties = placed.groupBy("v").agg(F.count(F.lit(1)).alias("t")).agg(F.sum(F.col("t").cast("double") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
+    s = placed.agg(F.sum(F.col("g").cast("double")).alias("n1"), F.sum((~F.col("g")).cast("double")).alias("n2"), F.sum(F.when(F.col("g"), F.col("r"))).alias("r1")).crossJoin(ties)
     s = s.withColumn("u", F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2)
     n = F.col("n1") + F.col("n2")
     sd = F.sqrt(F.col("n1") * F.col("n2") / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
@@ -64,8 +120,8 @@ def concordance(a: DataFrame, b: DataFrame, least: int = 20) -> DataFrame:
     both = a.select("unit", F.col("score").alias("x")).join(b.select("unit", F.col("score").alias("y")), "unit").dropna()
     n = both.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).withColumn("k", F.least(F.lit(100), F.floor(F.col("n") / 3)).cast("long"))
     order = lambda c: F.row_number().over(Window.orderBy(F.col(c).desc(), "unit"))
-    ranked = both.withColumns({"px": order("x"), "py": order("y")}).crossJoin(F.broadcast(n))
-    hit = ranked.groupBy("n", "k").agg(F.sum(((F.col("px") <= F.col("k")) & (F.col("py") <= F.col("k"))).cast("long")).alias("overlap"))
+    placed = both.withColumns({"px": order("x"), "py": order("y")}).crossJoin(F.broadcast(n))
+    hit = placed.groupBy("n", "k").agg(F.sum(((F.col("px") <= F.col("k")) & (F.col("py") <= F.col("k"))).cast("long")).alias("overlap"))
     open_ = hit.where("overlap > 0").withColumn("i", F.explode(F.sequence("overlap", "k"))).where("k - i <= n - k")
     tail = open_.groupBy("n").agg(F.sum(F.expr(hypergeometric_pmf("i", "n", "k", "k"))).alias("t"))
     return hit.join(tail.withColumnRenamed("n", "tn"), F.col("n") == F.col("tn"), "left").crossJoin(spearman(both, "x", "y").select("rho")).select("n", "k", "overlap", "rho", F.round(F.least(F.coalesce("t", F.lit(1.0)), F.lit(1.0)), 6).alias("p"))
@@ -89,8 +145,10 @@ def cohesion_null(profiles: DataFrame, members: DataFrame, draws: int, seed: str
     seen = cohesion(present, ["set_name"]).join(F.broadcast(size), "set_name").select("set_name", "m", F.round(mean, 9).alias("observed"))
     slots = profiles.select("unit").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     order = Window.partitionBy("b").orderBy(X.seeded(seed, F.col("b"), F.col("unit")), "unit")
-    ranked = slots.withColumn("k", F.row_number().over(order))
-    sample = ranked.join(F.broadcast(size), F.col("k") <= F.col("m")).select("set_name", "b", "unit")
+    # The largest set bounds what is ranked: Spark cuts each draw to so many rows before and after its shuffle.
+    most = size.agg(F.max("m")).first()[0] or 0
+    taken = slots.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most)
+    sample = taken.join(F.broadcast(size), F.col("k") <= F.col("m")).select("set_name", "b", "unit")
     null = cohesion(sample, ["set_name", "b"]).join(F.broadcast(size), "set_name").select("set_name", F.round(mean, 9).alias("v"))
     both = null.join(F.broadcast(seen), "set_name")
     return both.groupBy("set_name", "m", "observed").agg(F.avg("v").alias("a"), F.stddev_pop("v").alias("s"), F.sum((F.col("v") >= F.col("observed")).cast("long")).alias("ge"), F.count(F.lit(1)).alias("B")).select(
@@ -115,8 +173,9 @@ def stratified_load(scores: DataFrame, members: DataFrame, draws: int, seed: str
     seen = need.join(have, "stratum").groupBy("set_name").agg(F.sum("load").alias("observed"), F.bool_or(F.col("need") > F.col("have")).alias("short"))
     slots = scores.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     order = Window.partitionBy("b", "stratum").orderBy(X.seeded(seed, F.col("b"), F.col("unit")), "unit")
-    ranked = slots.select("b", "stratum", "score", F.row_number().over(order).alias("k"))
-    null = ranked.join(F.broadcast(need.select("set_name", F.col("stratum").alias("s"), "need")), (F.col("stratum") == F.col("s")) & (F.col("k") <= F.col("need")))
+    most = need.agg(F.max("need")).first()[0] or 0
+    taken = slots.select("b", "stratum", "score", F.row_number().over(order).alias("k")).where(F.col("k") <= most)
+    null = taken.join(F.broadcast(need.select("set_name", F.col("stratum").alias("s"), "need")), (F.col("stratum") == F.col("s")) & (F.col("k") <= F.col("need")))
     null = null.groupBy("set_name", "b").agg(F.round(F.sum("score"), 4).alias("v"))
     both = null.join(F.broadcast(seen), "set_name")
     return both.groupBy("set_name", "observed", "short").agg(F.avg("v").alias("a"), F.avg((F.col("v") >= F.round("observed", 4)).cast("double")).alias("p")).select(

@@ -33,11 +33,12 @@ def text_complex_sets(spark, sf_dir):
     return S.restrict_sets(sets, background)
 
 
-@query("text_json_fields", "SELECT event_id, COUNT(*) OVER (PARTITION BY event_type) AS n FROM events WHERE props IS NOT NULL AND LENGTH(props) > 2")
+@query("text_json_fields", "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE json_valid(props)")
 def text_json_fields(spark, sf_dir):
-    """A3 (column form): rows with a JSON document."""
-    e = table(spark, sf_dir, "events").where("props IS NOT NULL AND LENGTH(props) > 2")
-    return e.select("event_id", F.count(F.lit(1)).over(Window.partitionBy("event_type")).alias("n"))
+    """A3 (column form): a field of each row's JSON document; rows whose document does not parse are left out."""
+    e = table(spark, sf_dir, "events")
+    parsed = e.withColumn("doc", F.expr("try_parse_json(props)")).where("doc IS NOT NULL")
+    return parsed.select("event_id", F.expr("try_variant_get(doc, '$.k', 'bigint')").alias("k"))
 
 
 @query("text_decode_categories", "SELECT c_custkey, CASE WHEN c_custkey % 4 = 3 THEN NULL ELSE r_name END AS name FROM customer LEFT JOIN region ON r_regionkey = CASE WHEN c_custkey % 4 = 3 THEN -1 ELSE c_custkey % 4 END")
@@ -87,7 +88,9 @@ def window_top_per_group(spark, sf_dir):
 @query("window_least_of_ranks", f"WITH {REPLICATES} SELECT unit, context, LEAST(CASE WHEN guide_corr IS NOT NULL THEN RANK() OVER (ORDER BY guide_corr DESC NULLS LAST) END, CASE WHEN donor_corr IS NOT NULL THEN RANK() OVER (ORDER BY donor_corr DESC NULLS LAST) END) AS best_rank FROM replicates")
 def window_least_of_ranks(spark, sf_dir):
     """The lesser of two ranks, either of which may be null."""
-    return replicates(spark, sf_dir).select("unit", "context", F.least(X.min_rank(F.col("guide_corr")), X.min_rank(F.col("donor_corr"))).alias("best_rank"))
+    df = T.ranked(replicates(spark, sf_dir), ["guide_corr", "donor_corr"])
+    down = lambda c: F.col(f"{c}_all") - F.col(f"{c}_below") - F.col(f"{c}_ties") + 1  # noqa: E731  from the largest value
+    return df.select("unit", "context", F.least(down("guide_corr"), down("donor_corr")).alias("best_rank"))
 
 
 @query("concord_gate", f"WITH {BASE}, n AS (SELECT COUNT(*) AS n FROM ranked r JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'P') o ON r.unit = o_custkey) SELECT CAST(n AS BIGINT) AS n, CASE WHEN n < 50 THEN 'stop' WHEN n < 100 THEN 'caveat' ELSE 'proceed' END AS call FROM n")
@@ -119,8 +122,8 @@ def concord_flag_lists(spark, sf_dir):
 @query("concord_power", f"WITH {REPLICATES}, v AS (SELECT unit, context, guide_corr, donor_corr FROM replicates WHERE guide_corr IS NOT NULL AND donor_corr IS NOT NULL) SELECT unit, context, ROUND({avg_rank_sql('guide_corr')} / COUNT(*) OVER (), 9) AS pct_a, ROUND({avg_rank_sql('donor_corr')} / COUNT(*) OVER (), 9) AS pct_b, {avg_rank_sql('guide_corr')} / COUNT(*) OVER () >= 0.5 AND {avg_rank_sql('donor_corr')} / COUNT(*) OVER () >= 0.5 AS powered FROM v")
 def concord_power(spark, sf_dir):
     """Units in the upper half of both measures."""
-    v = replicates(spark, sf_dir).dropna()
-    a, b = X.percentile_rank(F.col("guide_corr")), X.percentile_rank(F.col("donor_corr"))
+    v = T.ranked(replicates(spark, sf_dir).dropna(), ["guide_corr", "donor_corr"])
+    a, b = (T.average_of_ties(c) / F.col(f"{c}_all") for c in ("guide_corr", "donor_corr"))
     return v.select("unit", "context", a.alias("a"), b.alias("b")).select("unit", "context", F.round("a", 9).alias("pct_a"), F.round("b", 9).alias("pct_b"), ((F.col("a") >= 0.5) & (F.col("b") >= 0.5)).alias("powered"))
 
 
@@ -154,9 +157,11 @@ def concord_permutation(spark, sf_dir):
 
 
 def permuted(spark, sf_dir, draws: int):
-    b = deviations(spark, sf_dir).select("unit", "context", F.round("work", 9).alias("x"), F.col("support").alias("y")).withColumn("pos", F.row_number().over(Window.orderBy("unit", "context")).cast("long"))
+    b = T.ranked(deviations(spark, sf_dir).select("unit", "context", F.round("work", 9).alias("x"), F.col("support").alias("y")), ["unit"])
+    nth = F.row_number().over(Window.partitionBy("unit").orderBy("context"))
+    b = b.select("x", "y", (F.col("unit_below") + nth).cast("long").alias("pos"))
     slots = b.select(F.col("pos").alias("p0"), "x").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    placed = slots.withColumn("pos", F.row_number().over(Window.partitionBy("b").orderBy(X.seeded("perm", F.col("b"), F.col("p0")), "p0")).cast("long"))
+    placed = T.numbered(slots, X.seeded("perm", F.col("b"), F.col("p0")), ["p0"], ["b"])
     null = placed.join(b.select("pos", "y"), "pos").groupBy("b").agg(X.pearson(F.col("x"), F.col("y")).alias("r"))
     seen = b.agg(X.pearson(F.col("x"), F.col("y")).alias("o"))
     return null.crossJoin(F.broadcast(seen)).agg(F.round(F.max("o"), 6).alias("observed"), F.round(F.percentile("r", F.lit(0.95)), 6).alias("q95"), F.round((F.sum((F.col("r") >= F.col("o")).cast("long")) + 1) / (F.count(F.lit(1)) + 1.0), 6).alias("p"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions import exprs as X
 from quillon.functions.kernels import normal_sf
 from quillon.operators import ranking as R
+from quillon.operators import stats as T
 from quillon.plans.bindings import CONTRAST, REPLICATES, contrast, replicates, table
 from quillon.plans.registry import query
 
@@ -308,7 +309,8 @@ def rank_bootstrap(spark, sf_dir):
 
 
 def bootstrap(spark, sf_dir, draws: int):
-    df = deviations(spark, sf_dir).withColumn("row_id", (F.row_number().over(Window.orderBy("unit", "context")) - 1).cast("long"))
+    nth = F.row_number().over(Window.partitionBy("unit").orderBy("context"))
+    df = T.ranked(deviations(spark, sf_dir), ["unit"]).withColumn("row_id", (F.col("unit_below") + nth - 1).cast("long"))
     return R.bootstrap_stability(df, draws)
 
 
