@@ -179,6 +179,26 @@ def block_summary(df: DataFrame, threshold: float = 0.2) -> DataFrame:
     )
 
 
+def selected_summary(df: DataFrame, fdr: float = 0.1) -> DataFrame:
+    """Per row over features, in one pass: counts and norms over the features whose p is under ``fdr``, norms of z and of all.
+
+    df has arrays profile, z and p; mean_sig is null where no feature passes.
+    """
+    both = F.arrays_zip("profile", "z", "p")
+    passed = F.transform(F.filter(both, lambda t: t["p"] < fdr), lambda t: t["profile"])
+    magnitude = X.array_sum(F.transform(passed, F.abs))
+    return df.select(
+        *[c for c in df.columns if c not in ("profile", "z", "p")],
+        F.size(passed).cast("double").alias("n_sig"),
+        magnitude.alias("mag_sig"),
+        (magnitude / F.nullif(F.size(passed), F.lit(0))).alias("mean_sig"),
+        X.norm(passed).alias("l2_sig"),
+        X.norm(F.col("z")).alias("l2_z"),
+        X.array_sum(F.transform("z", F.abs)).alias("sabs_z"),
+        X.norm(F.col("profile")).alias("l2_all"),
+    )
+
+
 def tensor_cells(df: DataFrame) -> DataFrame:
     """One profile per (unit, context); of repeated cells the greatest row_id wins; a missing row is the mask."""
     order = Window.partitionBy("unit", "context").orderBy(F.col("row_id").desc())

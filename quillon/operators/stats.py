@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,6 +117,64 @@ def enrichment(drawn: DataFrame, sets: DataFrame, background: DataFrame) -> Data
     return out.select("set_name", F.col("x").alias("n_overlap"), F.col("K").alias("set_size"), F.col("n").alias("n_drawn"), F.col("M").alias("background_size"), F.least(F.coalesce("tail", F.lit(1.0)), F.lit(1.0)).alias("p"), F.round(F.coalesce(fold, F.lit(0.0)), 2).alias("fold"))
 
 
+def enrichment_by(drawn: DataFrame, sets: DataFrame, background: DataFrame, key: str) -> DataFrame:
+    """``enrichment`` of every set in every family of drawn members (``key``, member), all families in one job; sets without a background member are left out."""
+    b = background.select("member").distinct()
+    s, d = sets.join(b, "member", "left_semi").distinct(), drawn.select(key, "member").distinct().join(b, "member", "left_semi")
+    size, n = s.groupBy("set_name").agg(F.count(F.lit(1)).alias("K")), d.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    hits = s.join(d, "member").groupBy(key, "set_name").agg(F.count(F.lit(1)).alias("x"))
+    # Families times sets is the result's own size.
+    per = n.crossJoin(size).crossJoin(F.broadcast(b.agg(F.count(F.lit(1)).alias("M")))).join(hits, [key, "set_name"], "left").na.fill(0, ["x"])
+    open_ = per.where("x > 0").withColumn("i", F.explode(F.sequence("x", F.least("K", "n")))).where("n - i <= M - K")
+    tail = open_.groupBy(key, "set_name").agg(F.sum(F.expr(hypergeometric_pmf("i", "M", "K", "n"))).alias("tail"))
+    out = per.join(tail, [key, "set_name"], "left")
+    return out.select(key, "set_name", F.col("x").alias("n_overlap"), F.col("K").alias("set_size"), F.col("n").alias("n_drawn"), F.least(F.coalesce("tail", F.lit(1.0)), F.lit(1.0)).alias("p"))
+
+
+def load_layers(scores: DataFrame, members: DataFrame, draws: int, seed: str = "load") -> DataFrame:
+    """``stratified_load`` in three layers: any units (uniform), units of the members' strata (matched), and matched without flagged units.
+
+    scores: (unit, score, stratum, flagged).
+    """
+    layers = {"uniform": scores.withColumn("stratum", F.lit(0)), "matched": scores, "matched_unflagged": scores.where("NOT flagged")}
+    parts = [stratified_load(df.select("unit", "score", "stratum"), members, draws, seed).withColumn("layer", F.lit(name)) for name, df in layers.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def unit_concordance(a: DataFrame, b: DataFrame, draws: int, least: int = 100, seed: str = "partner") -> DataFrame:
+    """Correlation of each unit's profiles in two data sets over the features finite in both, against those of other units.
+
+    In a draw a unit's partner is the next one in a seeded ring, so no unit is its own. Units with fewer than
+    ``least`` common features give no row, a draw's pair with fewer counts as 0. Classes: universal above
+    the draws' 95 percentile with emp_p < 0.05, specific at or below their median, else intermediate.
+    """
+
+    def common(x: str, y: str):
+        return F.filter(F.arrays_zip(F.col(x).alias("x"), F.col(y).alias("y")), lambda t: X.finite(t["x"]) & X.finite(t["y"]))
+
+    def correlation(both):
+        n = F.size(both)
+        mean = lambda f: F.aggregate(both, F.lit(0.0), lambda s, t: s + f(t)) / n
+        mx, my = mean(lambda t: t["x"]), mean(lambda t: t["y"])
+        sx, sy = F.sqrt(F.greatest(mean(lambda t: t["x"] * t["x"]) - mx * mx, F.lit(0.0))), F.sqrt(F.greatest(mean(lambda t: t["y"] * t["y"]) - my * my, F.lit(0.0)))
+        return F.round((mean(lambda t: t["x"] * t["y"]) - mx * my) / ((sx + 1e-9) * (sy + 1e-9)), 9)
+
+    pair = a.select("unit", F.col("profile").alias("pa")).join(b.select("unit", F.col("profile").alias("pb")), "unit").withColumn("both", common("pa", "pb"))
+    pair = pair.where(F.size("both") >= least)
+    seen = pair.select("unit", F.size("both").cast("long").alias("n_common"), correlation(F.col("both")).alias("r"))
+    slots = pair.select("unit").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    ring = numbered(slots, X.seeded(seed, F.col("b"), F.col("unit")), ["unit"], ["b"])
+    n = pair.agg(F.count(F.lit(1)).alias("n"))
+    next_ = ring.crossJoin(F.broadcast(n)).select("b", "unit", (F.col("pos") % F.col("n") + 1).alias("to"))
+    partner = next_.join(ring.select("b", F.col("pos").alias("to"), F.col("unit").alias("other")), ["b", "to"]).select("unit", "other")
+    met = partner.join(pair.select("unit", "pa"), "unit").join(pair.select(F.col("unit").alias("other"), "pb"), "other").withColumn("both", common("pa", "pb"))
+    null = met.select("unit", F.when(F.size("both") >= least, correlation(F.col("both"))).otherwise(0.0).alias("v"))
+    cuts = null.agg(F.percentile("v", F.lit(0.95)).alias("q95"), F.percentile("v", F.lit(0.5)).alias("median"))
+    emp = null.join(seen.select("unit", "r"), "unit").groupBy("unit").agg(F.avg((F.col("v") >= F.col("r")).cast("double")).alias("emp_p"))
+    kind = F.when((F.col("r") > F.col("q95")) & (F.col("emp_p") < 0.05), "universal").when(F.col("r") <= F.col("median"), "specific").otherwise("intermediate")
+    return seen.join(emp, "unit").crossJoin(F.broadcast(cuts)).select("unit", F.round("r", 6).alias("r"), "n_common", F.round("emp_p", 6).alias("emp_p"), kind.alias("class"))
+
+
 def concordance(a: DataFrame, b: DataFrame, least: int = 20) -> DataFrame:
     """Rankings (unit, score) compared: shared units, rho, overlap of the top min(100, n / 3), its chance p; no row under ``least``."""
     both = a.select("unit", F.col("score").alias("x")).join(b.select("unit", F.col("score").alias("y")), "unit").dropna()
@@ -127,8 +187,27 @@ def concordance(a: DataFrame, b: DataFrame, least: int = 20) -> DataFrame:
     return hit.join(tail.withColumnRenamed("n", "tn"), F.col("n") == F.col("tn"), "left").crossJoin(spearman(both, "x", "y").select("rho")).select("n", "k", "overlap", "rho", F.round(F.least(F.coalesce("t", F.lit(1.0)), F.lit(1.0)), 6).alias("p"))
 
 
-def cohesion_null(profiles: DataFrame, members: DataFrame, draws: int, seed: str = "cohesion") -> DataFrame:
-    """Mean pairwise cosine of each set against seeded same-size draws of units.
+def seeded_draws(units: DataFrame, members: DataFrame, draws: int, seed: str, strata: str | None = None) -> DataFrame:
+    """(set_name, b, unit): for each set and draw, as many seeded units as it has members; with ``strata``, as many of each stratum.
+
+    A draw's order serves all sets: each takes its first ones. The largest need bounds what is ranked, and Spark
+    cuts each draw to so many rows before and after its shuffle.
+    """
+    part = [strata] if strata else []
+    need = members.join(units.select("unit", *part), "unit").groupBy("set_name", *part).agg(F.count(F.lit(1)).alias("need"))
+    most = need.agg(F.max("need")).first()[0] or 0
+    slots = units.select("unit", *part).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    order = Window.partitionBy("b", *part).orderBy(X.seeded(seed, F.col("b"), F.col("unit")), "unit")
+    taken = slots.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most)
+    fits = F.col("k") <= F.col("need")
+    if strata:
+        need = need.withColumnRenamed(strata, "n_stratum")
+        fits = fits & F.col(strata).eqNullSafe(F.col("n_stratum"))
+    return taken.join(F.broadcast(need), fits).select("set_name", "b", "unit")  # a row a set and stratum
+
+
+def cohesion_draws(profiles: DataFrame, members: DataFrame, draws: int, seed: str, strata: str | None = None) -> DataFrame:
+    """(set_name, m, observed, v): mean pairwise cosine of each set and, a row a draw, of its seeded draws.
 
     The mean over pairs is (|sum of unit vectors|^2 - m) / (m (m - 1)), so no pair is formed: per draw and
     dimension the vectors are summed. Sets with fewer than two present members give no row.
@@ -141,21 +220,67 @@ def cohesion_null(profiles: DataFrame, members: DataFrame, draws: int, seed: str
 
     present = members.join(profiles.select(F.col("unit")), "unit", "left_semi")
     size = present.groupBy("set_name").agg(F.count(F.lit(1)).alias("m")).where("m >= 2")
+    present = present.join(F.broadcast(size.select("set_name")), "set_name", "left_semi")
     mean = (F.col("q") - F.col("m")) / (F.col("m") * (F.col("m") - 1))
     seen = cohesion(present, ["set_name"]).join(F.broadcast(size), "set_name").select("set_name", "m", F.round(mean, 9).alias("observed"))
-    slots = profiles.select("unit").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    order = Window.partitionBy("b").orderBy(X.seeded(seed, F.col("b"), F.col("unit")), "unit")
-    # The largest set bounds what is ranked: Spark cuts each draw to so many rows before and after its shuffle.
-    most = size.agg(F.max("m")).first()[0] or 0
-    taken = slots.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most)
-    sample = taken.join(F.broadcast(size), F.col("k") <= F.col("m")).select("set_name", "b", "unit")
-    null = cohesion(sample, ["set_name", "b"]).join(F.broadcast(size), "set_name").select("set_name", F.round(mean, 9).alias("v"))
-    both = null.join(F.broadcast(seen), "set_name")
+    null = cohesion(seeded_draws(profiles, present, draws, seed, strata), ["set_name", "b"])
+    return null.join(F.broadcast(seen), "set_name").select("set_name", "m", "observed", F.round(mean, 9).alias("v"))
+
+
+def cohesion_null(profiles: DataFrame, members: DataFrame, draws: int, seed: str = "cohesion", strata: str | None = None) -> DataFrame:
+    """Cohesion of each set against seeded draws: of any units, or with ``strata`` of units with its members' mix of strata."""
+    both = cohesion_draws(profiles, members, draws, seed, strata)
     return both.groupBy("set_name", "m", "observed").agg(F.avg("v").alias("a"), F.stddev_pop("v").alias("s"), F.sum((F.col("v") >= F.col("observed")).cast("long")).alias("ge"), F.count(F.lit(1)).alias("B")).select(
         "set_name", "m", F.round("observed", 6).alias("observed"), F.round("a", 6).alias("null_mean"), F.round((F.col("observed") - F.col("a")) / (F.col("s") + 1e-9), 3).alias("z"), F.round((F.col("ge") + 1) / (F.col("B") + 1.0), 6).alias("p")
     )
 
 
+def module_null(profiles: DataFrame, members: DataFrame, draws: int, seed: str = "module") -> DataFrame:
+    """Mean pairwise correlation of each module against same-size draws; p is the plain share of draws at least as large.
+
+    Correlation is the cosine of centred rows.
+    """
+    mean = X.array_sum(F.col("profile")) / F.size("profile")
+    centred = profiles.withColumn("profile", F.transform(F.array(mean), lambda m: F.transform("profile", lambda x: x - m))[0])
+    both = cohesion_draws(centred, members, draws, seed)
+    return both.groupBy("set_name", "m", "observed").agg(F.avg("v").alias("a"), F.stddev_samp("v").alias("s"), F.avg((F.col("v") >= F.col("observed")).cast("double")).alias("p")).select(
+        "set_name", "m", F.round("observed", 6).alias("observed"), F.round("a", 6).alias("null_mean"), F.round((F.col("observed") - F.col("a")) / (F.col("s") + 1e-12), 3).alias("z"), F.round("p", 6).alias("p")
+    )
+
+
+METRICS = ("cosine", "euclidean", "whitened")
+
+
+def compactness_null(profiles: DataFrame, members: DataFrame, draws: int, seed: str = "compact") -> DataFrame:
+    """Mean pairwise distance of each set under three metrics against same-size draws; small p is compact.
+
+    A set is a panel's: its rows, and those of one draw, are one group. Whitened rows have columns of mean 0 and deviation 1.
+    """
+    from quillon.operators.profiles import standardise
+
+    white = standardise(profiles.select("unit", "profile")).select("unit", F.col("profile").alias("white"))
+    present = members.join(profiles.select("unit"), "unit", "left_semi")
+    drawn = seeded_draws(profiles, present, draws, seed).unionByName(present.select("set_name", F.lit(-1).alias("b"), "unit"))
+    rows = drawn.join(profiles.select("unit", "profile"), "unit").join(white, "unit").select("set_name", "b", "profile", "white")
+
+    def spread(t: pa.Table) -> pa.Table:
+        x, w = (np.stack(t.column(c).to_numpy()) for c in ("profile", "white"))
+        pairs = np.triu_indices(len(x), 1)
+        u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        apart = lambda a: float(np.linalg.norm(a[pairs[0]] - a[pairs[1]], axis=1).mean()) if len(pairs[0]) else None
+        cosine = float(1 - (u @ u.T)[pairs].mean()) if len(pairs[0]) else None
+        return pa.table({"set_name": t.column("set_name")[:1], "b": t.column("b")[:1], "m": pa.array([len(x)], pa.int64()), **{k: pa.array([v], pa.float64()) for k, v in zip(METRICS, (cosine, apart(x), apart(w)), strict=True)}})
+
+    kind = members.schema["set_name"].dataType.simpleString()
+    found = rows.groupBy("set_name", "b").applyInArrow(spread, f"set_name {kind}, b int, m long, cosine double, euclidean double, whitened double").where("m >= 2")
+    long_ = found.unpivot(["set_name", "b", "m"], list(METRICS), "metric", "v").withColumn("v", F.round("v", 9))
+    seen = F.max(F.when(F.col("b") < 0, F.col("v")))
+    per = long_.withColumn("observed", seen.over(Window.partitionBy("set_name", "metric"))).where("b >= 0")  # a row a draw
+    return per.groupBy("set_name", "metric", "m", "observed").agg(F.avg("v").alias("a"), F.stddev_pop("v").alias("s"), F.sum((F.col("v") <= F.col("observed")).cast("long")).alias("le"), F.count(F.lit(1)).alias("B")).select(
+        "set_name", "metric", "m", F.round("observed", 6).alias("observed"), F.round("a", 6).alias("null_mean"), F.round((F.col("a") - F.col("observed")) / (F.col("s") + 1e-9), 3).alias("z"), F.round((F.col("le") + 1) / (F.col("B") + 1.0), 6).alias("p")
+    )
+
+
 def decile_edges(df: DataFrame, value: str, parts: int = 10) -> DataFrame:
     """Adds stratum 0..parts-1 by exact quantile edges (right-closed; equal edges merge)."""
     cuts = df.agg(F.array_distinct(F.percentile(value, F.array(*[F.lit(k / parts) for k in range(1, parts)]))).alias("cuts"))
