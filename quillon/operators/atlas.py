@@ -17,7 +17,7 @@ def checked_limit(limit: int, most: int = 2000) -> int:
 
 
 class Atlas:
-    """Result tables by name (a missing one is None): ranking, classes, breadth, audit, contrast, edges, neighbours, programs, markers, sets."""
+    """Result tables by name (a missing one is None): ranking, classes, breadth, audit, contrast, replicates, edges, neighbours, programs, markers, sets, and those that an endpoint names."""
 
     def __init__(self, **tables: DataFrame | None):
         self.tables = tables
@@ -38,6 +38,85 @@ class Atlas:
         part = lambda df, kind, key: df.groupBy(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key")).agg(F.count(F.lit(1)).alias("n"))
         return part(self["classes"], "class", "regulator_class").unionByName(part(self["contrast"].where("gate"), "context", "context"))
 
+    def overview(self, top: int = 10) -> DataFrame:
+        """Q3: rows (kind, key, value): number of units, counts by class, the first units, contexts, which tables are there."""
+        row = lambda df, kind, key, value: df.select(F.lit(kind).alias("kind"), key.cast("string").alias("key"), value.cast("string").alias("value"))
+        n = F.count(F.lit(1)).alias("n")
+        spark = self["ranking"].sparkSession
+        parts = [
+            row(self["ranking"].agg(n), "units", F.lit("n"), F.col("n")),
+            row(self["classes"].groupBy("regulator_class").agg(n), "class", F.col("regulator_class"), F.col("n")),
+            row(self["ranking"].where(F.col("rank") <= top), "top", F.col("rank"), F.col("unit")),
+            row(self["contrast"].select("context").distinct(), "context", F.col("context"), F.lit("true")),
+            row(spark.createDataFrame([(k, str(v is not None).lower()) for k, v in sorted(self.tables.items())], "k string, v string"), "available", F.col("k"), F.col("v")),
+        ]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
+
+    def fields(self) -> DataFrame:
+        """A unit's row of every result table: baseline, stability, reproducibility, review and program; what a table lacks is null.
+
+        Left joins on the unit; written once, a lookup filters it.
+        """
+        df = self["ranking"].select("unit", F.col("rank").alias("core_rank"))
+        for name, columns in {
+            "classes": {"regulator_class": "regulator_class"},
+            "peaks": {"context": "peak_context", "response": "peak_response"},
+            "stability": {"selection_frequency": "stability_frequency", "median_rank": "median_rank", "rank_iqr": "rank_iqr"},
+            "baselines": {"raw_rank": "raw_rank", "dropped": "dropped_by_gate"},
+            "audit": {"new_rank": "reweighted_rank", "score": "reweighted_score", "donor_metadata": "donor_metadata"},
+            "review": {"status": "audit_status", "reason": "audit_reason"},
+            "findings": {"assigned": "program_label", "best": "nearest_program", "cosine": "nearest_cosine"},
+        }.items():
+            table = self.tables.get(name)
+            if table is None:
+                df = df.withColumns({new: F.lit(None) for new in columns.values()})
+            else:
+                df = df.join(table.select("unit", *[F.col(old).alias(new) for old, new in columns.items()]), "unit", "left")
+        return df.withColumn("in_program_panel", F.col("nearest_program").isNotNull())
+
+    def coverage(self) -> DataFrame:
+        """Q8: one row: contrasts, gated ones, and how many carry each kind of reproducibility metadata."""
+        both = self["contrast"].join(self["replicates"], ["unit", "context"], "left")
+        share = lambda c: F.round(F.avg(F.col(c).isNotNull().cast("double")), 6)
+        return both.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("gate").cast("long")).alias("n_gated"), share("guide_corr").alias("guide_share"), share("donor_corr").alias("donor_share"), F.round(F.avg(F.col("single").cast("double")), 6).alias("single_share"))
+
+    def findings(self) -> DataFrame:
+        """Q13: panel units with their program call and their neighbourhood's coherence."""
+        return self["findings"].join(self["coherence"], "unit", "left")
+
+    def validation(self) -> DataFrame:
+        """Q14: programs with their size, cohesion against the null, and mean coherence of their members."""
+        mean = self["programs"].join(self["coherence"], "unit").groupBy("program").agg(F.round(F.avg("own_share"), 6).alias("own_share"))
+        size = self["programs"].groupBy("program").agg(F.count(F.lit(1)).alias("members"))
+        null = self["cohesion"].select(F.col("set_name").alias("program"), "observed", "z", "p")
+        return size.join(null, "program", "left").join(mean, "program", "left")
+
+    def class_jaccard(self) -> DataFrame:
+        """Q15: the full symmetric matrix of target-set similarity, ones on the diagonal, to three digits."""
+        j = self["jaccard"].select("a", "b", F.round("jaccard", 3).alias("jaccard"))
+        own = j.select("a").union(j.select("b")).distinct().select("a", F.col("a").alias("b"), F.lit(1.0).alias("jaccard"))
+        return j.unionByName(j.select(F.col("b").alias("a"), F.col("a").alias("b"), "jaccard")).unionByName(own)
+
+    @staticmethod
+    def document(text: str | None) -> dict:
+        """A JSON document as it is, NaN and infinities as null; without one, or with a broken one, not available."""
+        import json
+
+        def clean(v):
+            if isinstance(v, dict):
+                return {k: clean(x) for k, x in v.items()}
+            if isinstance(v, list):
+                return [clean(x) for x in v]
+            return None if isinstance(v, float) and (v != v or v in (float("inf"), float("-inf"))) else v
+
+        try:
+            return {"available": True, **clean(json.loads(text))} if text else {"available": False}
+        except ValueError:
+            return {"available": False}
+
     def units(self) -> DataFrame:
         """Q4: units with their rank."""
         return self["ranking"].select("rank", "unit")

@@ -73,6 +73,19 @@ def threshold_hits(effects: DataFrame, big: float = BIG) -> DataFrame:
     return effects.where(F.abs("y") > big).withColumn("up", F.col("y") > 0)
 
 
+def specificity(df: DataFrame) -> DataFrame:
+    """I16: columns magnitude_specific, direction_specific and verdict out of p, fold, null_fold, up, null_up and other_fold.
+
+    Magnitude: p under 0.05 and twice the null's fold. Direction: 85 % up and a quarter above the null. The
+    cascade: both; else p or a gap of 0.15 alone; else another group's fold at twice the null's.
+    """
+    magnitude = (F.col("p") < 0.05) & (F.col("fold") >= 2 * F.col("null_fold"))
+    gap = F.col("up") - F.col("null_up")
+    direction = (F.col("up") >= 0.85) & (gap >= 0.25)
+    verdict = F.when(magnitude & direction, "specific").when((F.col("p") < 0.05) | (gap >= 0.15), "largely general").when(F.col("other_fold") >= 2 * F.col("null_fold"), "general").otherwise("none")
+    return df.withColumns({"magnitude_specific": magnitude, "direction_specific": direction, "verdict": verdict})
+
+
 def matched_null(pool: DataFrame, size: int, draws: int, observed: DataFrame, seed: str = "null") -> DataFrame:
     """Mean of ``value`` over ``draws`` seeded samples of ``size`` pool members, against one observed value.
 

@@ -8,11 +8,11 @@ from quillon.operators import edges as D
 from quillon.operators import profiles as P
 from quillon.operators import ranking as R
 from quillon.operators.atlas import Atlas
-from quillon.plans.bindings import contrast, effects, memberships, profiles, replicates
+from quillon.plans.bindings import CONTRAST, REPLICATES, contrast, effects, memberships, profiles, replicates
 from quillon.plans.effect_queries import EDGES, ENRICH, enriched
 from quillon.plans.profile_queries import KNN, MARK, knn
 from quillon.plans.ranking_queries import BASE, REWEIGHT, posterior
-from quillon.plans.registry import query
+from quillon.plans.registry import QUERIES, SQL, query
 
 
 def atlas(spark, sf_dir) -> Atlas:
@@ -34,6 +34,14 @@ def atlas(spark, sf_dir) -> Atlas:
         markers=P.markers(profiles(spark, sf_dir), 12, 0.55),
         enrichment=enriched(spark, sf_dir),
         sets=memberships(spark, sf_dir),
+        replicates=replicates(spark, sf_dir),
+        peaks=R.peak_context(df),
+        stability=QUERIES["rank_bootstrap"](spark, sf_dir),
+        review=QUERIES["rank_review"](spark, sf_dir),
+        findings=QUERIES["profile_loo_centroid"](spark, sf_dir),
+        coherence=QUERIES["profile_coherence"](spark, sf_dir),
+        cohesion=None,
+        jaccard=None,
     )
 
 
@@ -47,9 +55,14 @@ def atlas_summary(spark, sf_dir):
     return atlas(spark, sf_dir).summary()
 
 
-@query("atlas_health")
+LOADED = ("audit", "baselines", "breadth", "classes", "coherence", "cohesion", "contrast", "edge_summary", "edges", "enrichment", "findings", "jaccard", "markers", "neighbours", "peaks", "programs", "ranking", "replicates", "review", "sets", "stability")
+MISSING = ("cohesion", "jaccard")
+STATES = " UNION ALL ".join(f"SELECT '{n}' AS name, {n not in MISSING} AS loaded" for n in LOADED)
+
+
+@query("atlas_health", f"WITH {BASE}, t AS ({STATES}) SELECT 'ok' AS status, (SELECT CAST(COUNT(*) AS BIGINT) FROM ranked) AS n_units, name, loaded FROM t")
 def atlas_health(spark, sf_dir):
-    """Q2: state of the tables, as rows. Rows only: a state, not a relation."""
+    """Q2: state of the tables, as rows."""
     h = atlas(spark, sf_dir).health()
     return spark.createDataFrame([(h["status"], h["n_units"], k, v) for k, v in sorted(h["tables_loaded"].items())], "status string, n_units long, name string, loaded boolean")
 
@@ -152,3 +165,60 @@ def atlas_neighbours(spark, sf_dir):
 def atlas_programs(spark, sf_dir):
     """Q11, Q13: those of the asked columns that the table has."""
     return atlas(spark, sf_dir).existing("programs", "unit", "program", "pc1", "pc2")
+
+
+OVERVIEW = " UNION ALL ".join(f"SELECT 'available', '{n}', '{str(n not in MISSING).lower()}'" for n in LOADED)
+
+
+@query("atlas_overview", f"""WITH {BASE}, {CLS} SELECT 'units' AS kind, 'n' AS key, CAST(COUNT(*) AS VARCHAR) AS value FROM ranked UNION ALL SELECT 'class', regulator_class, CAST(COUNT(*) AS VARCHAR) FROM cls GROUP BY 2
+UNION ALL SELECT 'top', CAST(rank AS VARCHAR), CAST(unit AS VARCHAR) FROM ranked WHERE rank <= 10 UNION ALL SELECT DISTINCT 'context', context, 'true' FROM contrast UNION ALL {OVERVIEW}""")
+def atlas_overview(spark, sf_dir):
+    """Q3: counts, first ten units, contexts and which tables there are."""
+    return atlas(spark, sf_dir).overview()
+
+
+@query("atlas_profile_fields", f"""SELECT r.unit, r.rank AS core_rank, regulator_class, p.context AS peak_context, p.response AS peak_response, selection_frequency AS stability_frequency, median_rank, rank_iqr, raw_rank, dropped AS dropped_by_gate,
+w.new_rank AS reweighted_rank, score AS reweighted_score, donor_metadata, status AS audit_status, reason AS audit_reason, assigned AS program_label, best AS nearest_program, cosine AS nearest_cosine, best IS NOT NULL AS in_program_panel
+FROM ({SQL['atlas_units']}) r LEFT JOIN ({SQL['rank_classes']}) c ON r.unit = c.unit LEFT JOIN ({SQL['agg_peak_context']}) p ON r.unit = p.unit LEFT JOIN ({SQL['rank_bootstrap']}) s ON r.unit = s.unit LEFT JOIN ({SQL['rank_baselines']}) b ON r.unit = b.unit
+LEFT JOIN ({SQL['rank_reweight']}) w ON r.unit = w.unit LEFT JOIN ({SQL['rank_review']}) v ON r.unit = v.unit LEFT JOIN ({SQL['profile_loo_centroid']}) f ON r.unit = f.unit""")
+def atlas_profile_fields(spark, sf_dir):
+    """The scalar fields of every unit's profile: baseline, stability, reproducibility, review, program."""
+    return atlas(spark, sf_dir).fields()
+
+
+@query("atlas_coverage", f"WITH {CONTRAST}, {REPLICATES} SELECT CAST(COUNT(*) AS BIGINT) AS n, CAST(SUM(CAST(gate AS INT)) AS BIGINT) AS n_gated, ROUND(AVG(CASE WHEN guide_corr IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS guide_share, ROUND(AVG(CASE WHEN donor_corr IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS donor_share, ROUND(AVG(CASE WHEN single THEN 1.0 WHEN NOT single THEN 0.0 END), 6) AS single_share FROM contrast c LEFT JOIN replicates r ON c.unit = r.unit AND c.context = r.context")
+def atlas_coverage(spark, sf_dir):
+    """Q8: the coverage row of the reproducibility audit."""
+    return atlas(spark, sf_dir).coverage()
+
+
+@query("atlas_findings", f"SELECT f.*, mean_similarity, nearest, own_share FROM ({SQL['profile_loo_centroid']}) f LEFT JOIN ({SQL['profile_coherence']}) c ON f.unit = c.unit")
+def atlas_findings(spark, sf_dir):
+    """Q13: findings per panel unit."""
+    return atlas(spark, sf_dir).findings()
+
+
+@query("atlas_validation", f"SELECT CAST(label AS VARCHAR) AS program, CAST(COUNT(*) AS BIGINT) AS members, MAX(n.observed) AS observed, MAX(n.z) AS z, MAX(n.p) AS p, ROUND(AVG(own_share), 6) AS own_share FROM embeddings e LEFT JOIN ({SQL['stat_cohesion_null']}) n ON n.set_name = CAST(label AS VARCHAR) LEFT JOIN ({SQL['profile_coherence']}) c ON c.unit = e.vec_id GROUP BY 1")
+def atlas_validation(spark, sf_dir):
+    """Q14: validation of the programs against their null, with their members' coherence."""
+    a = atlas(spark, sf_dir)
+    a.tables["cohesion"] = QUERIES["stat_cohesion_null"](spark, sf_dir)
+    return a.validation()
+
+
+@query("atlas_class_jaccard", f"WITH j AS ({SQL['set_jaccard']}) SELECT a, b, ROUND(jaccard, 3) AS jaccard FROM j UNION ALL SELECT b, a, ROUND(jaccard, 3) FROM j UNION ALL SELECT DISTINCT c, c, 1.0::DOUBLE FROM (SELECT a AS c FROM j UNION ALL SELECT b FROM j)")
+def atlas_class_jaccard(spark, sf_dir):
+    """Q15: matrix of target-set similarity of the classes."""
+    a = atlas(spark, sf_dir)
+    a.tables["jaccard"] = QUERIES["set_jaccard"](spark, sf_dir)
+    return a.class_jaccard()
+
+
+SOURCES = f"""{KNN}, c AS (SELECT a AS unit, AVG(similarity) AS s, AVG(CASE WHEN x.program = y.program THEN 1.0 ELSE 0.0 END) AS own FROM knn JOIN p x ON x.unit = a JOIN p y ON y.unit = b GROUP BY a)"""
+
+
+@query("profile_source_summary", f"WITH {SOURCES} SELECT p.program AS source, CAST(COUNT(*) AS BIGINT) AS n, ROUND(AVG(ROUND(s, 9)), 6) AS mean_similarity, ROUND(100 * AVG(CASE WHEN ROUND(own, 6) >= 0.25 THEN 1.0 ELSE 0.0 END), 4) AS in_program FROM c JOIN p ON p.unit = c.unit GROUP BY 1")
+def profile_source_summary(spark, sf_dir):
+    """V8: per source the number of units, their mean coherence and the share whose neighbourhood is in their own program."""
+    c = QUERIES["profile_coherence"](spark, sf_dir).join(profiles(spark, sf_dir).select("unit", F.col("program").alias("source")), "unit")
+    return c.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("mean_similarity"), 6).alias("mean_similarity"), F.round(100 * F.avg((F.col("own_share") >= 0.25).cast("double")), 4).alias("in_program"))

@@ -96,18 +96,19 @@ def edge_signed_hits(spark, sf_dir):
     return df.groupBy("unit").agg(F.sum((F.col("y") > D.BIG).cast("long")).alias("up"), F.sum((F.col("y") < -D.BIG).cast("long")).alias("down"))
 
 
-NULL_POOL = f"{BASE}, pool AS (SELECT unit AS id, CAST(response AS DOUBLE) AS value FROM contrast WHERE context = 'N' AND gate AND NOT penalty_flag), tested AS (SELECT ROUND(AVG(CAST(response AS DOUBLE)), 9) AS observed FROM contrast WHERE context = 'N' AND gate AND penalty_flag)"
+NULL_POOL = f"{BASE}, pool AS (SELECT unit AS id, CAST(response AS DOUBLE) AS value FROM contrast WHERE context = 'N' AND gate AND NOT penalty_flag AND response BETWEEN 0.8::DOUBLE * (SELECT MIN(response) FROM contrast WHERE context = 'N' AND gate AND penalty_flag) AND 1.2::DOUBLE * (SELECT MAX(response) FROM contrast WHERE context = 'N' AND gate AND penalty_flag)), tested AS (SELECT ROUND(AVG(CAST(response AS DOUBLE)), 9) AS observed FROM contrast WHERE context = 'N' AND gate AND penalty_flag)"
 
 
 @query("edge_matched_null", f"WITH {NULL_POOL}, d AS (SELECT b, value, ROW_NUMBER() OVER (PARTITION BY b ORDER BY MD5('null#' || CAST(b AS VARCHAR) || '#' || CAST(id AS VARCHAR)), id) AS k FROM pool, RANGE(30) t(b)), m AS (SELECT b, ROUND(AVG(value), 9) AS m FROM d WHERE k <= 25 GROUP BY b) SELECT ROUND(MAX(observed), 6) AS observed, ROUND(AVG(m), 6) AS null_mean, ROUND(STDDEV_POP(m), 6) AS null_sd, ROUND((MAX(observed) - AVG(m)) / (STDDEV_POP(m) + 1e-9), 4) AS z, ROUND((SUM(CASE WHEN m >= observed THEN 1 ELSE 0 END) + 1) / (COUNT(*) + 1.0::DOUBLE), 6) AS p, ROUND(QUANTILE_CONT(m, 0.95), 6) AS p95 FROM m, tested")
 def edge_matched_null(spark, sf_dir):
-    """Observed mean against seeded draws from a matched pool."""
+    """Observed mean against seeded draws from the pool of untested rows whose effect lies in 0.8 to 1.2 of the tested range."""
     return matched(spark, sf_dir, 30)
 
 
 def matched(spark, sf_dir, draws: int):
     df = contrast(spark, sf_dir).where("context = 'N' AND gate")
-    pool = df.where("NOT penalty_flag").select(F.col("unit").alias("id"), F.col("response").cast("double").alias("value"))
+    reach = df.where("penalty_flag").agg((F.min("response") * 0.8).alias("lo"), (F.max("response") * 1.2).alias("hi"))
+    pool = df.where("NOT penalty_flag").crossJoin(F.broadcast(reach)).where("response BETWEEN lo AND hi").select(F.col("unit").alias("id"), F.col("response").cast("double").alias("value"))
     seen = df.where("penalty_flag").agg(F.round(F.avg(F.col("response").cast("double")), 9).alias("observed"))
     return D.matched_null(pool, 25, draws, seen)
 
@@ -129,6 +130,24 @@ def edge_verdict(spark, sf_dir):
     return s.select("class", rule.alias("verdict"))
 
 
+SPECIFIC = f"""{EFFECTS}, {CLASSES}, h AS (SELECT class, CAST(COUNT(*) AS DOUBLE) AS hits, AVG(CASE WHEN y > 0 THEN 1.0 ELSE 0.0 END) AS up FROM effects e JOIN classes c ON e.unit = c.unit WHERE ABS(y) > {B} GROUP BY 1),
+q AS (SELECT a.class, MAX(a.hits) AS fold, AVG(b.hits) AS null_fold, MAX(a.up) AS up, AVG(b.up) AS null_up, (SUM(CASE WHEN b.hits >= a.hits THEN 1 ELSE 0 END) + 1) / (COUNT(*) + 1.0::DOUBLE) AS p, MAX(b.hits) AS other_fold FROM h a JOIN h b ON a.class <> b.class GROUP BY 1)"""
+
+
+@query("edge_specificity", f"""WITH {SPECIFIC} SELECT class, ROUND(fold, 6) AS fold, ROUND(p, 6) AS p, p < 0.05 AND fold >= 2 * null_fold AS magnitude_specific, up >= 0.85 AND up - null_up >= 0.25 AS direction_specific,
+CASE WHEN p < 0.05 AND fold >= 2 * null_fold AND up >= 0.85 AND up - null_up >= 0.25 THEN 'specific' WHEN p < 0.05 OR up - null_up >= 0.15 THEN 'largely general' WHEN other_fold >= 2 * null_fold THEN 'general' ELSE 'none' END AS verdict FROM q""")
+def edge_specificity(spark, sf_dir):
+    """I16: magnitude and direction specificity of each class against the others, by the published thresholds."""
+    h = D.threshold_hits(effects(spark, sf_dir)).join(classes(spark, sf_dir), "unit")
+    h = h.groupBy("class").agg(F.count(F.lit(1)).cast("double").alias("hits"), F.avg(F.col("up").cast("double")).alias("up"))
+    o = h.select(F.col("class").alias("other"), F.col("hits").alias("o_hits"), F.col("up").alias("o_up"))
+    q = h.join(o, F.col("class") != F.col("other")).groupBy("class").agg(  # a row a class
+        F.max("hits").alias("fold"), F.avg("o_hits").alias("null_fold"), F.max("up").alias("up"), F.avg("o_up").alias("null_up"),
+        ((F.sum((F.col("o_hits") >= F.col("hits")).cast("long")) + 1) / (F.count(F.lit(1)) + 1.0)).alias("p"), F.max("o_hits").alias("other_fold"),
+    )
+    return D.specificity(q).select("class", F.round("fold", 6).alias("fold"), F.round("p", 6).alias("p"), "magnitude_specific", "direction_specific", "verdict")
+
+
 BRANDS = "brands AS (SELECT DISTINCT c_mktsegment AS set_name, l_partkey AS member FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_quantity > 48)"
 
 
