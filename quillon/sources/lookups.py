@@ -80,12 +80,13 @@ def lookup(spark: SparkSession, keys: DataFrame, fetch: Callable[[Sequence[str]]
 
         names = [c.split()[0] for c in schema.split(", ")]
         for pdf in batches:
-            found = pd.DataFrame(list(fetch(pdf[key].tolist())), columns=names)
-            if missing := set(pdf[key]) - set(found[key]):
-                raise LookupError(f"{len(missing)} keys have no attributes, nothing is made up for them")
-            yield found
+            for at in range(0, len(pdf), batch):
+                asked = pdf[key].iloc[at : at + batch].tolist()
+                found = pd.DataFrame(list(fetch(asked)), columns=names)
+                if missing := set(asked) - set(found[key]):
+                    raise LookupError(f"{len(missing)} keys have no attributes, nothing is made up for them")
+                yield found
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     wanted.mapInPandas(pull, schema).write.mode("overwrite").parquet(cache)
     return wanted.join(spark.read.schema(schema).parquet(cache), key)
 

@@ -6,6 +6,7 @@ import importlib.util
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -27,7 +28,7 @@ def open_matrix(path: str, layer: str | None):
 
 
 class MatrixSource(DataSource):
-    """Options path, layer, block (rows a partition, 2000). Rows (row_id, profile as float32)."""
+    """Options path, layer, block (rows a partition, 2000). Rows (row_id, profile as float32), as Arrow batches."""
 
     @classmethod
     def name(cls) -> str:
@@ -48,10 +49,17 @@ class MatrixReader(DataSourceReader):
         n = open_matrix(self.path, self.layer).shape[0]
         return [Block(a, min(n, a + self.block)) for a in range(0, n, self.block)]
 
-    def read(self, partition: Block) -> Iterator[tuple]:
+    def read(self, partition: Block) -> Iterator[pa.RecordBatch]:
         rows = np.asarray(open_matrix(self.path, self.layer)[partition.start : partition.stop], dtype=np.float32)
-        for k, row in enumerate(rows):
-            yield partition.start + k, row.tolist()
+        ends = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1])
+        profile = pa.ListArray.from_arrays(ends, pa.array(rows.ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(partition.start, partition.stop)), profile], names=["row_id", "profile"])
+
+
+def rows_of(matrix: DataFrame, index: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(unit, context, row_id, profile) of the wanted (unit, context) pairs: ``index`` (row_id, unit, context) says where they are."""
+    found = index.join(wanted.select("unit", "context").distinct(), ["unit", "context"])
+    return matrix.join(found, "row_id").select("unit", "context", "row_id", "profile")
 
 
 def inspect(df: DataFrame) -> list[tuple[str, str]]:

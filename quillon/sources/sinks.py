@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -44,6 +44,22 @@ def guarded_write(df: DataFrame, path: str, rho: float | None, limit: float = 0.
     df.write.mode("overwrite").parquet(path)
 
 
+def write_tensor(cells: DataFrame, path: str) -> None:
+    """The tensor as rows (unit, context, profile, support, in_panel), overwritten; an absent row is the mask."""
+    cells.select("unit", "context", F.col("profile").cast("array<float>").alias("profile"), F.col("support").cast("double").alias("support"), F.col("in_panel").cast("boolean").alias("in_panel")).write.mode("overwrite").parquet(path)
+
+
+def read_tensor(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_tensor`` wrote."""
+    return spark.read.schema("unit long, context string, profile array<float>, support double, in_panel boolean").parquet(path)
+
+
+def report(sections: Sequence[tuple[str, DataFrame | None, int]]) -> str:
+    """A text of titled tables (title, table, most rows); a section whose table is missing or empty is left out."""
+    parts = [f"## {title}\n\n{markdown(df, limit)}" for title, df, limit in sections if df is not None and not df.isEmpty()]
+    return "\n\n".join(parts)
+
+
 def markdown(df: DataFrame, limit: int = 30) -> str:
     """The first rows as a text table."""
     rows = df.limit(limit).collect()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterable, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -109,3 +110,22 @@ def decode_categories(df: DataFrame, codes: str, categories: DataFrame, name: st
     """Category codes to text through the small table (code, value); -1 and unknown codes give null."""
     dim = F.broadcast(categories.select(F.col("code").alias("__code"), F.col("value").alias(name)))
     return df.join(dim, F.col(codes) == F.col("__code"), "left").drop("__code")
+
+
+def extract_columns(spark: SparkSession, source: str, target: str, columns: Sequence[str], force: bool = False) -> str:
+    """A10: those of ``columns`` that the Parquet table at ``source`` has, copied to ``target``; says what was done.
+
+    Only they are read. What is there already stays unless forced; nothing is fatal: a source that cannot be read is reported.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS")
+    if not force and path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return "kept"
+    try:
+        df = spark.read.parquet(source)
+        present = [c for c in columns if c in df.columns]
+        if not present:
+            return "none of the columns is there"
+        df.select(*present).write.mode("overwrite").parquet(target)
+    except (AnalysisException, Py4JJavaError) as problem:
+        return f"not extracted: {str(problem).splitlines()[0]}"
+    return "extracted"

@@ -41,6 +41,9 @@ def test_cached_slice_and_matrix_source(spark, tmp_path):
     for _ in range(2):
         got = tables.cached_slice(m, [2, 0], "m", str(tmp_path / "cache"))
         assert sorted((r.row_id, r.profile) for r in got.collect()) == [(0, [0, 1, 2]), (2, [6, 7, 8])]
+    index = spark.createDataFrame([(0, 7, "A"), (3, 7, "N"), (1, 8, "A")], "row_id long, unit long, context string")
+    asked = spark.createDataFrame([(7, "N"), (8, "A"), (9, "A"), (7, "N")], "unit long, context string")
+    assert sorted((r.unit, r.context, r.profile) for r in matrices.rows_of(m, index, asked).collect()) == [(7, "N", [9, 10, 11]), (8, "A", [3, 4, 5])]
     assert matrices.probe(str(tmp_path / "m.npy"))["verdict"] == "ok"
     assert matrices.probe(str(tmp_path / "no.npy"))["verdict"].startswith("unreachable")
     assert ("profile", "array<float>") in matrices.inspect(m)
@@ -56,6 +59,10 @@ def test_lookups(spark, tmp_path):
     got = lookups.lookup(spark, keys, lambda ks: [(k, len(k)) for k in ks], "key string, n long", cache)
     assert got.count() == 2
     assert lookups.lookup(spark, keys, lambda ks: 1 / 0, "key string, n long", cache).count() == 2
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    many = spark.range(25).select(F.col("id").cast("string").alias("key")).coalesce(1)
+    got = lookups.lookup(spark, many, lambda ks: [(k, len(ks)) for k in ks], "key string, n long", str(tmp_path / "many"), batch=10)
+    assert max(r.n for r in got.collect()) <= 10 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
     p = lookups.download_once(tmp_path / "f", lambda: b"x")
     assert lookups.download_once(tmp_path / "f", lambda: 1 / 0) == p and p.read_bytes() == b"x"
 
@@ -74,6 +81,56 @@ def test_sinks(spark, tmp_path):
     sinks.guarded_write(df, str(tmp_path / "g"), -0.1)
     assert sinks.summary_document(df, rows=more).startswith('{"rows"')
     assert sinks.markdown(df).splitlines()[0] == "| unit | v |"
+    text = sinks.report([("One", df, 5), ("Gone", None, 5), ("Empty", df.limit(0), 5), ("Two", more, 1)])
+    assert [x for x in text.splitlines() if x.startswith("##")] == ["## One", "## Two"]
+    out = str(tmp_path / "csv")
+    sinks.export_csv(spark.createDataFrame([(2, ["x"]), (1, ["a", "b"])], "unit int, l array<string>"), out, ["unit"])
+    assert [tuple(r) for r in spark.read.csv(out, header=True).collect()] == [("1", "a;b"), ("2", "x")]
+
+
+def test_tensor_table_and_extraction(spark, tmp_path):
+    cells = spark.createDataFrame([(1, "A", [1.0, 2.0], 3, True), (2, "N", [0.5, 0.0], 1, False)], "unit long, context string, profile array<double>, support long, in_panel boolean")
+    sinks.write_tensor(cells, str(tmp_path / "t"))
+    back = sinks.read_tensor(spark, str(tmp_path / "t"))
+    assert sorted(map(tuple, back.collect())) == [(1, "A", [1.0, 2.0], 3.0, True), (2, "N", [0.5, 0.0], 1.0, False)]
+    source, target = str(tmp_path / "t"), str(tmp_path / "few")
+    assert tables.extract_columns(spark, source, target, ["unit", "support", "gone"]) == "extracted"
+    assert spark.read.parquet(target).columns == ["unit", "support"]
+    assert tables.extract_columns(spark, source, target, ["context"]) == "kept"
+    assert tables.extract_columns(spark, source, target, ["context"], force=True) == "extracted"
+    assert spark.read.parquet(target).columns == ["context"]
+    assert tables.extract_columns(spark, source, target, ["gone"], force=True) == "none of the columns is there"
+    assert tables.extract_columns(spark, str(tmp_path / "nowhere"), target, ["unit"], force=True).startswith("not extracted")
+
+
+def test_documents_pass_through_clean():
+    assert Atlas.document('{"a": NaN, "b": [1, Infinity, {"c": -Infinity}], "d": "x"}') == {"available": True, "a": None, "b": [1, None, {"c": None}], "d": "x"}
+    assert Atlas.document(None) == Atlas.document("{broken") == {"available": False}
+
+
+def test_profile_fields_without_tables(spark):
+    ranking = spark.createDataFrame([(1, 5), (2, 6)], "rank long, unit long")
+    row = Atlas(ranking=ranking, classes=spark.createDataFrame([(5, "global")], "unit long, regulator_class string")).fields().orderBy("unit").collect()
+    assert [(r.unit, r.regulator_class, r.audit_status, r.in_program_panel) for r in row] == [(5, "global", None, False), (6, None, None, False)]
+
+
+def test_ranks_and_numbers_without_one_task(spark):
+    rng = np.random.default_rng(0)
+    values = [float(v) for v in np.concatenate([rng.normal(size=300), rng.normal(size=50) * 1e-300, [0.0, -0.0, 1.0, 2.0, -2.0, 4.0], 2.0 ** np.arange(-40, 40), -(2.0 ** np.arange(-9, 9)), np.nextafter(2.0 ** np.arange(-5, 6), 0), np.repeat(3.5, 40)])]
+    df = spark.createDataFrame([(i % 2, v) for i, v in enumerate(values)] + [(0, None)], "k int, v double")
+    rows = T.ranked(df, ["v"], ["k"]).collect()
+    for r in rows:
+        if r.v is None:
+            assert r.v_below is None
+            continue
+        own = [v for i, v in enumerate(values) if i % 2 == r.k]
+        assert (r.v_below, r.v_ties, r.v_all) == (sum(v < r.v for v in own), own.count(r.v), len(own))
+    numbers = T.numbered(spark.range(200).withColumn("k", F.col("id") % 3), X.seeded("t", F.col("id")), ["id"], ["k"]).collect()
+    import hashlib
+
+    for k in range(3):
+        ids = sorted((i for i in range(200) if i % 3 == k), key=lambda i: (hashlib.md5(f"t#{i}".encode()).hexdigest(), i))
+        assert {r.id: r.pos for r in numbers if r.k == k} == {i: n + 1 for n, i in enumerate(ids)}
 
 
 def test_expressions_with_nulls_and_ties(spark):
