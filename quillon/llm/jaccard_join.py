@@ -61,6 +61,8 @@ CLUSTER_NODES, CLUSTER_BYTES, ROUND_PAIRS = 6_144, 24 << 20, 64
 BITS_EACH, MOST_BITS, PART_BITS = 16, 1 << 28, 1 << 15
 #: Names of sets that one task remembers, so that copies there send their keys once.
 NAMES = 1 << 20
+#: Bits of a set's name: not the sign's, for -1 is a mark below.
+NAME_BITS = 63
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -258,7 +260,7 @@ def components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, s
                 for text in batch.column("text").to_pylist():
                     h = shingle_set(text, width)
                     sizes.append(len(h))
-                    one.append(fingerprint(h, one_by) >> U64(1))  # names are not negative: -1 is a mark below
+                    one.append(fingerprint(h, one_by) >> U64(64 - NAME_BITS))
                     two.append(fingerprint(h, two_by))
                     keys.append(np.zeros(0, dtype=np.int64) if one[-1] in named else join_keys(h, t).view(np.int64))
                     if len(named) < NAMES:
@@ -482,12 +484,15 @@ def distinct_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int
     rest = found.where(F.col("root").isNotNull()).join(leader, F.col("uid") == F.col("l_uid"), "left_anti")
     dropped = scratch.save(rest.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("d_rows")).withColumnsRenamed({"doc_id": "d_id", "text_key": "d_key"}), "dropped")
     leaders = found.join(leader, F.col("uid") == F.col("l_uid"), "left_semi").select("doc_id", "text_key")
-    same = (F.col("__key") == F.col("d_key")) & F.col("doc_id").eqNullSafe(F.col("d_id"))
-    marked = docs.withColumn("__key", F.xxhash64("text"))
+    same = (F.col("key") == F.col("d_key")) & F.col("id").eqNullSafe(F.col("d_id"))
+    # The input's columns travel in a struct, where no name of theirs clashes.
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    marked = marked.select("row", F.col("row.doc_id").alias("id"), F.xxhash64("row.text").alias("key"))
     kept = marked.join(dropped, same, "left_anti")
     # A leader that has twins (rows with its doc_id and text) is dropped with them above: one of them comes back.
-    twins = scratch.save(leaders.withColumn("__key", F.col("text_key")).join(dropped, same, "left_semi").select(F.col("doc_id").alias("t_id"), F.col("text_key").alias("t_key")), "twins")
+    twins = leaders.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).join(dropped, same, "left_semi")
+    twins = scratch.save(twins.select(F.col("id").alias("t_id"), F.col("key").alias("t_key")), "twins")
     if not twins.isEmpty():
-        back = marked.join(twins, (F.col("__key") == F.col("t_key")) & F.col("doc_id").eqNullSafe(F.col("t_id")), "left_semi").dropDuplicates(["doc_id", "__key"])
+        back = marked.join(twins, (F.col("key") == F.col("t_key")) & F.col("id").eqNullSafe(F.col("t_id")), "left_semi").dropDuplicates(["id", "key"])
         kept = kept.unionByName(back)
-    return kept.drop("__key")
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -65,6 +65,31 @@ def test_components_equal_brute_force(spark, monkeypatch, width, num, cluster):
     assert got == dict(enumerate(brute_components(texts, width, num, 100)))
 
 
+def test_sets_of_one_name_are_told_apart(spark, monkeypatch):
+    """Names of 11 bits: different sets often share one, and the join begins again until none do."""
+    monkeypatch.setattr(J, "NAME_BITS", 11)
+    texts = near_copies(5, 30, 6) + [f"a{k} b{k} c{k} d{k}" for k in range(25)] + ["x y z w"] * 4
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.components(df, 3, 90, 100).collect()}
+    assert got == dict(enumerate(brute_components(texts, 3, 90, 100)))
+
+
+def test_fullest_segments_are_found_by_both(spark):
+    """Sets just at the threshold, whose largest partner is larger or smaller, in one band or two."""
+    rng = np.random.default_rng(77)
+    for num in (80, 90):
+        t = J.Threshold(num, 100)
+        for _ in range(1500):
+            n = int(rng.integers(5, 400))
+            both = int(rng.integers(max(1, n * num // 110), n + 1))
+            extra = int(rng.integers(0, max(1, both * (100 - num) // num) + 1))
+            h = np.unique(rng.integers(0, 2**64, n + extra, dtype=np.uint64))
+            rng.shuffle(h)
+            a, b = np.sort(h[:n]), np.sort(np.concatenate([h[:both], h[n:]]))
+            if len(a) and len(b) and t.linked(a, b) and len(np.setxor1d(a, b)):
+                assert len(np.intersect1d(J.join_keys(a, t), J.join_keys(b, t)))
+
+
 def test_join_query_equals_brute_force(spark):
     docs = sorted(spark.read.parquet(f"{SF}/documents.parquet").collect(), key=lambda r: r.doc_id)
     want = brute_components([r.text for r in docs], 3, 90, 100)
@@ -355,6 +380,41 @@ def test_mixed_rows_are_those_assigned(spark):
         assert not got
 
 
+def test_pipeline_of_awkward_and_empty_tables(spark, tmp_path):
+    """Nulls in every column, empty and long texts, repeated rows, clashing names, no rows at all: every stage's defined result."""
+    import corpus_pipeline as P
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, size long, row int, __id long, __y int, __key long, root string"
+    good = "plain words that make a sentence of a kind, and more of them follow here. " * 12
+    texts = [None, "", " \n", "a", "w" * 100_000, good, good, good + "tail", "mail me at some.one@mail.example or call +49 30 1234567 today", "é ü " * 40]
+    rows = [(i if i % 5 else None, t, None if i % 3 else "en", None if i % 2 else "s", None, 1, 2, 3, 4, 5, "r") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows + rows[-2:] + [(None,) * 11], schema)
+    labels = spark.createDataFrame([(6, 1), (7, 1), (None, 1), (1, None), (99, 0), (3, 1)], "doc_id long, quality int")
+    for name, frame in (("awkward", docs), ("none", docs.limit(0))):
+        folder = str(tmp_path / name)
+        frame.write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        now = spark.read.parquet(f"{folder}/documents.parquet")
+        for k, (stage, f) in enumerate(P.STAGES):
+            after = f(spark, now, folder)
+            if stage != "best_fit_packing":
+                assert after.columns == docs.columns, stage
+            after.write.parquet(f"{folder}/{k}")
+            before, now = now, spark.read.parquet(f"{folder}/{k}")
+            if name == "none":
+                assert now.count() == 0
+            elif stage == "quality_classifier":  # labels of one kind: every score is its share, and all stay
+                assert now.count() == before.count()
+            elif stage == "near_duplicates":  # one of each set; the wordless all stay
+                words = [[bool((r.text or "").split()) for r in df.select("text").collect()] for df in (before, now)]
+                assert words[1].count(False) == words[0].count(False) and words[1].count(True) == 5
+            elif stage == "personal_data":
+                assert now.where("text LIKE '%@mail%' OR text LIKE '%1234567%'").count() == 0 and now.count() == before.count()
+            elif stage == "best_fit_packing":
+                assert now.where("piece = 0").count() == before.count()
+        assert P.run(spark, folder).count() == now.count()
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
 
