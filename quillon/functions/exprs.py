@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.kernels import normal_sf
+
 
 def to_bool(c: Column) -> Column:
     """Text, number or boolean to boolean: true, 1 and 1.0 (any case, blanks around) are true, null is null."""
@@ -80,3 +83,17 @@ def unit_vector(a: Column) -> Column:
 def pearson(x: Column, y: Column) -> Column:
     """Aggregate correlation; null where either side does not vary (the built-in one divides by zero there in ANSI mode)."""
     return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
+def with_normal_tails(df: DataFrame, **arguments: Column) -> DataFrame:
+    """``df`` with a column per argument: P(Z > argument).
+
+    Arguments are bound by a generator of one row: the optimizer would paste a projected expression, or one that
+    a later filter uses, back into each of its hundred places, and the code would grow beyond what compiles.
+    """
+    parts = []
+    for name, x in arguments.items():
+        x = x.cast("double")
+        parts += [x.alias(f"{name}_x"), (F.abs(x) / math.sqrt(2)).alias(f"{name}_z"), (x * x / 2).alias(f"{name}_w")]
+    bound = df.select("*", F.explode(F.array(F.struct(*parts))).alias("__at"))
+    return bound.select(*df.columns, *[F.expr(normal_sf(f"__at.{n}_x", f"__at.{n}_z", f"__at.{n}_w")).alias(n) for n in arguments])

@@ -31,11 +31,14 @@ def _horner(first: float, rest: tuple[float, ...], z: str) -> str:
     return out
 
 
-def normal_sf(x: str) -> str:
-    """P(Z > x) of a standard normal, absolute error about 1e-16; NULL stays NULL."""
-    x = f"CAST({x} AS DOUBLE)"
-    z = f"(abs({x}) / {number(math.sqrt(2))})"
-    z2 = f"({z} * {z})"
+def normal_sf(x: str, z: str | None = None, z2: str | None = None) -> str:
+    """P(Z > x) of a standard normal, absolute error about 1e-16; NULL stays NULL.
+
+    z and z2 may name columns that hold |x| / sqrt(2) and its square; else they are written out, some hundred times.
+    """
+    x = f"CAST({x} AS DOUBLE)" if z is None else x
+    z = z or f"(abs({x}) / {number(math.sqrt(2))})"
+    z2 = z2 or f"({z} * {z})"
     low = f"(1 - {z} * {_horner(_A[4], _A[:4], z2)} / {_horner(1.0, _B, z2)})"
     mid = f"(exp(-{z2}) * {_horner(_C[8], _C[:8], z)} / {_horner(1.0, _D, z)})"
     inv = f"(1 / {z2})"

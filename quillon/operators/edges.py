@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import exprs as X
-from quillon.functions.kernels import normal_sf
 
 BIG = math.log2(1.5)
 
@@ -28,10 +27,9 @@ def edge_posterior(df: DataFrame, big: float = BIG, keep: float | None = 0.8) ->
     prior = valid.agg(F.greatest(F.var_pop("y") - F.median(F.col("se") * F.col("se")), F.lit(1e-6)).alias("tau2"))
     post = valid.crossJoin(F.broadcast(prior)).withColumn("v", 1 / (1 / F.col("tau2") + 1 / (F.col("se") * F.col("se"))))
     post = post.withColumn("theta", F.col("v") * F.col("y") / (F.col("se") * F.col("se"))).withColumn("sd", F.sqrt("v"))
-    # Arguments are columns of their own: the tail's expression names its argument many times, and an expression would be pasted each time.
     theta, sd = F.col("theta"), F.col("sd")
-    post = post.withColumns({"at_zero": -theta / sd, "at_high": (big - theta) / sd, "at_low": (big + theta) / sd})
-    out = post.select("unit", "feature", "y", "se", "theta", "sd", F.expr(normal_sf("at_zero")).alias("p_pos"), F.expr(f"{normal_sf('at_high')} + {normal_sf('at_low')}").alias("p_big"))
+    tails = X.with_normal_tails(post, p_pos=-theta / sd, above=(big - theta) / sd, below=(big + theta) / sd)
+    out = tails.select("unit", "feature", "y", "se", "theta", "sd", "p_pos", (F.col("above") + F.col("below")).alias("p_big"))
     return out if keep is None else out.where(F.col("p_big") > keep)
 
 
