@@ -99,7 +99,8 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 def cell_search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int):
     """(query id, scores, ids) of one cell: the best k of each query among its candidates, given in order of id."""
     # A bound's difference of two sums is less than twice the largest sum.
-    reach = 2 * int(np.abs(x.astype(object)).max(initial=0)) * int(np.abs(queries.astype(object)).max(initial=0)) * x.shape[1]
+    largest = lambda a: max(abs(int(a.min(initial=0))), abs(int(a.max(initial=0))))
+    reach = 2 * largest(x) * largest(queries) * x.shape[1]
     kind = np.float64 if reach < EXACT else object
     blocks = [Block(ids[a : a + BLOCK], x[a : a + BLOCK].astype(kind)) for a in range(0, len(x), BLOCK)]
     for own, q in zip(query_ids, queries.astype(kind), strict=True):
