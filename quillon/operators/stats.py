@@ -26,15 +26,16 @@ def value_range(v):
     return F.when(v == 0, F.lit(0).cast("long")).otherwise(F.signum(v.cast("double")).cast("long") * step)
 
 
-def ranked(df: DataFrame, values: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+def ranked(df: DataFrame, values: Sequence[str], keys: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """``df`` with, for each of its columns ``values``: {v}_below and {v}_ties, how many rows (of the same ``keys``) have a less and an equal value, and {v}_all, how many have one.
 
     No task holds all rows in order. Equal values are counted first, which is combined before the shuffle; distinct
     values are split by ``value_range``, numbered within each range and moved up by what the ranges below
-    hold. Null values have null counts; values are finite numbers.
+    hold. Null values have null counts; values are finite numbers. With ``weight`` a row stands for so many.
     """
+    base = df
     for v in values:
-        counts = df.where(F.col(v).isNotNull()).groupBy(*keys, v).agg(F.count(F.lit(1)).alias("__n"))
+        counts = base.where(F.col(v).isNotNull()).groupBy(*keys, v).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("__n"))
         placed = counts.withColumn("__range", value_range(F.col(v)))
         sums = placed.groupBy(*keys, "__range").agg(F.sum("__n").alias("__m"))
         before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range and key
@@ -72,8 +73,13 @@ def numbered(df: DataFrame, order, ties: Sequence[str], keys: Sequence[str] = ()
 def spearman(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
     """Spearman correlation over rows where both are finite: Pearson of average ranks, null if either is constant."""
     both = df.where(X.finite(F.col(x).cast("double")) & X.finite(F.col(y).cast("double"))).select(*keys, x, y)
-    ranks = ranked(both, [x, y], keys).select(*keys, average_of_ties(x).alias("rx"), average_of_ties(y).alias("ry"))
-    return ranks.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.round(X.pearson(F.col("rx"), F.col("ry")), 6).alias("rho"))
+    # Equal pairs are counted once and for all; the mean of average ranks is (n + 1) / 2.
+    pairs = both.groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("w"))
+    off = lambda v: average_of_ties(v) - (F.col(f"{v}_all") + 1) / 2.0
+    ranks = ranked(pairs, [x, y], keys, "w").select(*keys, "w", off(x).alias("rx"), off(y).alias("ry"))
+    total = lambda a, b: F.sum(F.col("w") * F.col(a) * F.col(b))
+    rho = total("rx", "ry") / F.nullif(F.sqrt(total("rx", "rx")) * F.sqrt(total("ry", "ry")), F.lit(0.0))
+    return ranks.groupBy(*keys).agg(F.coalesce(F.sum("w"), F.lit(0)).alias("n"), F.round(rho, 6).alias("rho"))
 
 
 def mann_whitney(df: DataFrame, value: str, group: str) -> DataFrame:
