@@ -180,7 +180,7 @@ def concord_diagnostics(spark, sf_dir):
     df = cells(spark, sf_dir)
     of = lambda c: F.max(F.when(F.col("context") == c, F.col("support")))
     facts = df.groupBy("unit").agg(of("A").alias("sa"), of("N").alias("sn"), F.sum(F.size(F.filter("profile", lambda x: x > 0))).alias("n_co"))
-    j = T.ranked(concord_units(spark, sf_dir).join(facts, "unit"), ["sa", "sn"])
+    j = T.ranked(concord_units(spark, sf_dir).join(facts, "unit").cache(), ["sa", "sn"])  # a row a unit, read by every ranking
     pa, pn = (T.average_of_ties(c) / F.col(f"{c}_all") for c in ("sa", "sn"))
     j = j.select("class", "r", "n_co", pa.alias("pa"), pn.alias("pn")).withColumn("low", F.round(F.least("pa", "pn"), 9))
     powered = (F.col("pa") >= 0.5) & (F.col("pn") >= 0.5)
@@ -251,17 +251,17 @@ FAMILY = f"""{MEMBERSHIPS}, {CLASSES}, bg AS (SELECT DISTINCT o_custkey AS membe
 sk AS (SELECT set_name, CAST(COUNT(*) AS BIGINT) AS K FROM s GROUP BY 1), dn AS (SELECT class, CAST(COUNT(*) AS BIGINT) AS n FROM d GROUP BY 1), hx AS (SELECT class, set_name, CAST(COUNT(*) AS BIGINT) AS x FROM s JOIN d ON s.member = d.member GROUP BY 1, 2),
 pp AS (SELECT dn.class, sk.set_name, K, n, COALESCE(x, 0) AS x, (SELECT COUNT(*) FROM bg) AS M FROM dn CROSS JOIN sk LEFT JOIN hx ON hx.class = dn.class AND hx.set_name = sk.set_name),
 tl AS (SELECT class, set_name, SUM({hypergeometric_pmf('i', 'M', 'K', 'n')}) AS t FROM (SELECT *, UNNEST(RANGE(x, LEAST(K, n) + 1)) AS i FROM pp WHERE x > 0) q WHERE n - i <= M - K GROUP BY 1, 2),
-en AS (SELECT pp.class, pp.set_name, x AS n_overlap, K AS set_size, n AS n_drawn, ROUND(LEAST(COALESCE(t, 1), 1), 9) AS p FROM pp LEFT JOIN tl ON pp.class = tl.class AND pp.set_name = tl.set_name),
+en AS (SELECT pp.class, pp.set_name, x AS n_overlap, K AS set_size, n AS n_drawn, ROUND(LEAST(COALESCE(t, 1), 1), 11) AS p FROM pp LEFT JOIN tl ON pp.class = tl.class AND pp.set_name = tl.set_name),
 st AS (SELECT *, p * COUNT(*) OVER (PARTITION BY class) / ROW_NUMBER() OVER (PARTITION BY class ORDER BY p, set_name) AS q FROM en)"""
 
 
-@query("graph_community_enrichment", f"WITH {FAMILY} SELECT class, set_name, n_overlap, set_size, n_drawn, p, ROUND(LEAST(MIN(q) OVER (PARTITION BY class ORDER BY p DESC, set_name DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1), 6) AS fdr FROM st")
+@query("graph_community_enrichment", f"WITH {FAMILY} SELECT class, set_name, n_overlap, set_size, n_drawn, ROUND(p, 8) AS p, ROUND(LEAST(MIN(q) OVER (PARTITION BY class ORDER BY p DESC, set_name DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1), 5) AS fdr FROM st")
 def graph_community_enrichment(spark, sf_dir):
     """Every set in every community, a false discovery family of its own per community."""
     background = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("member"))
     drawn = classes(spark, sf_dir).select("class", F.col("unit").alias("member"))
-    found = T.enrichment_by(drawn, memberships(spark, sf_dir), background, "class").withColumn("p", F.round("p", 9))
-    return T.benjamini_hochberg(found, keys=("class",)).withColumn("fdr", F.round("fdr", 6))
+    found = T.enrichment_by(drawn, memberships(spark, sf_dir), background, "class").withColumn("p", F.round("p", 11))
+    return T.benjamini_hochberg(found, keys=("class",)).withColumns({"p": F.round("p", 8), "fdr": F.round("fdr", 5)})
 
 
 FOLD = f"""{CONTRAST}, {CLASSES}, j AS (SELECT c.unit, class, context, response FROM contrast c JOIN classes k ON c.unit = k.unit),
