@@ -27,10 +27,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Most candidates and queries of a cell, and candidates of a block.
-CELL_CANDIDATES, CELL_QUERIES, BLOCK = 16_384, 16_384, 4_096
+#: Most candidates and queries of a cell, candidates of a block, and queries that read a block together.
+CELL_CANDIDATES, CELL_QUERIES, BLOCK, TOGETHER = 16_384, 16_384, 4_096, 128
 #: Rows of each list between two looks at the bounds, as a share of the block, and seen rows that may stay outstanding when reading stops.
-STEP, OUTSTANDING = 1 / 16, 192
+STEP, OUTSTANDING = 1 / 10, 192
 #: Largest sum of products in doubles.
 EXACT = 1 << 53
 
@@ -44,51 +44,62 @@ class Block:
         self.values = np.take_along_axis(x, self.rows, axis=0)
         self.read = 0  # entries read so far, by all queries
 
-    def search(self, q: np.ndarray, own: int, k: int, floor) -> tuple[np.ndarray, np.ndarray]:
-        """(scores, ids) of the rows that can be among the query's best k; ``floor`` is a lower bound of the k-th from elsewhere, or None."""
-        n = len(self.x)
-        dims = np.flatnonzero(q)
-        q = q[dims]
-        down = q > 0
-        # Column j of these lists is read from the top: rows and contributions q * value, falling.
-        rows = np.where(down, self.rows[::-1, dims], self.rows[:, dims])
-        gives = q * np.where(down, self.values[::-1, dims], self.values[:, dims])
-        least = gives[-1] if len(dims) else np.zeros(0, dtype=self.x.dtype)
-        low = np.full(n, least.sum(), dtype=self.x.dtype)
-        seen = np.zeros((n, len(dims)), dtype=bool)
-        mine = slice(np.searchsorted(self.ids, own, side="left"), np.searchsorted(self.ids, own, side="right"))
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, floors: list) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per query (scores, ids) of the rows that can be among its best k; ``floors`` are lower bounds of the k-th from elsewhere, or None.
+
+        Queries read together: what one list gives up to a depth is the same rows for all queries that read it
+        from the same end, so each adds its multiple of these values to its bounds.
+        """
+        n, kind = len(self.x), self.x.dtype
+        ends = {1: (self.rows[::-1], self.values[::-1]), -1: (self.rows, self.values)}
+        signs = {e: np.where(queries * e > 0, queries, 0).astype(kind) for e in ends}
+        far = {e: v[-1] for e, (_, v) in ends.items()}
+        low = np.repeat((signs[1] @ far[1] + signs[-1] @ far[-1])[None, :], n, axis=0)
+        unread = {e: np.ones((n, self.x.shape[1]), dtype=np.float64 if kind != object else object) for e in ends}
+        known = np.zeros((n, len(queries)), dtype=bool)
+        first, last = np.searchsorted(self.ids, own, side="left"), np.searchsorted(self.ids, own, side="right")
+        mine = np.zeros((n, len(queries)), dtype=bool)
+        for j in range(len(queries)):
+            mine[first[j] : last[j], j] = True
+        floor = np.array([-np.inf if f is None else f for f in floors], dtype=kind)
+        out: list[np.ndarray | None] = [None] * len(queries)
+        active = np.arange(len(queries))
         step = max(1, int(n * STEP))
         for a in range(0, n, step):
             b = min(n, a + step)
-            part = rows[a:b]
-            _add(low, part, gives[a:b] - least)
-            seen[part, np.arange(len(dims))] = True
-            self.read += part.size
-            front = gives[b - 1] if len(dims) else least
-            known = seen.any(axis=1)
-            known[mine] = False
-            found = np.flatnonzero(known)
-            best = floor
-            if len(found) >= k:
-                kth = np.sort(low[found])[-k] if low.dtype == object else np.partition(low[found], len(found) - k)[len(found) - k]
-                best = kth if best is None else max(best, kth)
-            if best is None or not (front.sum() < best or b == n):
-                continue  # an unseen row can still reach the best
-            # Upper bound: what is left to read of the row, at each front instead of at the list's end.
-            rest = np.where(seen[found], 0, front - least).sum(axis=1) if low.dtype == object else (~seen[found]) @ (front - least)
-            possible = found[low[found] + rest >= best]
-            if len(possible) <= OUTSTANDING:
+            for e, (rows, values) in ends.items():
+                for d in range(self.x.shape[1]):
+                    reads = signs[e][:, d] != 0
+                    if some := np.count_nonzero(reads[active]):
+                        part = rows[a:b, d]  # the next entries of the list: each row once
+                        low[part] += np.multiply.outer(values[a:b, d] - far[e][d], signs[e][:, d])
+                        known[part] |= reads
+                        unread[e][part, d] = 0
+                        self.read += len(part) * some
+            fronts = {e: v[b - 1] for e, (_, v) in ends.items()}
+            unseen = sum(signs[e][active] @ fronts[e] for e in ends)
+            seen = np.where((known & ~mine)[:, active], low[:, active], -np.inf).T.copy()
+            best = floor[active]
+            if n > k:
+                kth = (np.sort(seen, axis=1) if kind == object else np.partition(seen, n - k, axis=1))[:, n - k]
+                best = np.maximum(best, kth)
+            # Ready: no unseen row can reach the best, or the lists are at their end.
+            ready = np.flatnonzero((unseen < best) | (b == n))
+            if len(ready):
+                # What is left to read of each row, at each front instead of at the list's end.
+                rest = sum(unread[e] @ (signs[e][active[ready]] * (fronts[e] - far[e])).T for e in ends)
+                for c, j in enumerate(ready):
+                    i = active[j]
+                    possible = np.flatnonzero(seen[j] + rest[:, c] >= best[j])
+                    if b == n and not queries[i].any():
+                        possible = np.flatnonzero(~mine[:, i])  # a query without lists
+                    possible = possible[~mine[possible, i]]
+                    if len(possible) <= OUTSTANDING or b == n:
+                        out[i] = possible
+            active = np.array([i for i in active if out[i] is None], dtype=np.int64)
+            if not len(active):
                 break
-        else:
-            possible = np.delete(np.arange(n), mine) if best is None or not len(dims) else possible
-        return self.x[possible][:, dims] @ q, self.ids[possible]
-
-
-def _add(low: np.ndarray, rows: np.ndarray, gains: np.ndarray) -> None:
-    if low.dtype == object:
-        np.add.at(low, rows, gains)
-    else:
-        low += np.bincount(rows.ravel(), weights=gains.ravel(), minlength=len(low))
+        return [(self.x[rows] @ queries[i], self.ids[rows]) for i, rows in enumerate(out)]
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,14 +114,16 @@ def cell_search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries:
     reach = 2 * largest(x) * largest(queries) * x.shape[1]
     kind = np.float64 if reach < EXACT else object
     blocks = [Block(ids[a : a + BLOCK], x[a : a + BLOCK].astype(kind)) for a in range(0, len(x), BLOCK)]
-    for own, q in zip(query_ids, queries.astype(kind), strict=True):
-        scores, found = np.zeros(0, dtype=kind), np.zeros(0, dtype=np.int64)
+    for a in range(0, len(queries), TOGETHER):
+        owns, q = query_ids[a : a + TOGETHER], queries[a : a + TOGETHER].astype(kind)
+        best = [(np.zeros(0, dtype=kind), np.zeros(0, dtype=np.int64))] * len(q)
         for block in blocks:
-            more, others = block.search(q, own, k, scores[-1] if len(scores) == k else None)
-            scores, found = _best(np.concatenate([scores, more]), np.concatenate([found, others]), k)
-        if kind is object and any(abs(s) >= 1 << 63 for s in scores):
-            raise OverflowError(f"a score of vec_id {own} is beyond 64 bits")
-        yield own, scores.astype(np.int64), found
+            got = block.search(q, owns, k, [s[-1] if len(s) == k else None for s, _ in best])
+            best = [_best(np.concatenate([s, t]), np.concatenate([i, j]), k) for (s, i), (t, j) in zip(best, got, strict=True)]
+        for own, (scores, found) in zip(owns, best, strict=True):
+            if kind is object and any(abs(s) >= 1 << 63 for s in scores):
+                raise OverflowError(f"a score of vec_id {own} is beyond 64 bits")
+            yield own, scores.astype(np.int64), found
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, cell_candidates: int = CELL_CANDIDATES, cell_queries: int = CELL_QUERIES) -> DataFrame:

@@ -199,7 +199,7 @@ def test_reading_stops_early_and_is_exact():
         for own in range(0, 30):
             q = x[own] if own else np.array([0, 5, 0])
             before = block.read
-            scores, ids = topk._best(*block.search(q.astype(kind), own, 4, None), 4)
+            scores, ids = topk._best(*block.search(q.astype(kind)[None], np.array([own]), 4, [None])[0], 4)
             want, entries = plain_no_random_access(x.tolist(), q.tolist(), own, 4)
             if entries < 400 * np.count_nonzero(q):  # else ties at the end of the lists, which ids break
                 assert [int(s) for s in scores] == [s for s, _ in want]
@@ -208,7 +208,7 @@ def test_reading_stops_early_and_is_exact():
             # Never more than a step and what few outstanding rows save beyond the plain loop.
             assert block.read - before <= entries + (int(400 * topk.STEP) + 1) * np.count_nonzero(q)
         assert block.read < 0.7 * 30 * x.size
-        assert len(block.search(np.zeros(3).astype(kind), 0, 4, None)[1]) == 399
+        assert len(block.search(np.zeros((1, 3)).astype(kind), np.array([0]), 4, [None])[0][1]) == 399
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 8, 11])
