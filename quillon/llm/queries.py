@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import jaccard_join, mixing, topk
+from quillon.llm import filter_audit, importance, jaccard_join, license_scan, mixing, topk
 from quillon.llm.common import fold, table
 from quillon.llm.language_id import identify, learn
 from quillon.llm.packing import pack
@@ -89,6 +89,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document for a draw towards the benchmark's words."""
+    found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes, in all of their orders, per language."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates found in every document."""
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
@@ -101,8 +117,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_parity_jaccard_join": op8_parity_jaccard_join,
         "op9_source_mixing": op9_source_mixing,
         "op10_quality_rules": op10_quality_rules,
+        "op11_importance_resampling": op11_importance_resampling,
+        "op12_filter_audit": op12_filter_audit,
+        "op13_license_scan": op13_license_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_top_k": topk.SQL, "op9_source_mixing": mixing.SQL}
+    return {
+        "op2_exact_top_k": topk.SQL,
+        "op9_source_mixing": mixing.SQL,
+        "op11_importance_resampling": importance.SQL,
+        "op12_filter_audit": filter_audit.SQL,
+        "op13_license_scan": license_scan.SQL,
+    }
