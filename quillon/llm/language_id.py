@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import bounded_batches
+from quillon.llm.common import bounded_batches, first_rows
 
 UNKNOWN = "und"
 BUCKETS = 1 << 15
@@ -149,7 +149,7 @@ def _first_by_key(rows: DataFrame, least: int) -> DataFrame:
     """Rows that hold the ``least`` first of each language by key, and few more: a language may hold a third of all rows.
 
     Keys are hashes, so a share of their range that holds eight times as many rows on average nearly always
-    holds enough; a language of which it does not (few ids, many times) is passed on whole.
+    holds enough; a language of which it does not (it has few ids) is passed on whole. ``rows`` are distinct.
     """
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("all_rows"))
     place = (F.col("key").cast("double") / float(1 << 63) + 1) / 2
@@ -160,12 +160,15 @@ def _first_by_key(rows: DataFrame, least: int) -> DataFrame:
 
 
 def training_bags(docs: DataFrame, learn_from=None, per_language: int = PER_LANGUAGE, sample: int = SAMPLE, buckets: int = BUCKETS):
-    """Bags and languages of a bounded, seeded sample of documents with a language."""
+    """Bags and languages of a bounded, seeded sample of documents with a language.
+
+    Repeated ids are drawn once; rows of one id, language and text count once, and no more than ``sample`` rows come.
+    """
     bounded_batches(docs.sparkSession)
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     usable = usable.where(learn_from(F.col("doc_id"))) if learn_from is not None else usable
     key = F.xxhash64("doc_id")
-    first = _first_by_key(usable.select("doc_id", "lang", key.alias("key")), per_language)
+    first = _first_by_key(usable.select("doc_id", "lang", key.alias("key")).distinct(), per_language)
     ranked = first.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("key", "doc_id")))
     chosen = ranked.where(F.col("nth") <= per_language).orderBy("nth", "key").limit(sample).select(F.col("doc_id").alias("__id")).distinct()
     texts = docs.select("doc_id", "lang", "text")  # alone: no other column's name can clash
@@ -180,9 +183,10 @@ def training_bags(docs: DataFrame, learn_from=None, per_language: int = PER_LANG
                 index.append(at.astype(np.int32))
                 count.append(c[at].astype(np.int32))
             ids = batch.column("doc_id").cast(pa.string())
-            yield pa.RecordBatch.from_arrays([ids, batch.column("lang"), pa.array(index, pa.list_(pa.int32())), pa.array(count, pa.list_(pa.int32()))], names=["id", "lang", "at", "n"])
+            yield pa.RecordBatch.from_arrays([ids, batch.column("lang"), batch.column("h"), pa.array(index, pa.list_(pa.int32())), pa.array(count, pa.list_(pa.int32()))], names=["id", "lang", "h", "at", "n"])
 
-    t = rows.mapInArrow(bags, "id string, lang string, at array<int>, n array<int>").toArrow()
+    once = rows.withColumn("h", F.xxhash64("text")).mapInArrow(bags, "id string, lang string, h bigint, at array<int>, n array<int>").dropDuplicates(["id", "lang", "h"])
+    t = first_rows(once, ["id", "lang"], "h", sample).select("id", "lang", "at", "n").toArrow()
     got = sorted(zip(t.column("id").to_pylist(), t.column("lang").to_pylist(), (np.asarray(x) for c in t.column("at").chunks for x in (c[i].values.to_numpy() for i in range(len(c)))), (np.asarray(x) for c in t.column("n").chunks for x in (c[i].values.to_numpy() for i in range(len(c)))), strict=True), key=lambda r: (r[0], r[1], len(r[2]), int(r[3].sum())))
     got = [r for r in got if len(r[2])]
     return [(r[2], r[3]) for r in got], [r[1] for r in got]

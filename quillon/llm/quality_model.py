@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import bounded_batches
+from quillon.llm.common import bounded_batches, first_rows
 
 SAMPLE = 12_000
 
@@ -163,21 +163,26 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 120, depth: int = 4, bins: in
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, learn_from=None, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """(statistics, label) of at most ``sample`` labelled documents, in an order that reruns keep."""
+    """(statistics, label) of at most ``sample`` labelled documents, in an order that reruns keep.
+
+    Rows of one doc_id, label and text count once; of labelled doc_ids with several texts no more than ``sample`` rows come.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
     usable = usable.where(learn_from(F.col("doc_id"))) if learn_from is not None else usable
     chosen = usable.select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("__y")).orderBy(F.xxhash64("__id"), "__y").limit(sample)
     texts = docs.select("doc_id", "text")  # alone: no other column's name can clash
-    joined = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("text", F.col("__y").alias("y"))
+    joined = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("text", F.col("__y").alias("y"), F.col("__id").alias("id"), F.xxhash64("text").alias("h"))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [document_statistics(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("id"), batch.column("h"), pa.array(x, pa.list_(pa.float64()))], names=["y", "id", "h", "x"])
 
-    table = joined.mapInArrow(measured, "y int, x array<double>").toArrow()
+    kind = chosen.schema["__id"].dataType.simpleString()
+    rows = joined.mapInArrow(measured, f"y int, id {kind}, h bigint, x array<double>").dropDuplicates(["id", "y", "h"])
+    table = first_rows(rows, ["id"], "h", sample).select("y", "x").toArrow()
     y = np.array(table.column("y").to_pylist(), dtype=np.float64)
     x = np.array(table.column("x").to_pylist(), dtype=np.float64).reshape(len(y), len(STATISTICS))
     order = np.lexsort(np.column_stack([x, y]).T) if len(y) else []

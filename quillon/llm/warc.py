@@ -13,7 +13,7 @@ ids are name-based on the source id, so reruns give the same records and the met
 conversion sibling (WARC-Concurrent-To). Every record is built and parsed one at a time.
 
 Defined results: a null or malformed record, or one that is no response, gives one row with ``problem`` set
-and no record; an empty payload gives an empty conversion; undecodable bytes become U+FFFD; repeated
+and no record; a body that unpacks to more than ``INFLATED`` bytes has no conversion; an empty payload gives an empty conversion; undecodable bytes become U+FFFD; repeated
 records give repeated rows; an empty table gives no rows; other input columns than the key and the record
 are ignored.
 """
@@ -47,9 +47,12 @@ BLOCKS = frozenset(
     "header hr li main nav ol p pre section table td th tr ul".split()
 )
 
+#: Most bytes that a compressed body may unpack to.
+INFLATED = 64 << 20
+
 _NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*)|<[!?]")
-_LANG = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
-_HREF = re.compile(r"\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+_QUOTE = re.compile(r"=\s*([\"'])|>")
+_ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 _CHARSET = re.compile(rb"charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", re.I)
 _CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in HIDDEN}
 
@@ -120,15 +123,44 @@ class Page:
     title: str
     language: str
     links: tuple[str, ...]
+    base: str = ""
+
+
+def _tag_end(html: str, at: int) -> int:
+    """Place of the ``>`` that ends a tag read up to ``at``, not one within a quoted attribute value; -1 without.
+
+    A quote that is never closed is no quote.
+    """
+    end = html.find(">", at)
+    seen = html[at:end]
+    if end < 0 or "'" not in seen and seen.count('"') % 2 == 0:
+        return end
+    while True:
+        mark = _QUOTE.search(html, at)
+        if mark is None:
+            return -1
+        if mark[1] is None:
+            return mark.start()
+        close = html.find(mark[1], mark.end())
+        at = (close if close >= 0 else mark.end()) + (close >= 0)
+
+
+def attributes(tag: str) -> dict[str, str]:
+    """Names in lower case and values of a tag's attributes; of a repeated name the first counts."""
+    out: dict[str, str] = {}
+    for got in _ATTRIBUTE.finditer(tag):
+        out.setdefault(got[1].lower(), unescape(got[2] or got[3] or got[4] or "").strip())
+    return out
 
 
 def read_page(html: str) -> Page:
-    """Visible text (entities resolved, blanks collapsed, one block element a line), title, language and links.
+    """Visible text (entities resolved, blanks collapsed, one block element a line), title, language, links and the first base.
 
-    One pass from tag to tag; a comment, tag or hidden element that never ends hides the rest.
+    One pass from tag to tag; a comment, tag or hidden element that never ends hides the rest. As in HTML, ``/>`` closes
+    no element of its own but those of svg.
     """
     parts: list[str] = []
-    title, language, links, at = None, "", [], 0
+    title, language, base, links, at = None, "", "", [], 0
     while (mark := html.find("<", at)) >= 0:
         parts.append(html[at:mark])
         if html.startswith("<!--", mark):
@@ -140,7 +172,7 @@ def read_page(html: str) -> Page:
             parts.append("<")
             at = mark + 1
             continue
-        end = html.find(">", got.end())
+        end = _tag_end(html, got.end())
         if end < 0:
             at = len(html)
             break
@@ -149,11 +181,14 @@ def read_page(html: str) -> Page:
             parts.append("\n")
         if got[1]:
             continue
-        if name == "a" and (href := _HREF.search(html, got.end(), end)):
-            links.append(unescape(href[1] or href[2] or href[3] or "").strip())
-        elif name == "html" and (lang := _LANG.search(html, got.end(), end)):
-            language = lang[1].lower()
-        elif name in HIDDEN and html[end - 1] != "/":
+        if name == "a":
+            if "href" in (found := attributes(html[got.end() : end])):
+                links.append(found["href"])
+        elif name == "html":
+            language = attributes(html[got.end() : end]).get("lang", "").lower() or language
+        elif name == "base":
+            base = base or attributes(html[got.end() : end]).get("href", "")
+        elif name in HIDDEN and not (name == "svg" and html[end - 1] == "/"):
             close = _CLOSE[name].search(html, at)
             inner = html[at : close.start() if close else len(html)]
             at = close.end() if close else len(html)
@@ -162,7 +197,7 @@ def read_page(html: str) -> Page:
                 title = " ".join(unescape(inner).split())
     parts.append(html[at:])
     lines = (" ".join(line.split()) for line in unescape("".join(parts)).split("\n"))
-    return Page("\n".join(x for x in lines if x), title or "", language, tuple(links))
+    return Page("\n".join(x for x in lines if x), title or "", language, tuple(links), base)
 
 
 def outlinks(links: tuple[str, ...], base: str) -> list[str]:
@@ -201,6 +236,24 @@ def unchunked(payload: bytes) -> bytes:
         at = start + n + 2
 
 
+def inflated(payload: bytes, bits: int, limit: int) -> bytes:
+    """All members of a compressed body, one after the other; what follows the last one is padding."""
+    out, size = [], 0
+    while payload:
+        member = zlib.decompressobj(bits)
+        part = member.decompress(payload, limit - size + 1)
+        size += len(part)
+        if size > limit:
+            raise Unreadable(f"a body of more than {limit} bytes")
+        if not member.eof:
+            raise zlib.error("cut short")
+        out.append(part)
+        payload = member.unused_data
+        if bits != 31 or payload[:2] != b"\x1f\x8b":
+            break
+    return b"".join(out)
+
+
 def body_of(http: Headers, payload: bytes) -> bytes:
     """The payload without its transfer and content codings (chunked, gzip, deflate)."""
     if "chunked" in (value_of(http, "Transfer-Encoding") or "").lower():
@@ -208,9 +261,9 @@ def body_of(http: Headers, payload: bytes) -> bytes:
     for coding in reversed([x.strip().lower() for x in (value_of(http, "Content-Encoding") or "").split(",") if x.strip()]):
         try:
             if coding in ("gzip", "x-gzip"):
-                payload = zlib.decompress(payload, 31) if payload[:2] == b"\x1f\x8b" else payload  # some crawlers store it unpacked
+                payload = inflated(payload, 31, INFLATED) if payload[:2] == b"\x1f\x8b" else payload  # some crawlers store it unpacked
             elif coding == "deflate":
-                payload = zlib.decompress(payload, 15 if payload[:1] == b"\x78" else -15)
+                payload = inflated(payload, 15 if payload[:1] == b"\x78" else -15, INFLATED)
             elif coding != "identity":
                 raise Unreadable(f"unknown content coding {coding}")
         except zlib.error:
@@ -256,6 +309,10 @@ def derive(record: bytes) -> list[tuple[str, Headers, bytes]]:
     except Unreadable as why:
         page, charset, unread = Page("", "", "", ()), "", str(why)
     target = value_of(headers, "WARC-Target-URI") or ""
+    try:
+        base = urljoin(target, page.base)
+    except ValueError:
+        base = target
     copied = [(n, v) for n in COPIED if (v := value_of(headers, n)) is not None]
     ids = {t: record_id(t, source) for t in ("metadata", "conversion")}
     info = [
@@ -266,7 +323,7 @@ def derive(record: bytes) -> list[tuple[str, Headers, bytes]]:
         ("charset", charset),
         ("payload-length", str(len(payload))),
         *([("no-conversion", unread)] if unread else []),
-        *(("outlink", x) for x in outlinks(page.links, target)),
+        *(("outlink", x) for x in outlinks(page.links, base)),
     ]
     blocks = {"metadata": ("application/warc-fields", "".join(f"{n}: {v}\r\n" for n, v in info).encode("utf-8", "replace"))}
     if not unread:
