@@ -48,11 +48,6 @@ def percentile_rank(c: Column, keys: Sequence[str] = ()) -> Column:
     return average_rank(c, keys) / F.count(c).over(Window.partitionBy(*keys))
 
 
-def min_rank(c: Column, keys: Sequence[str] = ()) -> Column:
-    """Least rank of ties from the largest value down; null values get null."""
-    return F.when(c.isNotNull(), F.rank().over(Window.partitionBy(*keys).orderBy(c.desc_nulls_last()))).cast("long")
-
-
 def seeded(*parts: Column | str | int) -> Column:
     """md5 of the parts: a deterministic order that any engine reproduces."""
     columns = [p if isinstance(p, Column) else F.lit(str(p)) for p in parts]

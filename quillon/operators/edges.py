@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import exprs as X
+from quillon.operators import order as O
 
 BIG = math.log2(1.5)
 
@@ -24,7 +25,8 @@ def edge_posterior(df: DataFrame, big: float = BIG, keep: float | None = 0.8) ->
     Prior variance max(var(y) - median(se^2), 1e-6) is over all valid rows: one aggregate, one one-row join.
     """
     valid = df.where(X.finite(F.col("y")) & X.finite(F.col("se")) & (F.col("se") > 0))
-    prior = valid.agg(F.greatest(F.var_pop("y") - F.median(F.col("se") * F.col("se")), F.lit(1e-6)).alias("tau2"))
+    middle = O.quantiles(valid.select((F.col("se") * F.col("se")).alias("v")), "v", [0.5])[0]
+    prior = valid.agg(F.greatest(F.var_pop("y") - F.lit(middle).cast("double"), F.lit(1e-6)).alias("tau2"))
     post = valid.crossJoin(F.broadcast(prior)).withColumn("v", 1 / (1 / F.col("tau2") + 1 / (F.col("se") * F.col("se"))))
     post = post.withColumn("theta", F.col("v") * F.col("y") / (F.col("se") * F.col("se"))).withColumn("sd", F.sqrt("v"))
     theta, sd = F.col("theta"), F.col("sd")

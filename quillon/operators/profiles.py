@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import exprs as X
+from quillon.operators import order as O
+from quillon.sources.shared import Scratch
 
 #: Units of a block, where the best of each are given out and where all pairs are.
 BLOCK, ALL_PAIRS_BLOCK = 2_048, 512
@@ -159,8 +161,9 @@ def balanced_panel(ranked: DataFrame, classes: DataFrame, moves: DataFrame, per_
 def expanded_panel(df: DataFrame, contexts: int = 3, top: int | None = 50) -> DataFrame:
     """V2: units gated in all contexts, mean support at least the median of unit means, then the ``top`` largest responses, or all."""
     g = df.where("gate").groupBy("unit").agg(F.countDistinct("context").alias("n"), F.avg("support").alias("s"), F.max("response").alias("m")).where(F.col("n") == contexts)
-    floor = g.agg(F.median("s").alias("floor"))
-    kept = g.crossJoin(F.broadcast(floor)).where("s >= floor")
+    g = Scratch(df.sparkSession, "panel").save(g, "units")
+    floor = O.quantiles(g, "s", [0.5])[0]
+    kept = g.where(F.col("s") >= F.lit(floor).cast("double"))
     kept = kept if top is None else kept.orderBy(F.col("m").desc(), "unit").limit(top)
     return kept.select("unit", F.round("s", 6).alias("mean_support"), F.col("m").alias("max_response"))
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from quillon.functions import exprs as X
 from quillon.functions.kernels import normal_sf
+from quillon.operators import order as O
+from quillon.sources.shared import Scratch
 
 #: Mean response of a (context, gate, penalty) cell is the closed form of the saturated fixed-effects model.
 CELL = ("context", "gate", "penalty_flag")
@@ -63,8 +65,8 @@ def log_deviation(df: DataFrame) -> DataFrame:
     return df.withColumn("work", F.log(F.col("response") + 0.5) - logmu).withColumn("logmu", logmu)
 
 
-def shrink(df: DataFrame, unit: str = "unit", ddof: int = 0) -> DataFrame:
-    """Posterior per gated unit (d, n, shrinkage, u, sd, p_top, expected).
+def shrink(df: DataFrame, unit: str = "unit", ddof: int = 0, tail: bool = True) -> DataFrame:
+    """Posterior per gated unit (d, n, shrinkage, u, sd, p_top, expected); without ``tail`` no p_top, which takes a quantile of all units.
 
     Noise variance is over all rows, everything else over gated rows. ``ddof`` is the convention of the
     variance of unit means. Two aggregates and two one-row joins.
@@ -76,8 +78,9 @@ def shrink(df: DataFrame, unit: str = "unit", ddof: int = 0) -> DataFrame:
     prior = units.agg(F.greatest(spread - F.avg("s2"), F.lit(1e-6)).alias("tau2"))
     post = units.crossJoin(F.broadcast(prior)).withColumn("shrinkage", F.col("tau2") / (F.col("tau2") + F.col("s2")))
     post = post.withColumn("u", F.col("shrinkage") * F.col("d")).withColumn("sd", F.sqrt(F.col("shrinkage") * F.col("s2")))
-    top = post.agg(F.percentile("u", F.lit(0.99)).alias("thr"))
-    post = post.crossJoin(F.broadcast(top))
+    if tail:
+        post = Scratch(df.sparkSession, "posterior").save(post, "post")
+        post = post.withColumn("thr", F.lit(O.quantiles(post, "u", [0.99])[0]).cast("double"))
     return post.select(
         unit,
         F.col("n").alias("n_gated"),
@@ -85,7 +88,7 @@ def shrink(df: DataFrame, unit: str = "unit", ddof: int = 0) -> DataFrame:
         "shrinkage",
         "u",
         "sd",
-        F.expr(normal_sf("(thr - u) / sd")).alias("p_top"),
+        *([F.expr(normal_sf("(thr - u) / sd")).alias("p_top")] if tail else []),
         F.greatest(F.exp(F.col("logmu") + F.col("u")) - 0.5, F.lit(0.0)).alias("expected"),
     )
 
@@ -93,10 +96,10 @@ def shrink(df: DataFrame, unit: str = "unit", ddof: int = 0) -> DataFrame:
 def ranked(post: DataFrame, unit: str = "unit", digits: int = 9) -> DataFrame:
     """Dense 1..n order by posterior mean; the rounded mean and the unit break ties.
 
-    The rank is a global order of the units, not of the facts: a one-partition window over one row a unit.
+    Ranges of means are ranked by a task each and moved up by what lies above them.
     """
-    order = Window.orderBy(F.round("u", digits).desc(), unit)
-    return post.withColumn("rank", F.row_number().over(order).cast("long"))
+    rounded = Scratch(post.sparkSession, "ranked").save(post.withColumn("__rounded", F.round("u", digits)), "post")
+    return O.row_numbers(rounded, "__rounded", [unit], "rank", descending=True).drop("__rounded")
 
 
 def peak_context(df: DataFrame, unit: str = "unit") -> DataFrame:
@@ -138,7 +141,8 @@ def baseline_comparison(df: DataFrame, post: DataFrame) -> DataFrame:
     """Rank by raw peak, by gated peak and by posterior; who is dropped, and the shift."""
     raw = df.groupBy("unit").agg(F.max("response").alias("raw_peak"), F.max(F.when(F.col("gate"), F.col("response"))).alias("gated_peak"))
     both = raw.join(post.select("unit", F.round("u", 9).alias("u")), "unit", "full_outer")
-    both = both.withColumns({"raw_rank": X.min_rank(F.col("raw_peak")), "gated_rank": X.min_rank(F.col("gated_peak")), "eb_rank": X.min_rank(F.col("u"))})
+    both = Scratch(df.sparkSession, "baselines").save(both, "both")
+    both = O.min_ranks(both, {"raw_rank": "raw_peak", "gated_rank": "gated_peak", "eb_rank": "u"})
     return both.select("unit", "raw_rank", "gated_rank", "eb_rank", F.col("gated_peak").isNull().alias("dropped"), (F.col("raw_rank") - F.col("eb_rank")).alias("shift"))
 
 
@@ -150,9 +154,8 @@ def reproducibility_reweight(df: DataFrame, meta: DataFrame, post: DataFrame, ne
     core = ranked(post).select("unit", F.col("rank").alias("old_rank"), "u").join(agg, "unit", "left")
     term = lambda c: F.coalesce(X.clip(F.col(c), 0.0, 1.0), F.lit(neutral))
     score = F.round(F.col("u") * term("guide") * term("donor") * (1 - 0.4 * F.coalesce("single_frac", F.lit(1.0))), 9)
-    scored = core.withColumn("score", score)
-    new = F.row_number().over(Window.orderBy(F.col("score").desc(), "unit")).cast("long")
-    scored = scored.withColumn("new_rank", new)
+    scored = Scratch(df.sparkSession, "reweight").save(core.withColumn("score", score), "scored")
+    scored = O.row_numbers(scored, "score", ["unit"], "new_rank", descending=True)
     return scored.select("unit", "old_rank", "new_rank", (F.col("old_rank") - F.col("new_rank")).alias("rank_shift"), F.round("score", 6).alias("score"), F.col("donor").isNotNull().alias("donor_metadata"))
 
 
@@ -164,34 +167,6 @@ def review_status(audit: DataFrame, top: int = 30) -> DataFrame:
     return kept.withColumn("status", status).withColumn("reason", F.when(reason == "", "stable").otherwise(reason))
 
 
-def bootstrap_stability(df: DataFrame, replicates: int = 20, top: int = 30, seed: str = "boot") -> DataFrame:
-    """Resample the rows with replacement, shrink and rank each replicate, count selections.
-
-    The replicate is a grouping key, so all replicates are one job. ``df`` needs row_id 0..N-1 (R2); the
-    row drawn for (replicate, i) is an md5 value modulo N. Frequencies are of the replicates a unit appears in.
-    """
-    n = df.agg(F.count(F.lit(1)).alias("N"))
-    slots = df.select(F.col("row_id").alias("i")).crossJoin(F.broadcast(n)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    drawn = F.conv(F.substring(X.seeded(seed, F.col("b"), F.col("i")), 1, 12), 16, 10).cast("long") % F.col("N")
-    # Counted before the join, which so carries each row once a replicate, with its weight.
-    times = slots.select("b", drawn.alias("row_id")).groupBy("b", "row_id").agg(F.count(F.lit(1)).alias("w"))
-    sample = times.join(df.select("row_id", "unit", "gate", "work"), "row_id")
-    mean = F.sum(F.col("w") * F.col("work")) / F.sum("w")
-    noise = sample.groupBy("b").agg((F.sum(F.col("w") * F.col("work") * F.col("work")) / F.sum("w") - mean * mean).alias("s2e"))
-    units = sample.where("gate").groupBy("b", "unit").agg(mean.alias("d"), F.sum("w").alias("n")).join(F.broadcast(noise), "b")
-    units = units.withColumn("s2", F.col("s2e") / F.col("n"))
-    prior = units.groupBy("b").agg(F.greatest(F.var_pop("d") - F.avg("s2"), F.lit(1e-6)).alias("tau2"))
-    post = units.join(F.broadcast(prior), "b").withColumn("u", F.round(F.col("d") * F.col("tau2") / (F.col("tau2") + F.col("s2")), 9))
-    order = Window.partitionBy("b").orderBy(F.col("u").desc(), "unit")
-    rank = post.withColumn("r", F.row_number().over(order))
-    return rank.groupBy("unit").agg(
-        F.count(F.lit(1)).alias("n_appearances"),
-        F.round(F.avg((F.col("r") <= top).cast("double")), 6).alias("selection_frequency"),
-        F.percentile("r", F.lit(0.5)).alias("median_rank"),
-        (F.percentile("r", F.lit(0.75)) - F.percentile("r", F.lit(0.25))).alias("rank_iqr"),
-    )
-
-
 def top_overlap(a: DataFrame, b: DataFrame, k: int, rank: str = "rank", unit: str = "unit") -> DataFrame:
     """Number of units in the first k of both rankings."""
     left = a.where(F.col(rank) <= k).select(unit)

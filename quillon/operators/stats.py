@@ -11,38 +11,24 @@ from pyspark.sql import functions as F
 
 from quillon.functions import exprs as X
 from quillon.functions.kernels import hypergeometric_pmf, normal_sf
+from quillon.operators import order as O
+from quillon.sources.shared import Scratch
 
 
-#: Ranges that a ranking splits each power of two into, and leading hexadecimal digits of a hash that a seeded numbering is split by.
-RANGES, DIGITS = 64, 3
-
-
-def value_range(v):
-    """A whole number that never falls as the number v rises: the power of two, RANGES steps in each."""
-    x = F.abs(v.cast("double"))
-    e = F.floor(F.log2(x))
-    # An exponent that is one too high by rounding gives the last step below it: still in order.
-    step = (e + 1100) * RANGES + F.floor(x / F.pow(F.lit(2.0), e) * RANGES) - RANGES
-    return F.when(v == 0, F.lit(0).cast("long")).otherwise(F.signum(v.cast("double")).cast("long") * step)
+#: Leading hexadecimal digits of a hash that a seeded numbering is split by.
+DIGITS = 3
 
 
 def ranked(df: DataFrame, values: Sequence[str], keys: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """``df`` with, for each of its columns ``values``: {v}_below and {v}_ties, how many rows (of the same ``keys``) have a less and an equal value, and {v}_all, how many have one.
 
     No task holds all rows in order. Equal values are counted first, which is combined before the shuffle; distinct
-    values are split by ``value_range``, numbered within each range and moved up by what the ranges below
-    hold. Null values have null counts; values are finite numbers. With ``weight`` a row stands for so many.
+    values are dealt to ranges at splitters taken from them (``order.cumulative``). Null values have null counts; values are finite numbers. With ``weight`` a row stands for so many.
     """
-    base = df
+    base, splits = df, O.splitters(df, values)
     for v in values:
         counts = base.where(F.col(v).isNotNull()).groupBy(*keys, v).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("__n"))
-        placed = counts.withColumn("__range", value_range(F.col(v)))
-        sums = placed.groupBy(*keys, "__range").agg(F.sum("__n").alias("__m"))
-        before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range and key
-        offsets = sums.select(*keys, "__range", F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__before"), F.sum("__m").over(Window.partitionBy(*keys)).alias("__all"))
-        within = Window.partitionBy(*keys, "__range").orderBy(v).rowsBetween(Window.unboundedPreceding, -1)
-        inner = placed.withColumn("__within", F.coalesce(F.sum("__n").over(within), F.lit(0)))
-        table = inner.join(offsets, [*keys, "__range"]).select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(v).alias("__v"), (F.col("__before") + F.col("__within")).alias(f"{v}_below"), F.col("__n").alias(f"{v}_ties"), F.col("__all").alias(f"{v}_all"))
+        table = O.cumulative(counts, v, "__n", splits[v], keys).select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(v).alias("__v"), F.col("__below").alias(f"{v}_below"), F.col("__n").alias(f"{v}_ties"), F.col("__all").alias(f"{v}_all"))
         same = F.col(v) == F.col("__v")
         for k in keys:
             same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
@@ -74,7 +60,7 @@ def spearman(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFra
     """Spearman correlation over rows where both are finite: Pearson of average ranks, null if either is constant."""
     both = df.where(X.finite(F.col(x).cast("double")) & X.finite(F.col(y).cast("double"))).select(*keys, x, y)
     # Equal pairs are counted once and for all; the mean of average ranks is (n + 1) / 2.
-    pairs = both.groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("w"))
+    pairs = Scratch(df.sparkSession, "spearman").save(both.groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("w")), "pairs")
     off = lambda v: average_of_ties(v) - (F.col(f"{v}_all") + 1) / 2.0
     ranks = ranked(pairs, [x, y], keys, "w").select(*keys, "w", off(x).alias("rx"), off(y).alias("ry"))
     total = lambda a, b: F.sum(F.col("w") * F.col(a) * F.col(b))
@@ -175,19 +161,22 @@ def unit_concordance(a: DataFrame, b: DataFrame, draws: int, least: int = 100, s
     partner = next_.join(ring.select("b", F.col("pos").alias("to"), F.col("unit").alias("other")), ["b", "to"]).select("unit", "other")
     met = partner.join(pair.select("unit", "pa"), "unit").join(pair.select(F.col("unit").alias("other"), "pb"), "other").withColumn("both", common("pa", "pb"))
     null = met.select("unit", F.when(F.size("both") >= least, correlation(F.col("both"))).otherwise(0.0).alias("v"))
-    cuts = null.agg(F.percentile("v", F.lit(0.95)).alias("q95"), F.percentile("v", F.lit(0.5)).alias("median"))
+    null = Scratch(a.sparkSession, "concordance").save(null, "null")
+    q95, median = O.quantiles(null, "v", [0.95, 0.5])
     emp = null.join(seen.select("unit", "r"), "unit").groupBy("unit").agg(F.avg((F.col("v") >= F.col("r")).cast("double")).alias("emp_p"))
-    kind = F.when((F.col("r") > F.col("q95")) & (F.col("emp_p") < 0.05), "universal").when(F.col("r") <= F.col("median"), "specific").otherwise("intermediate")
-    return seen.join(emp, "unit").crossJoin(F.broadcast(cuts)).select("unit", F.round("r", 6).alias("r"), "n_common", F.round("emp_p", 6).alias("emp_p"), kind.alias("class"))
+    kind = F.when((F.col("r") > F.lit(q95)) & (F.col("emp_p") < 0.05), "universal").when(F.col("r") <= F.lit(median), "specific").otherwise("intermediate")
+    return seen.join(emp, "unit").select("unit", F.round("r", 6).alias("r"), "n_common", F.round("emp_p", 6).alias("emp_p"), kind.alias("class"))
 
 
 def concordance(a: DataFrame, b: DataFrame, least: int = 20) -> DataFrame:
     """Rankings (unit, score) compared: shared units, rho, overlap of the top min(100, n / 3), its chance p; no row under ``least``."""
     both = a.select("unit", F.col("score").alias("x")).join(b.select("unit", F.col("score").alias("y")), "unit").dropna()
     n = both.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).withColumn("k", F.least(F.lit(100), F.floor(F.col("n") / 3)).cast("long"))
-    order = lambda c: F.row_number().over(Window.orderBy(F.col(c).desc(), "unit"))
-    placed = both.withColumns({"px": order("x"), "py": order("y")}).crossJoin(F.broadcast(n))
-    hit = placed.groupBy("n", "k").agg(F.sum(((F.col("px") <= F.col("k")) & (F.col("py") <= F.col("k"))).cast("long")).alias("overlap"))
+    # The first k are among the first 100, which no task orders more than.
+    first = lambda c, at: both.orderBy(F.col(c).desc(), "unit").limit(100).select(F.col("unit").alias(f"{at}_unit"), F.row_number().over(Window.orderBy(F.col(c).desc(), "unit")).alias(at))
+    tops = first("x", "px").join(first("y", "py"), F.col("px_unit") == F.col("py_unit")).select("px", "py")
+    inside = (F.col("px") <= F.col("k")) & (F.col("py") <= F.col("k"))
+    hit = n.join(F.broadcast(tops), inside, "left").groupBy("n", "k").agg(F.count("px").alias("overlap"))
     open_ = hit.where("overlap > 0").withColumn("i", F.explode(F.sequence("overlap", "k"))).where("k - i <= n - k")
     tail = open_.groupBy("n").agg(F.sum(F.expr(hypergeometric_pmf("i", "n", "k", "k"))).alias("t"))
     return hit.join(tail.withColumnRenamed("n", "tn"), F.col("n") == F.col("tn"), "left").crossJoin(spearman(both, "x", "y").select("rho")).select("n", "k", "overlap", "rho", F.round(F.least(F.coalesce("t", F.lit(1.0)), F.lit(1.0)), 6).alias("p"))
@@ -255,30 +244,53 @@ def module_null(profiles: DataFrame, members: DataFrame, draws: int, seed: str =
 
 
 METRICS = ("cosine", "euclidean", "whitened")
+#: Members of a set that a task compares with as many others.
+PAIR_BLOCK = 512
+
+
+def _pair_sums(a: np.ndarray, b: np.ndarray, same: bool) -> float:
+    """Sum of Euclidean distances between the rows of two blocks, or between all pairs of one."""
+    na, nb = (a * a).sum(1), (b * b).sum(1)
+    scale = na[:, None] + nb
+    square = np.maximum(scale - 2 * (a @ b.T), 0)
+    i, j = np.nonzero(square < 1e-6 * scale)  # differences that the products round away
+    square[i, j] = ((a[i] - b[j]) ** 2).sum(1)
+    apart = np.sqrt(square)
+    return float(np.triu(apart, 1).sum() if same else apart.sum())
 
 
-def compactness_null(profiles: DataFrame, members: DataFrame, draws: int, seed: str = "compact") -> DataFrame:
+def compactness_null(profiles: DataFrame, members: DataFrame, draws: int, seed: str = "compact", block: int = PAIR_BLOCK) -> DataFrame:
     """Mean pairwise distance of each set under three metrics against same-size draws; small p is compact.
 
-    A set is a panel's: its rows, and those of one draw, are one group. Whitened rows have columns of mean 0 and deviation 1.
+    The members of a set, or of one of its draws, are dealt to blocks by hash; a pair of blocks is a cell, whose sums of
+    distances one task makes, and the cells' sums are added. Whitened rows have columns of mean 0 and deviation 1.
     """
     from quillon.operators.profiles import standardise
 
     white = standardise(profiles.select("unit", "profile")).select("unit", F.col("profile").alias("white"))
     present = members.join(profiles.select("unit"), "unit", "left_semi")
+    size = present.groupBy("set_name").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     drawn = seeded_draws(profiles, present, draws, seed).unionByName(present.select("set_name", F.lit(-1).alias("b"), "unit"))
-    rows = drawn.join(profiles.select("unit", "profile"), "unit").join(white, "unit").select("set_name", "b", "profile", "white")
+    rows = drawn.join(profiles.select("unit", "profile"), "unit").join(white, "unit").join(size, "set_name")
+    dealt = rows.withColumn("g", F.pmod(F.xxhash64("unit"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    cells = dealt.withColumn("other", other).select("set_name", "b", "g", F.least("g", "other").alias("i"), F.greatest("g", "other").alias("j"), "profile", "white")
 
     def spread(t: pa.Table) -> pa.Table:
         x, w = (np.stack(t.column(c).to_numpy()) for c in ("profile", "white"))
-        pairs = np.triu_indices(len(x), 1)
+        g, i, j = (t.column(c).to_numpy() for c in ("g", "i", "j"))
+        same = i[0] == j[0]
+        a, b = np.flatnonzero(g == i[0]), np.flatnonzero(g == j[0])
         u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        apart = lambda a: float(np.linalg.norm(a[pairs[0]] - a[pairs[1]], axis=1).mean()) if len(pairs[0]) else None
-        cosine = float(1 - (u @ u.T)[pairs].mean()) if len(pairs[0]) else None
-        return pa.table({"set_name": t.column("set_name")[:1], "b": t.column("b")[:1], "m": pa.array([len(x)], pa.int64()), **{k: pa.array([v], pa.float64()) for k, v in zip(METRICS, (cosine, apart(x), apart(w)), strict=True)}})
+        cosines = u[a] @ u[b].T
+        pairs = len(a) * (len(a) - 1) // 2 if same else len(a) * len(b)
+        apart = pairs - float(np.triu(cosines, 1).sum() if same else cosines.sum())
+        sums = {"cosine": apart, "euclidean": _pair_sums(x[a], x[b], same), "whitened": _pair_sums(w[a], w[b], same)}
+        return pa.table({"set_name": t.column("set_name")[:1], "b": t.column("b")[:1], "m": pa.array([len(a) if same else 0], pa.int64()), "pairs": pa.array([pairs], pa.int64()), **{k: pa.array([v], pa.float64()) for k, v in sums.items()}})
 
     kind = members.schema["set_name"].dataType.simpleString()
-    found = rows.groupBy("set_name", "b").applyInArrow(spread, f"set_name {kind}, b int, m long, cosine double, euclidean double, whitened double").where("m >= 2")
+    summed = cells.groupBy("set_name", "b", "i", "j").applyInArrow(spread, f"set_name {kind}, b int, m long, pairs long, cosine double, euclidean double, whitened double")
+    found = summed.groupBy("set_name", "b").agg(F.sum("m").alias("m"), *[(F.sum(k) / F.nullif(F.sum("pairs").cast("double"), F.lit(0.0))).alias(k) for k in METRICS]).where("m >= 2")
     long_ = found.unpivot(["set_name", "b", "m"], list(METRICS), "metric", "v").withColumn("v", F.round("v", 9))
     seen = F.max(F.when(F.col("b") < 0, F.col("v")))
     per = long_.withColumn("observed", seen.over(Window.partitionBy("set_name", "metric"))).where("b >= 0")  # a row a draw
@@ -289,8 +301,8 @@ def compactness_null(profiles: DataFrame, members: DataFrame, draws: int, seed:
 
 def decile_edges(df: DataFrame, value: str, parts: int = 10) -> DataFrame:
     """Adds stratum 0..parts-1 by exact quantile edges (right-closed; equal edges merge)."""
-    cuts = df.agg(F.array_distinct(F.percentile(value, F.array(*[F.lit(k / parts) for k in range(1, parts)]))).alias("cuts"))
-    return df.crossJoin(F.broadcast(cuts)).withColumn("stratum", F.size(F.filter("cuts", lambda c: c < F.col(value)))).drop("cuts")
+    cuts = F.lit(sorted({q for q in O.quantiles(df, value, [k / parts for k in range(1, parts)]) if q is not None})).cast("array<double>")
+    return df.withColumn("stratum", F.size(F.filter(cuts, lambda c: c < F.col(value))))
 
 
 def stratified_load(scores: DataFrame, members: DataFrame, draws: int, seed: str = "load") -> DataFrame:

@@ -15,9 +15,15 @@ from quillon.operators import learn as M
 from quillon.operators import lowrank as L
 from quillon.operators import profiles as P
 from quillon.operators import stats as T
+from quillon.operators import tensor_fit as K
 from quillon.plans.bindings import PROFILES, contrast, profiles, table
 from quillon.plans.profile_queries import cells, knn, profile_balanced_panel
 from quillon.plans.registry import query
+from quillon.sources.shared import Scratch
+
+
+#: Cells of a tensor that the fits of whole grids take into each task: more is an error. ``kernel_cp`` has no such bound.
+MOST_CELLS = 3_000_000
 
 
 def dense(spark, sf_dir):
@@ -25,9 +31,19 @@ def dense(spark, sf_dir):
     return tensor(spark, sf_dir, P.expanded_panel(contrast(spark, sf_dir), top=None).select("unit"))[1:]
 
 
+def panel_rows(spark, sf_dir):
+    """The expanded panel as a written table of units, a profile per context."""
+    panel = P.expanded_panel(contrast(spark, sf_dir), top=None).select("unit")
+    rows = K.unit_rows(cells(spark, sf_dir).join(panel, "unit", "left_semi"), ["A", "N", "R"], F.log1p)
+    return Scratch(spark, "tensor").save(rows, "units")
+
+
 def tensor(spark, sf_dir, panel):
     """(units, tensor, mask) of a panel's units."""
-    rows = cells(spark, sf_dir).join(panel, "unit", "left_semi").select("unit", "context", "profile").toArrow()
+    kept = cells(spark, sf_dir).join(panel, "unit", "left_semi").select("unit", "context", "profile")
+    if (n := kept.count()) > MOST_CELLS:
+        raise ValueError(f"{n} cells are more than the {MOST_CELLS} that fits in tasks take whole")
+    rows = kept.toArrow()
     units, i = np.unique(rows.column("unit").to_numpy(), return_inverse=True)
     k = np.searchsorted(["A", "N", "R"], rows.column("context").to_pylist())
     t, mask = np.zeros((len(units), 5, 3)), np.zeros((len(units), 5, 3), dtype=bool)
@@ -141,29 +157,37 @@ def kernel_linkage(spark, sf_dir):
 @query("kernel_deconvolution")
 def kernel_deconvolution(spark, sf_dir):
     """The square block of units that are features too (a join of both), deconvolved per context as one grouped task each."""
-    features = table(spark, sf_dir, "part").select(F.substring("p_brand", 7, 1).cast("long").alias("unit")).distinct().where("unit BETWEEN 1 AND 5")
-    df = cells(spark, sf_dir).join(features, "unit").select("context", "unit", "profile")  # features are five
+    # The features of the profiles are the brand digits of parts, ascending; a unit is one if its id is such a digit.
+    names = [r[0] for r in table(spark, sf_dir, "part").select(F.substring("p_brand", 7, 1).cast("long").alias("unit")).distinct().orderBy("unit").collect()]  # ten at most
+    features = spark.createDataFrame([(n, k) for k, n in enumerate(names)], "unit long, place int")
+    df = cells(spark, sf_dir).join(features, "unit").select("context", "unit", "place", "profile")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        block = np.zeros((5, 5))
-        for u, p in zip(pdf["unit"], pdf["profile"], strict=True):
-            block[int(u) - 1] = np.asarray(p) / (1 + np.linalg.norm(p))
+        pdf = pdf.sort_values("place")
+        own = pdf["place"].to_numpy()
+        profile = np.stack(pdf["profile"].to_numpy())
+        block = profile[:, own] / (1 + np.linalg.norm(profile, axis=1, keepdims=True))
         direct, condition = L.deconvolve(block)
-        return pd.DataFrame({"context": pdf["context"].iloc[0], "unit": range(1, 6), "direct": [[round(float(v), 6) for v in r] for r in direct], "condition": round(condition, 6)})
+        return pd.DataFrame({"context": pdf["context"].iloc[0], "unit": pdf["unit"].astype("int32"), "direct": [[round(float(v), 6) for v in r] for r in direct], "condition": round(condition, 6)})
 
     return df.groupBy("context").applyInPandas(solve, "context string, unit int, direct array<double>, condition double")
 
 
 @query("kernel_cp")
 def kernel_cp(spark, sf_dir):
-    """CP fits of ranks 1 to 4, each a task: error, degeneracy, weights and cosines of the feature mode."""
-    t, mask = dense(spark, sf_dir)
-
-    def run(task: dict) -> dict:
-        f, error = L.cp(t, mask, int(task["rank"]), 2)
-        return {"rank": int(task["rank"]), "error": round(error, 6), "degeneracy": round(L.degeneracy(f), 6), "weights": [round(float(w), 6) for w in L.gauge(f)[1]], "cosines": L.feature_cosines(f).round(6).tolist()}
-
-    return L.grid(spark, pd.DataFrame({"rank": [1, 2, 3, 4]}), run, "rank int, error double, degeneracy double, weights array<double>, cosines array<array<double>>")
+    """CP fits of ranks 1 to 4 of the whole expanded panel, units as rows, all fits in each pass: error, degeneracy, weights and cosines of the feature mode."""
+    fits = K.best_by_rank(K.cp_fits(panel_rows(spark, sf_dir), 5, 3, [(rank, start) for rank in (1, 2, 3, 4) for start in range(2)]))
+    unit = {rank: L._unit(f.features) for rank, f in fits.items()}
+    rows = [(rank, round(f.error, 6), round(f.degeneracy(), 6), [round(float(w), 6) for w in f.weights], np.abs(unit[rank].T @ unit[rank]).round(6).tolist()) for rank, f in sorted(fits.items())]
+    return spark.createDataFrame(rows, "rank int, error double, degeneracy double, weights array<double>, cosines array<array<double>>")
+
+
+@query("kernel_cp_units")
+def kernel_cp_units(spark, sf_dir):
+    """T4, T5: loadings of every unit of the expanded panel under the rank-2 fit."""
+    rows = panel_rows(spark, sf_dir)
+    fit = K.best_by_rank(K.cp_fits(rows, 5, 3, [(2, start) for start in range(2)]))[2]
+    return K.unit_factors(rows, fit, 5).select("unit", F.transform("loadings", lambda x: F.round(x, 6)).alias("loadings"))
 
 
 CP_RANKS, CP_SPLITS, CP_DRAWS, GATED, CONGRUENT, COFACTOR = (2, 3, 4), 6, 100, 0.15, 0.9, 0.7

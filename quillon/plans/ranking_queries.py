@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quillon.functions import exprs as X
 from quillon.functions.kernels import normal_sf
+from quillon.operators import bootstrap as B
+from quillon.operators import order as O
 from quillon.operators import ranking as R
 from quillon.operators import stats as T
 from quillon.plans.bindings import CONTRAST, REPLICATES, contrast, replicates, table
@@ -35,14 +37,14 @@ def deviations(spark, sf_dir):
     return R.log_deviation(R.cell_mean_baseline(contrast(spark, sf_dir)))
 
 
-def posterior(spark, sf_dir):
-    return R.shrink(deviations(spark, sf_dir))
+def posterior(spark, sf_dir, tail: bool = False):
+    return R.shrink(deviations(spark, sf_dir), tail=tail)
 
 
 @query("rank_eb", f"WITH {BASE} SELECT unit, rank, n AS n_gated, ROUND(u, 6) AS eb_mean, ROUND(sd, 6) AS eb_sd, ROUND({normal_sf('((SELECT QUANTILE_CONT(u, 0.99) FROM posterior) - u) / sd')}, 6) AS p_top, ROUND(GREATEST(EXP(logmu + u) - 0.5, 0), 4) AS expected, ROUND(shrinkage, 6) AS shrinkage FROM ranked")
 def rank_eb(spark, sf_dir):
     """Gated empirical-Bayes ranking of units."""
-    out = R.ranked(posterior(spark, sf_dir))
+    out = R.ranked(posterior(spark, sf_dir, tail=True))
     return out.select("unit", "rank", "n_gated", F.round("u", 6).alias("eb_mean"), F.round("sd", 6).alias("eb_sd"), F.round("p_top", 6).alias("p_top"), F.round("expected", 4).alias("expected"), F.round("shrinkage", 6).alias("shrinkage"))
 
 
@@ -162,7 +164,10 @@ def contrast_sample(spark, sf_dir):
 @query("agg_global", f"WITH {CONTRAST} SELECT ROUND(AVG(response), 6) AS mean_response, MEDIAN(response) AS median_response, CAST(SUM(support) AS BIGINT) AS support, ROUND(AVG(CASE WHEN response = 0 THEN 1.0 ELSE 0.0 END), 6) AS zero_share, QUANTILE_CONT(response, 0.9) AS p90, QUANTILE_CONT(response, 0.99) AS p99 FROM contrast")
 def agg_global(spark, sf_dir):
     """Scalars and exact interpolated quantiles."""
-    return contrast(spark, sf_dir).agg(F.round(F.avg("response"), 6).alias("mean_response"), F.median("response").alias("median_response"), F.sum("support").alias("support"), F.round(F.avg((F.col("response") == 0).cast("double")), 6).alias("zero_share"), F.percentile("response", F.lit(0.9)).alias("p90"), F.percentile("response", F.lit(0.99)).alias("p99"))
+    df = contrast(spark, sf_dir)
+    median, p90, p99 = (F.lit(q).cast("double") for q in O.quantiles(df, "response", [0.5, 0.9, 0.99]))
+    plain = df.agg(F.round(F.avg("response"), 6).alias("mean_response"), F.sum("support").alias("support"), F.round(F.avg((F.col("response") == 0).cast("double")), 6).alias("zero_share"))
+    return plain.select("mean_response", median.alias("median_response"), "support", "zero_share", p90.alias("p90"), p99.alias("p99"))
 
 
 @query("agg_by_context", f"WITH {CONTRAST}, o(pos, context) AS (VALUES (1, 'N'), (2, 'A'), (3, 'R'), (4, 'X')) SELECT o.pos, o.context, ROUND(AVG(response), 6) AS mean_response, MEDIAN(response) AS median_response FROM o LEFT JOIN contrast c ON o.context = c.context GROUP BY 1, 2")
@@ -311,7 +316,7 @@ def rank_bootstrap(spark, sf_dir):
 def bootstrap(spark, sf_dir, draws: int):
     nth = F.row_number().over(Window.partitionBy("unit").orderBy("context"))
     df = T.ranked(deviations(spark, sf_dir), ["unit"]).withColumn("row_id", (F.col("unit_below") + nth - 1).cast("long"))
-    return R.bootstrap_stability(df, draws)
+    return B.stability(df.withColumn("uid", F.col("unit_below").cast("long")), draws)
 
 
 @query("rank_bootstrap_full")
