@@ -14,6 +14,7 @@ from quillon.plans.effect_queries import SPEARMAN, avg_rank_sql
 from quillon.plans.profile_queries import CELLS, cells
 from quillon.plans.ranking_queries import BASE, deviations, posterior
 from quillon.plans.registry import query
+from quillon.sources.shared import Scratch
 
 
 def _md5(seed: str, *parts: str) -> str:
@@ -180,7 +181,8 @@ def concord_diagnostics(spark, sf_dir):
     df = cells(spark, sf_dir)
     of = lambda c: F.max(F.when(F.col("context") == c, F.col("support")))
     facts = df.groupBy("unit").agg(of("A").alias("sa"), of("N").alias("sn"), F.sum(F.size(F.filter("profile", lambda x: x > 0))).alias("n_co"))
-    j = T.ranked(concord_units(spark, sf_dir).join(facts, "unit").cache(), ["sa", "sn"])  # a row a unit, read by every ranking
+    joined = Scratch(spark, "diagnostics").save(concord_units(spark, sf_dir).join(facts, "unit"), "joined")
+    j = T.ranked(joined, ["sa", "sn"])  # a row a unit, read by every ranking
     pa, pn = (T.average_of_ties(c) / F.col(f"{c}_all") for c in ("sa", "sn"))
     j = j.select("class", "r", "n_co", pa.alias("pa"), pn.alias("pn")).withColumn("low", F.round(F.least("pa", "pn"), 9))
     powered = (F.col("pa") >= 0.5) & (F.col("pn") >= 0.5)

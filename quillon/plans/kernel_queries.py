@@ -157,10 +157,10 @@ def kernel_linkage(spark, sf_dir):
 @query("kernel_deconvolution")
 def kernel_deconvolution(spark, sf_dir):
     """The square block of units that are features too (a join of both), deconvolved per context as one grouped task each."""
-    # The features of the profiles are the brand digits of parts, ascending; a unit is one if its id is such a digit.
-    names = [r[0] for r in table(spark, sf_dir, "part").select(F.substring("p_brand", 7, 1).cast("long").alias("unit")).distinct().orderBy("unit").collect()]  # ten at most
-    features = spark.createDataFrame([(n, k) for k, n in enumerate(names)], "unit long, place int")
-    df = cells(spark, sf_dir).join(features, "unit").select("context", "unit", "place", "profile")
+    # A profile's features are the brand digits from 1 on: a unit is one of them if its id is that of a place in the profiles.
+    every = cells(spark, sf_dir)
+    features = every.select(F.explode(F.sequence(F.lit(1), F.size("profile"))).alias("f")).distinct().select(F.col("f").cast("long").alias("unit"), (F.col("f") - 1).alias("place"))
+    df = every.join(features, "unit").select("context", "unit", "place", "profile")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("place")
@@ -380,7 +380,8 @@ def kernel_consensus_communities(spark, sf_dir):
     A node without such a partner is a community of its own.
     """
     fits = kernel_communities(spark, sf_dir)
-    runs = fits.select((F.col("resolution") * 100 + F.col("seed")).cast("int").alias("run_id"), "node", "label").cache()
+    runs = fits.select((F.col("resolution") * 100 + F.col("seed")).cast("int").alias("run_id"), "node", "label")
+    runs = Scratch(spark, "consensus").save(runs, "runs")
     edges = G.consensus(runs, least=TAU).select("src", "dst", F.col("p").alias("weight"))
     nodes, src, dst, w = _graph(edges)
     label = L.communities(len(nodes), src, dst, w)

@@ -63,17 +63,20 @@ def best_scores(rows: DataFrame) -> DataFrame:
 
 
 def lookup(spark: SparkSession, keys: DataFrame, fetch: Callable[[Sequence[str]], Iterable[tuple]], schema: str, cache: str, batch: int = 900) -> DataFrame:
-    """Attributes of keys in batches, written once; the cache serves only if it has every key, and a missing key aborts.
+    """Attributes of keys in batches; only keys that the cache lacks are fetched, and added to it. A key without attributes aborts the whole fetch.
 
-    ``schema`` starts with the key column. Batches are fetched by tasks.
+    ``schema`` starts with the key column. Batches are fetched by tasks, and a fetch that fails adds nothing.
     """
     key = schema.split()[0]
     wanted = keys.select(F.col(keys.columns[0]).alias(key)).distinct()
     path = spark._jvm.org.apache.hadoop.fs.Path(cache)
     if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         known = spark.read.schema(schema).parquet(cache)
-        if wanted.join(known, key, "left_anti").isEmpty():
+        lacking = wanted.join(known, key, "left_anti")
+        if lacking.isEmpty():
             return wanted.join(known, key)
+    else:
+        lacking = wanted
 
     def pull(batches):
         import pandas as pd
@@ -87,7 +90,7 @@ def lookup(spark: SparkSession, keys: DataFrame, fetch: Callable[[Sequence[str]]
                     raise LookupError(f"{len(missing)} keys have no attributes, nothing is made up for them")
                 yield found
 
-    wanted.mapInPandas(pull, schema).write.mode("overwrite").parquet(cache)
+    lacking.mapInPandas(pull, schema).write.mode("append").parquet(cache)
     return wanted.join(spark.read.schema(schema).parquet(cache), key)
 
 

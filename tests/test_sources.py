@@ -59,6 +59,9 @@ def test_lookups(spark, tmp_path):
     got = lookups.lookup(spark, keys, lambda ks: [(k, len(k)) for k in ks], "key string, n long", cache)
     assert got.count() == 2
     assert lookups.lookup(spark, keys, lambda ks: 1 / 0, "key string, n long", cache).count() == 2
+    more = spark.createDataFrame([("a new key",)], "key string")
+    assert lookups.lookup(spark, more, lambda ks: [(k, 9) for k in ks], "key string, n long", cache).count() == 1
+    assert lookups.lookup(spark, keys.unionAll(more), lambda ks: 1 / 0, "key string, n long", cache).count() == 3  # earlier keys are kept
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     many = spark.range(25).select(F.col("id").cast("string").alias("key")).coalesce(1)
     got = lookups.lookup(spark, many, lambda ks: [(k, len(ks)) for k in ks], "key string, n long", str(tmp_path / "many"), batch=10)
