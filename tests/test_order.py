@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import bootstrap, lowrank, order, stats, tensor_fit
+from quillon.operators import bootstrap, imputation, lowrank, order, stats, tensor_fit
 from quillon.sources.shared import Scratch
 
 SHAPES = {
@@ -145,3 +145,24 @@ def test_tensor_of_many_units(spark, monkeypatch):
     rows = Scratch(spark, "test").save(spark.range(0, 200_000, 1, 4).select(F.col("id").alias("unit"), t.alias("t")), "rows")
     fit = tensor_fit.best_by_rank(tensor_fit.cp_fits(rows, 3, 3, [(1, 0)], steps=8))[1]
     assert fit.error < 1e-5 * np.trace(fit.gram) and abs(lowrank.match(np.array([b]).T, fit.features)[1] - 1) < 1e-9
+
+
+@pytest.mark.parametrize("replay", [2, 16])
+def test_completion_equals_the_dense_one(spark, monkeypatch, replay):
+    monkeypatch.setattr(imputation, "REPLAY", replay)
+    _, t, seen = planted(60, 4, 2, 3)
+    rows = spark.createDataFrame([(i, [t[i, :, c].tolist() if seen[i, c] else None for c in range(3)]) for i in range(len(t))], "unit long, t array<array<double>>").repartition(3)
+    got = imputation.entry_scores(rows, 4, 3, [1, 3], [5], share=0.15, steps=10)
+    x, mask = lowrank._flat(np.where(seen[:, None, :], t, 0)), np.repeat(seen, 4, axis=1)
+    test = mask & (imputation.uniform(np.arange(60), 12, 5) < 0.15)
+    train = mask & ~test
+    y = x - lowrank.train_centre(x, train)
+    for rank, seed, r2, rounds in got:
+        fit = lowrank.complete(np.where(train, y, 0), train, rank, steps=10)
+        assert math.isclose(r2, 1 - ((fit - y)[test] ** 2).sum() / (y[test] ** 2).sum(), rel_tol=1e-6) and rounds <= 10
+    assert imputation.entry_scores(rows.limit(0), 4, 3, [1], [5])[0][2] == 1.0
+
+
+def test_held_out_shares_are_even():
+    u = imputation.uniform(np.arange(20_000), 15, 3)
+    assert abs((u < 0.1).mean() - 0.1) < 0.005 and abs(np.corrcoef(u[:, 0], u[:, 1])[0, 1]) < 0.03
