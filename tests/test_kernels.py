@@ -227,15 +227,6 @@ def test_rmt_keeps_planted_modes():
         L.rmt_clean(np.eye(5), 4)
 
 
-def test_communities_of_two_cliques():
-    edges = [(i, j) for b in (0, 5) for i in range(b, b + 5) for j in range(i + 1, b + 5)] + [(0, 5)]
-    s, d = np.array(edges).T
-    for seed in range(4):
-        assert L.communities(10, s, d, np.ones(len(s)), seed=seed).tolist() == [0] * 5 + [1] * 5
-    # A community is connected: its pieces are told apart.
-    assert L._connected(np.array([0, 0, 0, 1]), np.array([0, 2]), np.array([1, 3])).tolist() == [0, 0, 1, 2]
-
-
 def test_deconvolution_of_nothing():
     direct, condition = L.deconvolve(np.zeros((3, 3)))
     assert direct == pytest.approx(np.zeros((3, 3))) and condition == pytest.approx(1)
