@@ -348,17 +348,45 @@ def kernel_rmt(spark, sf_dir):
     return edges.agg(F.round(F.percentile("edge", F.lit(0.95)), 6).alias("empirical_edge")).withColumns({"theory_edge": F.lit(round(edge, 6)), "signal_modes": F.lit(kept)})
 
 
+#: Edges that the community kernel takes to one task: a panel's. More is an error, never a sample.
+MOST_EDGES = 5_000_000
 TAU = 0.5
-#: G3's grid: resolutions and seeds.
-SWEEP = [(g, s) for g in (0.5, 1.0, 2.0) for s in range(2)]
+
+
+def _graph(edges):
+    """(nodes, src, dst, weight) of an edge table of a panel, checked for size before it is collected."""
+    kept = edges.where("weight > 0")
+    if (n := kept.count()) > MOST_EDGES:
+        raise ValueError(f"{n} edges are more than a panel's {MOST_EDGES}")
+    e = kept.orderBy("src", "dst").toPandas()
+    nodes = np.unique(e[["src", "dst"]].to_numpy())
+    return nodes, np.searchsorted(nodes, e["src"]), np.searchsorted(nodes, e["dst"]), e["weight"].to_numpy()
+
+
+def sweep(spark, sf_dir):
+    """(nodes, resolution, seed, position, label): G3's grid of fits on the neighbour graph."""
+    nodes, src, dst, w = _graph(P.neighbour_edges(knn(spark, sf_dir)))
+
+    def run(task: dict) -> dict:
+        label = L.communities(len(nodes), src, dst, w, float(task["resolution"]), int(task["seed"]))
+        return {"resolution": float(task["resolution"]), "seed": int(task["seed"]), "labels": [int(x) for x in label]}
+
+    fits = L.grid(spark, pd.DataFrame([(g, s) for g in (0.5, 1.0, 2.0) for s in range(2)], columns=["resolution", "seed"]), run, "resolution double, seed int, labels array<int>")
+    return nodes, fits.select("resolution", "seed", F.posexplode("labels").alias("position", "label"))
 
 
 @query("kernel_communities")
 def kernel_communities(spark, sf_dir):
-    """Modularity communities of the neighbour graph over a grid of resolutions and seeds, a label being its community's least node."""
-    runs = C.communities(spark, P.neighbour_edges(knn(spark, sf_dir)), SWEEP)
-    of = lambda k, kind: F.array(*[F.lit(r[k]) for r in SWEEP])[F.col("run")].cast(kind)
-    return runs.select(of(0, "double").alias("resolution"), of(1, "int").alias("seed"), "node", "label")
+    """Modularity communities of the neighbour graph over a grid of resolutions and seeds; edges are a panel's, and checked to be."""
+    nodes, labels = sweep(spark, sf_dir)
+    named = spark.createDataFrame([(k, int(n)) for k, n in enumerate(nodes)], "position int, node long")
+    return labels.join(named, "position").select("resolution", "seed", "node", "label")
+
+
+@query("graph_communities")
+def graph_communities(spark, sf_dir):
+    """G3 on edge tables, for graphs of any size: communities of the neighbour graph at resolution 1, a label being its community's least node."""
+    return C.communities(spark, P.neighbour_edges(knn(spark, sf_dir)), [(1.0, 0)]).select("node", "label")
 
 
 @query("kernel_consensus_communities")
@@ -369,9 +397,12 @@ def kernel_consensus_communities(spark, sf_dir):
     """
     fits = kernel_communities(spark, sf_dir)
     runs = fits.select((F.col("resolution") * 100 + F.col("seed")).cast("int").alias("run_id"), "node", "label")
+    runs = Scratch(spark, "consensus").save(runs, "runs")
     edges = G.consensus(runs, least=TAU).select("src", "dst", F.col("p").alias("weight"))
-    found = C.communities(spark, edges, [(1.0, 0)]).select("node", "label")
-    alone = runs.select("node").distinct().join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    nodes, src, dst, w = _graph(edges)
+    label = L.communities(len(nodes), src, dst, w)
+    found = spark.createDataFrame([(int(n), int(k)) for n, k in zip(nodes, label, strict=True)], "node long, label long")
+    alone = runs.select("node").distinct().join(found, "node", "left").withColumn("label", F.coalesce("label", -1 - F.col("node")))
     return G.stability(runs, alone)
 
 
