@@ -8,7 +8,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import CountVectorizer, Imputer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,17 +101,3 @@ def row_r2(df: DataFrame, mean: np.ndarray) -> DataFrame:
 def verdict(real, control, margin: float = 0.005):
     """M7: informative if better than the mean and than shuffled features by a margin."""
     return F.when((real > 0) & (real - control > margin), "informative").when(real > 0, "not above control").otherwise("not informative")
-
-
-def boosted(df: DataFrame, target: str, depth: int = 6, steps: int = 500, seed: int = 0):
-    """M6: (model, held-out R2) of boosted trees of one component (Spark ML; no claim to equal another library's trees).
-
-    ``fold`` 0 is held out, fold 1 stops the rounds early, the others train.
-    """
-    from pyspark.ml.functions import array_to_vector
-
-    data = df.select(array_to_vector("x").alias("features"), F.col(target).alias("label"), (F.col("fold") == 1).alias("checks"), "fold")
-    model = GBTRegressor(maxDepth=depth, maxIter=steps, seed=seed, stepSize=0.1, validationIndicatorCol="checks", validationTol=0.001).fit(data.where("fold > 0"))
-    centre = data.where("fold > 0").agg(F.avg("label")).first()[0]
-    e = model.transform(data.where("fold = 0")).agg(F.sum((F.col("label") - F.col("prediction")) ** 2).alias("e"), F.sum((F.col("label") - F.lit(centre)) ** 2).alias("t")).first()
-    return model, round(1 - e["e"] / e["t"], 6) if e["t"] else None
