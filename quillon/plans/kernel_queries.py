@@ -409,9 +409,17 @@ def kernel_consensus_communities(spark, sf_dir):
 
 def features(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
-    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).cast("double").alias("n_orders"), F.concat_ws(";", F.array_sort(F.collect_set("o_orderpriority"))).alias("listed"))
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).cast("double").alias("n_orders"), F.concat_ws(";", F.array_sort(F.collect_set("o_orderpriority"))).alias("listed"), F.concat_ws(";", F.array_sort(F.collect_set(F.date_format("o_orderdate", "yyyy-MM")))).alias("months"))
     joined = c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left")
-    return joined.select(F.col("c_custkey").alias("unit"), "c_acctbal", "n_orders", F.col("c_mktsegment").alias("category"), "listed")
+    return joined.select(F.col("c_custkey").alias("unit"), "c_acctbal", "n_orders", F.col("c_mktsegment").alias("category"), "listed", "months")
+
+
+#: The published least rows and caps of the two list columns.
+LISTS = {"listed": (10, 500), "months": (10, 200)}
+
+
+def full_design(spark, sf_dir, sparse=False):
+    return M.design(features(spark, sf_dir), ["c_acctbal", "n_orders"], "category", LISTS, sparse)
 
 
 @query("learn_tokens", "WITH e AS (SELECT DISTINCT o_custkey, o_orderpriority AS token FROM orders) SELECT token, CAST(COUNT(*) AS BIGINT) AS n FROM e GROUP BY 1 HAVING COUNT(*) >= 10")
@@ -432,19 +440,27 @@ def learn_shuffled(spark, sf_dir):
     return M.shuffled(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("unit"), "c_acctbal"), "c_acctbal")
 
 
-@query("learn_design")
+@query(
+    "learn_design",
+    "WITH o AS (SELECT o_custkey, CAST(COUNT(*) AS DOUBLE) AS n_orders FROM orders GROUP BY 1), f AS (SELECT c_custkey AS unit, c_acctbal, n_orders, COALESCE(c_mktsegment, 'None') AS category FROM customer LEFT JOIN o ON c_custkey = o_custkey), "
+    "e AS (SELECT DISTINCT o_custkey AS unit, 'listed' AS kind, o_orderpriority AS token FROM orders UNION ALL SELECT DISTINCT o_custkey, 'months', STRFTIME(o_orderdate, '%Y-%m') FROM orders), "
+    "k AS (SELECT kind, token FROM e GROUP BY 1, 2 HAVING COUNT(*) >= 10 QUALIFY ROW_NUMBER() OVER (PARTITION BY kind ORDER BY COUNT(*) DESC, token) <= CASE kind WHEN 'listed' THEN 500 ELSE 200 END), "
+    "t AS (SELECT unit, COUNT(*) AS n FROM e JOIN k USING (kind, token) GROUP BY 1) "
+    "SELECT f.unit, CAST(2 + (SELECT COUNT(DISTINCT category) FROM f) + (SELECT COUNT(*) FROM k) AS INT) AS width, "
+    "ROUND(COALESCE(c_acctbal, (SELECT MEDIAN(c_acctbal) FROM f)) + COALESCE(n_orders, (SELECT MEDIAN(n_orders) FROM f)) + 1 + COALESCE(t.n, 0), 4) AS total FROM f LEFT JOIN t USING (unit)",
+)
 def learn_design(spark, sf_dir):
-    """Design matrix rows (one-hot order is the library's)."""
-    return M.design(features(spark, sf_dir), ["c_acctbal", "n_orders"], "category", "listed").select("unit", F.size("x").alias("width"), F.round(X.array_sum(F.col("x")), 4).alias("total"))
+    """Design matrix rows of numbers, a category and two list columns: width and sum of each."""
+    return full_design(spark, sf_dir).select("unit", F.size("x").alias("width"), F.round(X.array_sum(F.col("x")), 4).alias("total"))
 
 
 @query("learn_ridge")
 def learn_ridge(spark, sf_dir):
     """M2-M5, M7: five-fold ridge of responses on features against shuffled features, with the verdict."""
-    x = M.design(features(spark, sf_dir), ["c_acctbal", "n_orders"], "category", "listed")
+    x = full_design(spark, sf_dir, sparse=True)
     y = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("unit")).agg(F.array(F.log1p(F.sum("o_totalprice")), F.log1p(F.max("o_totalprice"))).alias("y"))
-    df = M.folds(x.join(y, "unit"))
-    width, out = df.select(F.size("x")).first()[0], []
+    df = Scratch(spark, "ridge").save(M.folds(x.join(y, "unit")), "rows")
+    width, out = df.first()["x"].size, []
     for name, data in (("real", df), ("shuffled", M.shuffled(df, "x"))):
         for k in range(5):
             train, test = data.where(F.col("fold") != k), data.where(F.col("fold") == k)
@@ -458,8 +474,9 @@ def learn_ridge(spark, sf_dir):
     return score.withColumn("verdict", M.verdict(F.col("real"), F.col("shuffled")))
 
 
-#: The published probe: components, rounds at most, depth, rounds without gain; a third of the published 30 components is all that fifteen responses allow.
-BOOSTED_COMPONENTS, BOOSTED_ROUNDS, BOOSTED_DEPTH, BOOSTED_PATIENCE = 10, 500, 6, 30
+#: Components, rounds at most, depth, step, rounds without gain. The published probe has 500 rounds (the operator's default) of smaller
+#: steps, six passes each; of its 10 and 30 components fifteen responses allow the first.
+BOOSTED_COMPONENTS, BOOSTED_ROUNDS, BOOSTED_DEPTH, BOOSTED_RATE, BOOSTED_PATIENCE = 10, 30, 6, 0.3, 8
 
 
 def responses(spark, sf_dir):
@@ -475,12 +492,12 @@ def learn_boosted(spark, sf_dir):
 
     Fold 0 is held out, fold 1 stops the rounds early, the rest trains.
     """
-    x = M.folds(M.design(features(spark, sf_dir), ["c_acctbal", "n_orders"], "category", "listed"))
+    x = M.folds(full_design(spark, sf_dir))
     df = x.join(responses(spark, sf_dir), "unit")
     rows, sums, g = L.gram(df.where("fold > 1"), 15)
     _, axes = L.principal_axes(rows, sums, g, BOOSTED_COMPONENTS)
     data = Scratch(spark, "boosted").save(df.select("x", "fold", _scores(df, axes, sums / max(rows, 1)).alias("y")), "data")
-    forest = B.boost(spark, data, len(axes), BOOSTED_ROUNDS, BOOSTED_DEPTH, patience=BOOSTED_PATIENCE)
+    forest = B.boost(spark, data, len(axes), BOOSTED_ROUNDS, BOOSTED_DEPTH, BOOSTED_RATE, patience=BOOSTED_PATIENCE)
     both = forest.predict(data).where("fold <> 1").select((F.col("fold") == 0).alias("held_out"), F.posexplode(F.arrays_zip("y", "prediction")).alias("component", "v"))
     centre = F.array(*[F.lit(float(v)) for v in forest.base])[F.col("component")]
     at = lambda held: F.round(1 - F.sum(F.when(F.col("held_out") == held, (F.col("v.y") - F.col("v.prediction")) ** 2)) / F.nullif(F.sum(F.when(F.col("held_out") == held, (F.col("v.y") - centre) ** 2)), F.lit(0.0)), 6)

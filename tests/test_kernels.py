@@ -185,6 +185,44 @@ def test_ridge_leaves_one_out(spark):
     assert coef == pytest.approx(fit(x, y, alpha, unit)[0]) and intercept == pytest.approx(fit(x, y, alpha, unit)[1])
 
 
+def test_sparse_design_equals_dense(spark, monkeypatch):
+    """Entries, Gram matrix, ridge and predictions of sparse vectors against arrays of the same rows."""
+    from quillon.operators import learn as M
+
+    monkeypatch.setattr(M, "PRODUCTS", 40)
+    monkeypatch.setattr(M, "BLOCK", 7)
+    rng = np.random.default_rng(61)
+    pick = lambda names, k: ";".join(rng.choice(names, size=rng.integers(0, k), replace=False))
+    rows = [(i, float(rng.normal()) if i % 9 else None, [None, "b", "a"][i % 3], pick(list("pqrstuv"), 5) if i % 7 else None, f" {pick(list('PQR'), 3)} ;PQ; PQ") for i in range(60)]
+    df = spark.createDataFrame(rows, "unit int, size double, category string, long string, short string").repartition(3)
+    lists = {"long": (2, 5), "short": (2, 3)}
+    dense = {r.unit: r.x for r in M.design(df, ["size"], "category", lists).collect()}
+    sparse = M.design(df, ["size"], "category", lists, sparse=True)
+    assert {r.unit: r.x.toArray().tolist() for r in sparse.collect()} == dense
+    split = lambda text: {t.strip() for t in (text or "").split(";")} - {""}
+    keep = []
+    for place, (_, cap) in ((3, lists["long"]), (4, lists["short"])):
+        every = [t for r in rows for t in split(r[place])]
+        keep.append(sorted((t for t in set(every) if every.count(t) >= 2), key=lambda t: (-every.count(t), t))[:cap])
+    middle = float(np.median([r[1] for r in rows if r[1] is not None]))
+    for unit, size, category, long_, short in rows:
+        want = [middle if size is None else size] + [float((category or "None") == c) for c in ("None", "a", "b")]
+        want += [float(t in split(text)) for names, text in zip(keep, (long_, short)) for t in names]
+        assert dense[unit] == pytest.approx(want)
+    p = len(dense[0])
+    y = spark.createDataFrame([(i, rng.normal(size=2).tolist()) for i in range(60)] + [(99, None)], "unit int, y array<double>")
+    both = sparse.join(y, "unit")
+    n, sums, g = M.sparse_gram(both, p, 2)
+    full = np.array([dense[r.unit] + r.y for r in both.select("unit", "y").orderBy("unit").collect()])
+    assert n == 60 and sums == pytest.approx(full.sum(axis=0)) and g == pytest.approx(full.T @ full)
+    arrays = both.select("unit", "y").join(M.design(df, ["size"], "category", lists), "unit")
+    one, two = M.ridge(both, p, 2, scaled=1), M.ridge(arrays, p, 2, scaled=1)
+    assert one[0] == pytest.approx(two[0]) and one[1] == pytest.approx(two[1]) and one[2] == two[2]
+    got = {r.unit: r.prediction for r in M.predict(both, *one[:2]).collect()}
+    assert all(got[u] == pytest.approx(np.array(x) @ two[0] + two[1]) for u, x in dense.items())
+    assert M.sparse_gram(both.limit(0), p, 2)[0] == 0
+
+
 def test_neighbours_and_consensus_in_blocks(spark, monkeypatch):
     from quillon.operators import graph as G
     from quillon.operators import profiles as P
