@@ -459,9 +459,10 @@ def learn_ridge(spark, sf_dir):
     """M2-M5, M7: five-fold ridge of responses on features against shuffled features, with the verdict."""
     x = full_design(spark, sf_dir, sparse=True)
     y = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("unit")).agg(F.array(F.log1p(F.sum("o_totalprice")), F.log1p(F.max("o_totalprice"))).alias("y"))
-    df = Scratch(spark, "ridge").save(M.folds(x.join(y, "unit")), "rows")
+    scratch = Scratch(spark, "ridge")
+    df = scratch.save(M.folds(x.join(y, "unit")), "rows")
     width, out = df.first()["x"].size, []
-    for name, data in (("real", df), ("shuffled", M.shuffled(df, "x"))):
+    for name, data in (("real", df), ("shuffled", scratch.save(M.shuffled(df, "x"), "shuffled"))):
         for k in range(5):
             train, test = data.where(F.col("fold") != k), data.where(F.col("fold") == k)
             coef, intercept, alpha = M.ridge(train, width, 2, scaled=2)
