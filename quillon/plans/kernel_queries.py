@@ -20,7 +20,7 @@ from quillon.operators import profiles as P
 from quillon.operators import stats as T
 from quillon.operators import tensor_fit as K
 from quillon.plans.bindings import PROFILES, contrast, profiles, table
-from quillon.plans.profile_queries import cells, knn, profile_balanced_panel
+from quillon.plans.profile_queries import cells, knn, profile_balanced_panel, tensor_flagged_units
 from quillon.plans.registry import query
 from quillon.sources.shared import Scratch
 
@@ -54,10 +54,11 @@ def tensor(spark, sf_dir, panel):
     return units, t, mask
 
 
-def wide(spark, sf_dir):
-    """(tensor, mask, in_panel, strength) of all units gated in every context: in_panel marks the expanded panel, strength is the largest response."""
+def wide(spark, sf_dir, only=None):
+    """(tensor, mask, in_panel, strength) of all units gated in every context, or of those in ``only``: in_panel marks the expanded panel, strength is the largest response."""
     df = contrast(spark, sf_dir)
     gated = df.where("gate").groupBy("unit").agg(F.countDistinct("context").alias("n"), F.max("response").alias("strength")).where("n = 3").select("unit", "strength")
+    gated = gated if only is None else gated.join(only, "unit", "left_semi")
     panel = P.expanded_panel(df, top=None).select("unit", F.lit(True).alias("in_panel"))
     facts = gated.join(panel, "unit", "left").na.fill(False, ["in_panel"])
     units, t, mask = tensor(spark, sf_dir, gated.select("unit"))
@@ -338,6 +339,25 @@ def kernel_fibre_strata(spark, sf_dir):
     return fits.select("rank", F.inline("found"))
 
 
+@query("kernel_flagged_refit")
+def kernel_flagged_refit(spark, sf_dir):
+    """The extrapolation fitted with all units and again without those that have a flagged gated row: best margin over persistence, its rank and the held-out units.
+
+    The held-out units differ between the two, so that their difference is no gain by itself.
+    """
+    every, clean = wide(spark, sf_dir), wide(spark, sf_dir, tensor_flagged_units(spark, sf_dir))
+
+    def run(task: dict) -> dict:
+        t, mask, in_panel, _ = clean if task["units"] == "unflagged" else every
+        model, persistence, n = L.fibre_r2(t, mask, int(task["rank"]), 0, 2, 1, ~in_panel)
+        return {"units": task["units"], "rank": int(task["rank"]), "margin": model - persistence, "n_test": n, "n_units": len(t)}
+
+    # A set without units outside the panel has no held-out fibre, and no row.
+    tasks = [(name, r) for name, (t, _, in_panel, _) in (("all", every), ("unflagged", clean)) if (~in_panel).any() for r in (1, 2, 3, 5, 8)]
+    fits = L.grid(spark, pd.DataFrame(tasks, columns=["units", "rank"]), run, "units string, rank int, margin double, n_test int, n_units int")
+    return fits.groupBy("units").agg(F.round(F.max("margin"), 6).alias("best_margin"), F.max_by("rank", F.struct("margin", -F.col("rank"))).alias("rank"), F.max("n_test").alias("n_test"), F.max("n_units").alias("n_units"))
+
+
 @query("kernel_rmt")
 def kernel_rmt(spark, sf_dir):
     """Noise edge, empirical edge (95th percentile of 100 draws, over the same rows) and signal modes of the correlations of the 64 dimensions."""
