@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from quillon.functions import exprs as X
 from quillon.operators import ranking as R
 from quillon.operators import stats as T
+from quillon.operators.permuted import products
 from quillon.plans.bindings import CONTRAST, PROFILES, REPLICATES, contrast, profiles, replicates, table
 from quillon.plans.effect_queries import SPEARMAN, avg_rank_sql
 from quillon.plans.ranking_queries import BASE, deviations, posterior
 from quillon.plans.registry import query
 from quillon.sources import lookups
 from quillon.sources import tables as S
+from quillon.sources.shared import Scratch
 from quillon.streaming import statistics as stream
 
 
@@ -160,9 +162,11 @@ def permuted(spark, sf_dir, draws: int):
     b = T.ranked(deviations(spark, sf_dir).select("unit", "context", F.round("work", 9).alias("x"), F.col("support").alias("y")), ["unit"])
     nth = F.row_number().over(Window.partitionBy("unit").orderBy("context"))
     b = b.select("x", "y", (F.col("unit_below") + nth).cast("long").alias("pos"))
-    slots = b.select(F.col("pos").alias("p0"), "x").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    placed = T.numbered(slots, X.seeded("perm", F.col("b"), F.col("p0")), ["p0"], ["b"])
-    null = placed.join(b.select("pos", "y"), "pos").groupBy("b").agg(X.pearson(F.col("x"), F.col("y")).alias("r"))
+    b = Scratch(spark, "permuted").save(b, "rows")
+    facts = b.agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy")).first()
+    centred = b.select("pos", (F.col("x") - F.lit(facts["mx"])).alias("x"), (F.col("y") - F.lit(facts["my"])).alias("y"))
+    scale = F.nullif(F.lit(facts["sx"]) * F.lit(facts["sy"]), F.lit(0.0))
+    null = products(centred, facts["n"], draws, "perm").select("b", (F.col("total") / facts["n"] / scale).alias("r"))
     seen = b.agg(X.pearson(F.col("x"), F.col("y")).alias("o"))
     return null.crossJoin(F.broadcast(seen)).agg(F.round(F.max("o"), 6).alias("observed"), F.round(F.percentile("r", F.lit(0.95)), 6).alias("q95"), F.round((F.sum((F.col("r") >= F.col("o")).cast("long")) + 1) / (F.count(F.lit(1)) + 1.0), 6).alias("p"))
 
