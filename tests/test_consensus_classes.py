@@ -41,3 +41,11 @@ def test_no_edge_reaches_the_driver(spark, monkeypatch):
     far = {r["head"]: r.label for r in K.fitted(edges).collect()}
     pairs = lambda found: {(a, b) for a in found for b in found if found[a] == found[b]}
     assert pairs(near) == pairs(far)
+
+
+def test_cells_of_a_small_table_are_tasks_of_their_own(spark):
+    pairs = G.consensus(spark.createDataFrame(rows(), "run_id int, node long, label long"), block=20)
+    assert pairs.count() == G.consensus(spark.createDataFrame(rows(), "run_id int, node long, label long")).count() > 0
+    assert pairs.rdd.getNumPartitions() == 12 * 13 // 2  # few bytes, many pairs: not put together by size
+    assert "InArrow" not in pairs._jdf.queryExecution().toString()
+    assert G.consensus(spark.createDataFrame([], "run_id int, node long, label long")).count() == 0
