@@ -44,3 +44,8 @@ def test_least_of_ranks_equals_its_sql_on_borders(spark, con):
     c, path = con
     got = sorted(tuple(r) for r in registered().QUERIES["window_least_of_ranks"](spark, path).select("unit", "context", "best_rank").collect())
     assert got == sorted(c.execute(registered().SQL["window_least_of_ranks"]).fetchall())
+
+
+def test_replicates_take_no_row_a_line_number(spark, con):
+    _, path = con
+    assert "distinct" not in B.replicates(spark, path)._jdf.queryExecution().toString().lower()
