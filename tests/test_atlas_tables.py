@@ -32,3 +32,9 @@ def test_a_program_without_markers_has_none(spark, monkeypatch):
     monkeypatch.setattr(A, "atlas", lambda *_: a)
     rows = {r.program: r.markers for r in registered().QUERIES["atlas_program_summary"](spark, SF).collect()}
     assert rows == {"x": "up1=7", "y": None}
+
+
+def test_edges_read_their_effects_from_one_written_table(spark):
+    a = A.atlas(spark, SF)
+    assert {f.rsplit("/", 2)[1] for f in a["edges"].inputFiles()} == {"valid"}
+    assert {f.rsplit("/", 2)[1] for f in a["edge_summary"].inputFiles()} == {"valid"}
