@@ -2,6 +2,7 @@
 
 from quillon.operators.atlas import Atlas
 from quillon.plans import atlas_queries as A
+from quillon.plans import bindings as B
 from quillon.plans import registered
 
 SF = "/root/testdata/sf0.001"
@@ -38,3 +39,18 @@ def test_edges_read_their_effects_from_one_written_table(spark):
     a = A.atlas(spark, SF)
     assert {f.rsplit("/", 2)[1] for f in a["edges"].inputFiles()} == {"valid"}
     assert {f.rsplit("/", 2)[1] for f in a["edge_summary"].inputFiles()} == {"valid"}
+
+
+def test_contrasts_are_read_from_one_written_table(spark):
+    a = A.atlas(spark, SF)
+    read = {n: {f.rsplit("/", 2)[1] for f in a[n].inputFiles()} for n in ("contrast", "breadth", "classes", "peaks")}
+    assert set(map(frozenset, read.values())) == {frozenset({"contrast"})}
+    m = A.atlas(spark, SF, measured=True)
+    assert m["contrast"].inputFiles() == m["replicates"].inputFiles() and "evidence" in m["contrast"].inputFiles()[0]
+
+
+def test_evidence_of_one_pass_equals_its_two_tables(spark):
+    for got, want in zip(B.written_evidence(spark, SF), (B.contrast(spark, SF), B.replicates(spark, SF)), strict=True):
+        key = ["unit", "context"]
+        assert got.columns == want.columns and got.count() == want.count() > 0
+        assert got.exceptAll(want).isEmpty() and got.dropDuplicates(key).count() == got.count()
