@@ -1,5 +1,7 @@
 """Endpoints make the tables that they join, and no others."""
 
+from pyspark.sql import functions as F
+
 from quillon.operators.atlas import Atlas
 from quillon.plans import atlas_queries as A
 from quillon.plans import bindings as B
@@ -54,3 +56,14 @@ def test_evidence_of_one_pass_equals_its_two_tables(spark):
         key = ["unit", "context"]
         assert got.columns == want.columns and got.count() == want.count() > 0
         assert got.exceptAll(want).isEmpty() and got.dropDuplicates(key).count() == got.count()
+
+
+def test_a_class_has_all_its_units(spark):
+    """More than the 2,000 that a lookup may ask for."""
+    n = 2500
+    ranking = spark.range(n).select(F.col("id").alias("unit"), (F.col("id") + 1).alias("rank"), F.lit(0.5).alias("eb_mean"))
+    classes = ranking.select("unit", F.lit("global").alias("regulator_class"))
+    a = Atlas(ranking=ranking, classes=classes, breadth=ranking.select("unit", F.lit("A").alias("peak"), F.lit(1).alias("n_contexts")))
+    assert [r.core_rank for r in a.class_members("global").collect()] == list(range(1, n + 1))
+    assert a.class_members("context_specific").isEmpty()
+    assert a.class_members("global", 7).count() == 7 and a.regulators().count() == 50
