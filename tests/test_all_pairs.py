@@ -1,21 +1,22 @@
-"""All pairs of a panel: the same pairs whatever the blocks, and few copies of a unit in the shuffle."""
+"""All pairs of a panel: short profiles go to few, wide blocks."""
 
-from pyspark.sql import functions as F
+import numpy as np
 
 from quillon.operators import profiles as P
 
 
-def test_pairs_do_not_depend_on_blocks_and_units_are_copied_little(spark, monkeypatch):
-    df = spark.range(6000).select(F.col("id").alias("unit"), F.array(*[F.rand(k) for k in range(8)]).alias("profile"))
-    small = df.where("unit < 40")
-    whole = sorted(map(tuple, P.similarities(small).collect()))
-    once = sorted(map(tuple, P.similarities(small, once=True).collect()))
-    assert len(whole) == 40 * 39 and once == [r for r in whole if r[0] < r[1]]
-    some = sorted(map(tuple, P.similarities(small, small.where("unit < 3")).collect()))
-    assert some == [r for r in whole if r[0] < 3]
-    monkeypatch.setattr(P, "STRIPE", 7)
-    assert sorted(map(tuple, P._all_pairs(small, None, 9, False).collect())) == whole
-    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
-    before = shuffled()
-    assert P.similarities(df, once=True).count() == 6000 * 5999 // 2
-    assert shuffled() - before < 5_000_000
+def test_short_profiles_are_sent_to_few_blocks(spark):
+    n, width = 2_000, 16
+    x = np.random.default_rng(1).normal(size=(n, width))
+    units = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "unit long, profile array<double>").cache()
+    assert units.count() == n
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    pairs = P._all_pairs(units, None, 50, True)  # forty blocks of fifty
+    got = pairs.selectExpr("count(*) AS n", "count(DISTINCT a, b) AS d", "sum(a) AS a", "sum(b) AS b", "bool_and(a < b) AS once").first()
+    assert got.n == got.d == n * (n - 1) // 2 and got.once
+    one = pairs.where("a = 3 AND b = 1999").first().similarity
+    assert one == round(float(x[3] @ x[1999] / np.linalg.norm(x[3]) / np.linalg.norm(x[1999])), 6)
+    before = written()
+    assert P._all_pairs(units, None, 50, True).where("similarity > 2").isEmpty()
+    assert written() - before < 12 * n * width * 8
